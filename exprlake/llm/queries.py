@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe
+from exprlake.llm import bpe, jaccard
 from exprlake.llm.common import table
 
 
@@ -30,5 +30,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-ORACLE: dict[str, str] = {}
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's set of 4-word shingles and its component under Jaccard >= 0.85."""
+    found = jaccard.join_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s
+  FROM words
+), items AS (SELECT r, unnest(s) AS x FROM sets),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM items a JOIN items b ON a.x = b.x AND a.r <> b.r GROUP BY ALL),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN sets p ON p.r = c.a JOIN sets q ON q.r = c.b
+  WHERE 100 * c.n >= 85 * (len(p.s) + len(q.s) - c.n)
+), reach AS (
+  SELECT a AS r, a AS x FROM links
+  UNION
+  SELECT reach.r, links.b FROM reach JOIN links ON reach.x = links.a
+), least AS (SELECT reach.r, min(s.doc_id) AS c FROM reach JOIN sets s ON s.r = reach.x GROUP BY ALL)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.c, s.doc_id) AS component_id
+FROM sets s LEFT JOIN least l USING (r)
+"""
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard}
+ORACLE: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL}
