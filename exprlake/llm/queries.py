@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, jaccard
+from exprlake.llm import bpe, jaccard, mix
 from exprlake.llm.common import table
 
 
@@ -59,5 +59,11 @@ SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.c, s.doc_id) AS component_id
 FROM sets s LEFT JOIN least l USING (r)
 """
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard}
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    found = mix.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", mix.taken().alias("taken"), F.transform("draws", lambda d: d["shard"]).cast("string").alias("shards"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix}
 ORACLE: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL}
