@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from exprlake.llm.common import components, stage
 
@@ -331,3 +332,35 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     named_components = classes.join(least, "root").select("node", "component")
     out = named.join(named_components, "node", "left")
     return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col(key)).alias("component"), "f", "f2")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with their columns, that stay when each component of links keeps one row.
+
+    The row with the smallest key stays, null last; among rows of one key, the one whose whole row hashes lowest. Rows
+    without words all stay.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    prints = stage(fingerprints(docs, key, text, n), "prints").withColumn("node", node("f", "f2"))
+    _, roots = links(docs, text, n, percent)
+    classes = prints.where("n_shingles > 0").groupBy("node", "f", "f2").agg(F.min(key).alias("low"))
+    classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "f", "f2")).alias("x")).select("x.low", "x.f", "x.f2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in _units(batch.column(1)):
+                sets = [shingles(t, n) for t in texts]
+                pairs = [_fingerprint(h) for h in sets]
+                size = pa.array([len(h) for h in sets], pa.int64())
+                f, f2 = pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), size, f, f2], ["row", "n_shingles", "f", "f2"])
+
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("text"))
+    schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "f", "f2")]])
+    rows = rows.mapInArrow(run, schema)
+    same = (rows["f"] == best["f"]) & (rows["f2"] == best["f2"]) & rows["row"][key].eqNullSafe(best["low"])
+    kept = rows.where("n_shingles > 0").join(best, same, "left_semi")
+    first = Window.partitionBy("f", "f2", F.col("row")[key]).orderBy("hash")
+    kept = kept.withColumn("hash", F.xxhash64("row")).withColumn("turn", F.row_number().over(first)).where("turn = 1")
+    return kept.select("row").unionByName(rows.where("n_shingles = 0").select("row")).select("row.*")

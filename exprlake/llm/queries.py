@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, jaccard, mix
+from exprlake.llm import bpe, jaccard, mix, toxic
 from exprlake.llm.common import table
 
 
@@ -65,5 +65,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", mix.taken().alias("taken"), F.transform("draws", lambda d: d["shard"]).cast("string").alias("shards"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that are not held out."""
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op10_toxicity": op10_toxicity}
 ORACLE: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL}
