@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, jaccard, mix, toxic
+from exprlake.llm import bpe, jaccard, licenses, mix, toxic
 from exprlake.llm.common import table
 
 
@@ -70,5 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op10_toxicity": op10_toxicity}
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op8_licenses": op8_licenses, "op10_toxicity": op10_toxicity}
 ORACLE: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL}
