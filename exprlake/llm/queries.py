@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, jaccard, licenses, mix, toxic
+from exprlake.llm import bpe, cells, extract, jaccard, licenses, mix, toxic, urls, vptree
 from exprlake.llm.common import table
 
 
@@ -75,5 +75,31 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op8_licenses": op8_licenses, "op10_toxicity": op10_toxicity}
+def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector; factor one, so exact."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows, rows.where("vec_id % 50 = 0"), k=5, factor=1.0)
+
+
+def op7_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of one label with cosine >= 0.98."""
+    found = cells.near_groups(table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
+#: Fixed rules of the contract: verdict, host, path.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url: a rule's, else that of its path template, learnt from the urls that rules judge."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op3_vptree": op3_vptree, "op6_urls": op6_urls, "op7_cells": op7_cells, "op8_licenses": op8_licenses, "op9_main_text": op9_main_text, "op10_toxicity": op10_toxicity}
 ORACLE: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL}
