@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, cells, extract, jaccard, licenses, mix, toxic, urls, vptree
+from exprlake.llm import bpe, cells, extract, jaccard, licenses, mix, toxic, urls, vptree, warc
 from exprlake.llm.common import table
 
 
@@ -75,6 +75,33 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every WARC record of pages with its place, and whether the audit finds it corrupt in a replica that has decayed."""
+    pages = table(spark, sf_dir, "pages")
+    found = warc.audit(warc.records(pages), warc.records(warc.decayed(pages)))
+    return found.select(F.col("key").alias("page_id"), "archive", "place", "offset", "length", F.col("sha").alias("record_sha256"), "root_ok", "corrupt")
+
+
+OP2_SQL = """
+WITH bodies AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(page_id // 1000, -1) AS archive,
+         sha256(concat_ws('|', page_id::varchar, url)) AS id
+  FROM pages
+), texts AS (
+  SELECT page_id, archive, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:sha256:' || id || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+         || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record, html
+  FROM bodies
+), hashed AS (SELECT page_id, archive, html, strlen(record) AS length, sha256(record) AS record_sha256 FROM texts),
+placed AS (
+  SELECT *, row_number() OVER w - 1 AS place, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset",
+         length(html) > 0 AND coalesce(sha256(page_id::varchar) < '05', false) AS corrupt
+  FROM hashed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS LAST, record_sha256)
+)
+SELECT page_id, archive, place, "offset"::bigint AS "offset", length, record_sha256, NOT bool_or(corrupt) OVER (PARTITION BY archive) AS root_ok, corrupt FROM placed
+"""
+
+
 def op3_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows of every fiftieth vector; factor one, so exact."""
     rows = table(spark, sf_dir, "embeddings")
@@ -101,5 +128,5 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op3_vptree": op3_vptree, "op6_urls": op6_urls, "op7_cells": op7_cells, "op8_licenses": op8_licenses, "op9_main_text": op9_main_text, "op10_toxicity": op10_toxicity}
-ORACLE: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL}
+QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op2_warc_fixity": op2_warc_fixity, "op3_vptree": op3_vptree, "op6_urls": op6_urls, "op7_cells": op7_cells, "op8_licenses": op8_licenses, "op9_main_text": op9_main_text, "op10_toxicity": op10_toxicity}
+ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_ngram_jaccard": OP4_SQL}
