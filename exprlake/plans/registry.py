@@ -1,4 +1,113 @@
 """Names of the registered queries, their functions and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from exprlake.functions.stats import group_summary, rounded
+from exprlake.operators import corpus, dag, export, motifs, studies
+from exprlake.plans.oracle import ORACLE as ORACLE_SQL
+
+
+def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus bound to the events table."""
+    return corpus.expressions(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
+
+
+def on_measured(f: Callable[[DataFrame], DataFrame]):
+    return lambda spark, sf_dir: f(corpus.measured(rows_of(spark, sf_dir)))
+
+
+def on_rows(f: Callable[[DataFrame], DataFrame]):
+    return lambda spark, sf_dir: f(rows_of(spark, sf_dir))
+
+
+def on_both(f: Callable[[DataFrame, DataFrame], DataFrame]):
+    """f of the measured rows and their trivialities."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = rows_of(spark, sf_dir)
+        return f(corpus.measured(rows), corpus.trivialities(rows))
+
+    return run
+
+
+def on_motifs(f: Callable[[DataFrame], DataFrame]):
+    return on_rows(lambda r: f(motifs.occurrences(corpus.edges(r), corpus.nodes(r))))
+
+
+def on_features(f: Callable[[DataFrame], DataFrame]):
+    return on_rows(lambda r: f(motifs.split_features(motifs.occurrences(corpus.edges(r), corpus.nodes(r)), corpus.measured(r), corpus.trivialities(r))))
+
+
+def log_arg_classes(edges: DataFrame) -> DataFrame:
+    name = F.when(F.col("child_label") == "1", "one").when(F.col("child_label").isin("x", "y"), "symbol").otherwise(F.lower("child_label"))
+    return edges.where("parent_label = 'log'").groupBy(name.alias("class")).agg(F.count("*").alias("n"))
+
+
+def triviality_groups(rows: DataFrame, triviality: DataFrame) -> DataFrame:
+    names = ("mul_by_one", "log_one", "exp_log", "log_exp")
+    long = triviality.selectExpr("expr_id", f"stack({len(names)}, {', '.join(f"'{n}', {n} > 0" for n in names)}) as (feature, value)")
+    return long.join(rows.select("expr_id", "tree_alpha"), "expr_id").groupBy("feature", "value").agg(F.count("*").alias("n"), rounded(F.avg("tree_alpha")).alias("mean_alpha"))
+
+
+def split_counts(rows: DataFrame) -> DataFrame:
+    grid = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ("train", "validation", "test")))).alias("split"))
+    return grid.join(rows.groupBy("split").agg(F.count("*").alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+QUERIES = {
+    "corpus_nodes": on_rows(lambda r: corpus.nodes(r).select("expr_id", "node", "level", "label")),
+    "corpus_edges": on_rows(corpus.edges),
+    "tree_stats": on_measured(lambda m: m.select("expr_id", "ast_nodes", (F.col("ast_nodes") - 1).alias("ast_edges"), F.col("n_leaves").alias("ast_leaves"), (F.col("ast_nodes") - F.col("n_leaves")).alias("ast_operators"), "ast_depth", "eml_nodes", (F.col("eml_nodes") - 1).alias("eml_edges"), F.expr("(eml_nodes + 1) div 2").alias("eml_leaves"))),
+    "eml_tree_alpha": on_measured(lambda m: m.select("expr_id", "eml_nodes", rounded(F.col("tree_alpha"), 9).alias("tree_alpha"), "below_threshold")),
+    "eml_tree_depth": on_measured(lambda m: m.select("expr_id", "ast_depth", "eml_depth")),
+    "estimated_cost": on_measured(lambda m: m.select("expr_id", "estimated_cost", rounded(F.col("estimated_cost") / F.col("ast_nodes"), 9).alias("cost_alpha"))),
+    "operator_features": on_measured(lambda m: m.select("expr_id", "n_add", "n_mul", "n_exp", "n_log", "n_symbols", "n_constants")),
+    "operator_signature": on_measured(lambda m: m.select("expr_id", "operator_signature", "dominant_family")),
+    "size_buckets": on_measured(lambda m: m.select("expr_id", "ast_node_bucket", "ast_depth_bucket", "eml_node_bucket", "alpha_bucket")),
+    "nontriviality": on_rows(lambda r: corpus.trivialities(r).select("expr_id", "mul_by_one", "constant_only", "log_one", "exp_log", "log_exp", "total_score")),
+    "triviality_subsets": on_rows(lambda r: corpus.trivialities(r).select("expr_id", "triviality_score", "counter_subset", "feature_subset")),
+    "triviality_groups": on_both(triviality_groups),
+    "log_arg_classes": on_rows(lambda r: log_arg_classes(corpus.edges(r))),
+    "split_assignment": on_measured(lambda m: m.select("expr_id", "split")),
+    "split_counts": on_measured(split_counts),
+    "group_by_depth": on_measured(lambda m: group_summary(m, "ast_depth")),
+    "group_by_size": on_measured(lambda m: group_summary(m, "ast_node_bucket")),
+    "group_by_family": on_measured(lambda m: group_summary(m, "dominant_family")),
+    "group_by_signature": on_measured(lambda m: group_summary(m, "operator_signature")),
+    "group_by_boolean": on_measured(studies.by_boolean),
+    "subset_replicated_groups": on_both(studies.subset_replicated),
+    "alpha_summary": on_measured(studies.alpha_summary),
+    "threshold_scenarios": on_measured(studies.threshold_scenarios),
+    "distribution_summary": on_measured(studies.distribution_summary),
+    "alpha_histogram": on_measured(studies.alpha_histogram),
+    "top_alpha": on_measured(lambda m: studies.top(m.withColumn("alpha", rounded(F.col("tree_alpha"))), [F.desc("tree_alpha"), F.col("expr_id")], 20, ("expr_id", "expression", "alpha", "eml_nodes"))),
+    "top_depth": on_measured(lambda m: studies.top(m.withColumn("alpha", rounded(F.col("tree_alpha"))), [F.desc("eml_depth"), F.desc("tree_alpha"), F.col("expr_id")], 20, ("expr_id", "eml_depth", "alpha"))),
+    "rank_worst_signatures": on_measured(studies.worst_signatures),
+    "rank_safest_signatures": on_measured(studies.safest_signatures),
+    "rank_safe_regimes": on_measured(studies.safe_regimes),
+    "depth_failure_modes": on_measured(studies.depth_failure_modes),
+    "corpus_dedup": on_measured(studies.dedup),
+    "generation_summary": on_measured(studies.generation_summary),
+    "ast_dag_size": on_measured(lambda m: m.select("expr_id", "ast_nodes", "ast_dag_nodes", rounded(F.col("ast_compression"), 9).alias("ast_compression"))),
+    "shared_subtrees": on_rows(lambda r: studies.shared_subtrees(corpus.nodes(r))),
+    "motifs_size1_2": on_motifs(lambda o: o.groupBy("signature", "node_count").agg(F.count("*").alias("support"), F.count_distinct("expr_id").alias("coverage"))),
+    "motif_vocabulary": on_motifs(motifs.vocabulary),
+    "motif_split_features": on_features(lambda f: f),
+    "motif_scores": on_features(motifs.scores),
+    "motif_selection": on_features(motifs.selection),
+    "baseline_join": on_measured(lambda m: studies.baseline_join(m, m)),
+    "resume_anti": on_measured(lambda m: studies.missing(m, m.where("split = 'train'")).select("expr_id", "expression")),
+    "graph_export_nodes": on_rows(lambda r: export.graph_nodes(corpus.nodes(r))),
+    "graph_export_edges": on_rows(lambda r: export.graph_edges(corpus.edges(r))),
+    "export_integrity": on_rows(lambda r: export.integrity(corpus.measured(r), corpus.edges(r))),
+    "eml_dag_size": on_rows(lambda r: dag.with_dag(corpus.measured(r), r).select("expr_id", "eml_dag_nodes", "dag_alpha", "dag_compression")),
+    "dag_group_by_signature": on_rows(lambda r: dag.group_summary(dag.with_dag(corpus.measured(r), r), "operator_signature")),
+    "dag_successes": on_rows(lambda r: dag.successes(dag.with_dag(corpus.measured(r), r))),
+    "dag_failures": on_rows(lambda r: dag.failures(dag.with_dag(corpus.measured(r), r))),
+}
+ORACLE = ORACLE_SQL
