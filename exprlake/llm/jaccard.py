@@ -9,9 +9,9 @@ k differences to hide all of them ("thin") emits a further family under another
 emits too. No pair within the threshold is lost.
 
 Groups are never expanded into all pairs. Equal sets are one class by fingerprint. Per signature, each further class is
-compared with one pivot; classes that are already connected need no comparison, so large groups of near copies collapse
-in the first rounds, and only classes of still different components that share a signature are then compared pairwise.
-Every candidate is verified on the full sets.
+compared with one pivot; classes that this connects need no further comparison. Where classes of different components
+still share a signature, small groups list their pairs, and large ones are compared in blocks of bounded size that
+return edges of local components only. Every candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -22,19 +22,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from exprlake.llm.common import components, stage
 
-#: Characters of text hashed as one unit, and words that the memo of word hashes holds before it is emptied.
-UNIT_CHARS, MEMO = 4_000_000, 500_000
+#: Characters of text hashed as one unit, and words of a very long text hashed at a time.
+UNIT_CHARS, LONG_WORDS = 4_000_000, 100_000
+#: Documents of the sample that finds common shingles, times that one occurs there, and bits of the table of them.
+COMMON_SAMPLE, COMMON_TIMES, COMMON_BITS = 10_000, 6, 1 << 22
 #: Bits of the filter over the classes to compare: its size is fixed, a fuller one only lets more sets through.
 BLOOM_BITS = 1 << 25
-#: Cuts of the feature domain before thin sets share one signature; rounds with a pivot before pairs are listed.
-SEEDS, PIVOT_ROUNDS = 8, 4
+#: Cuts of the feature domain before thin sets share one signature.
+SEEDS = 8
+#: Classes of one signature up to which pairs are listed, classes to a block of a larger group, and shingles multiplied at a time.
+SMALL_GROUP, BLOCK, COLUMNS = 32, 512, 16_384
 
 _U = np.uint64
 
@@ -47,30 +50,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_words: dict[bytes, int] = {}
+#: Random values of the bytes and an odd base: the hash of a byte range is the sum of value * base ** place, mixed.
+_BYTE = _mix(np.arange(256, dtype=_U) + _U(0xA0761D6478BD642F))
+_BASE = 0x9FB21C651E98DF25
+_tables: list[np.ndarray] = []
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words of a text: runs of anything but ASCII white space, A-Z lower-cased."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(_words) > MEMO:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_words.__getitem__, words), _U, len(words))
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2 ** 64, for n places at least."""
+    if not _tables or len(_tables[0]) < n:
+        size = max(n, 1 << 16)
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            factors = np.full(size, base, _U)
+            factors[0] = 1
+            out.append(np.multiply.accumulate(factors))
+        _tables[:] = out
+    return _tables[0], _tables[1]
+
+
+def _ranges(words: list[bytes], n: int) -> np.ndarray:
+    """Hashes of all runs of n words, one blank between words."""
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    up, down = _powers(len(joined))
+    total = np.empty(len(joined) + 1, _U)
+    total[0] = 0
+    np.cumsum(_BYTE[joined] * up[: len(joined)], out=total[1:])
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.empty_like(ends)
+    starts[0], starts[1:] = 0, ends[:-1] + 1
+    m = len(words) - n + 1
+    return _mix((total[ends[n - 1 :]] - total[starts[:m]]) * down[starts[:m]])
 
 
 def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; fewer words count as one shingle, no words as none."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    n = min(n, len(w))
-    m = len(w) - n + 1
-    h = _mix(w[:m] + _U(n))
-    for j in range(1, n):
-        h = _mix(h * _U(0x9FB21C651E98DF25) + w[j : j + m])
-    return np.unique(h)
+    """Sorted distinct 64-bit hashes of the n-word shingles; fewer words count as one shingle, no words as none.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, _U)
+    n = min(n, len(words))
+    if len(words) <= LONG_WORDS:
+        h = _ranges(words, n)
+    else:
+        h = np.concatenate([_ranges(words[i : i + LONG_WORDS + n - 1], n) for i in range(0, len(words) - n + 1, LONG_WORDS)])
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def _fingerprint(h: np.ndarray) -> tuple[int, int]:
@@ -99,7 +125,7 @@ def cut(k: int) -> tuple[int, int, int]:
         return 1, k + 2, k
     if k <= 8:
         return (k + 3) // 2, 3, 1
-    return (k + 2 + max(1, -(-(k + 1) // 20))) // 2, 2, 1
+    return (k + 2 + max(2, -(-(k + 1) // 12))) // 2, 2, 1
 
 
 @lru_cache(maxsize=64)
@@ -107,37 +133,36 @@ def _subsets(n2: int, size: int) -> np.ndarray:
     return np.array(list(combinations(range(n2), size)))
 
 
-def _name(band: int, seed: int, slot: np.ndarray) -> np.ndarray:
-    return _mix(slot.astype(_U) + (_U(band * 16 + seed) << _U(40)))
+def _name(band, seed: int, slot: np.ndarray) -> np.ndarray:
+    return _mix(slot.astype(_U) + (np.asarray(band * 16 + seed, dtype=_U) << _U(40)))
 
 
-def _family(h: np.ndarray, band: int, k: int) -> list[np.ndarray]:
-    """All signatures of one set for one band, further cuts of a thin set included."""
+def _family(h: np.ndarray, band: int, k: int, seed: int) -> tuple[np.ndarray, bool]:
+    """The signatures of one cut of the domain for one set and band, and whether the set is thin there."""
     n1, n2, k2 = cut(k)
-    subsets, out = _subsets(n2, n2 - k2), []
-    for seed in range(SEEDS):
-        place = ((_mix(h ^ _U(0xD6E8FEB86659FD93 + seed)) >> _U(32)) * _U(n1 * n2) >> _U(32)).astype(np.int64)
-        sums = np.zeros(n1 * n2, _U)
-        np.add.at(sums, place, h)
-        full = (np.bincount(place, minlength=n1 * n2) > 0).reshape(n1, n2)
-        some = full[:, subsets].any(axis=2)
-        total = sums.reshape(n1, n2)[:, subsets].sum(axis=2, dtype=_U)
-        slot = np.arange(total.size).reshape(total.shape)
-        out.append(_mix(total ^ _name(band, seed, slot))[some])
-        if np.minimum(full.sum(axis=1), k2 + 1).sum() > k:
-            return out
-    out.append(_name(band, SEEDS, np.array([0])))
-    return out
-
-
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of every set, and the set's position for each."""
+    subsets = _subsets(n2, n2 - k2)
+    place = ((_mix(h ^ _U(0xD6E8FEB86659FD93 + seed)) >> _U(32)) * _U(n1 * n2) >> _U(32)).astype(np.int64)
+    sums = np.zeros(n1 * n2, _U)
+    np.add.at(sums, place, h)
+    full = (np.bincount(place, minlength=n1 * n2) > 0).reshape(n1, n2)
+    some = full[:, subsets].any(axis=2)
+    total = sums.reshape(n1, n2)[:, subsets].sum(axis=2, dtype=_U)
+    slot = np.arange(total.size).reshape(total.shape)
+    return _mix(total ^ _name(band, seed, slot))[some], bool(np.minimum(full.sum(axis=1), k2 + 1).sum() <= k)
+
+
+def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of every set, and the set's position for each.
+
+    The first cut leaves out the features that the table common marks, as two sets differ at most as much on the others; thin
+    sets go on with further cuts of all features."""
     first, bound = bands(percent)
     sizes = np.array([len(h) for h in sets])
     own = np.searchsorted(first, sizes, side="right") - 1
     sig, owner = [], []
-    flat = np.concatenate(sets) if len(sets) else np.zeros(0, _U)
-    of = np.repeat(np.arange(len(sets)), sizes)
+    rare = [h[~common[(h >> _U(64 - 22)).astype(np.int64)]] for h in sets]
+    flat = np.concatenate(rare)
+    of = np.repeat(np.arange(len(sets)), [len(h) for h in rare])
     spot = _mix(flat ^ _U(0xD6E8FEB86659FD93)) >> _U(32)
     low, high = (flat & _U(0xFFFFFFFF)).astype(np.float64), (flat >> _U(32)).astype(np.float64)
     for band in (own, own - 1):
@@ -151,14 +176,20 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         full = np.bincount(key, minlength=slots) > 0
         total = np.bincount(key, low[mine], slots).astype(_U) + (np.bincount(key, high[mine], slots).astype(_U) << _U(32))
         at = np.repeat(np.arange(len(sets)), parts)
-        name = _mix((np.arange(slots) - base[at]).astype(_U) + (band[at].astype(_U) * _U(16) << _U(40)))
+        name = _name(band[at], 0, np.arange(slots) - base[at])
         sig.append(_mix(total ^ name)[full])
         owner.append(at[full])
         filled = np.bincount(at[full], minlength=len(sets))
         for d in np.flatnonzero((k > 0) & (~wide | (filled <= k))):
-            found = np.concatenate(_family(sets[d], int(band[d]), int(k[d]))[1 if wide[d] else 0 :])
-            sig.append(found)
-            owner.append(np.full(len(found), d))
+            for seed in range(1 if wide[d] else 0, SEEDS):
+                found, thin = _family(sets[d] if seed else rare[d], int(band[d]), int(k[d]), seed)
+                sig.append(found)
+                owner.append(np.full(len(found), d))
+                if not thin:
+                    break
+            else:
+                sig.append(_name(int(band[d]), SEEDS, np.array([0])))
+                owner.append(np.array([d]))
     return np.concatenate(sig), np.concatenate(owner)
 
 
@@ -194,9 +225,33 @@ def fingerprints(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, f long, f2 long")
 
 
+def _common(docs: DataFrame, text: str, n: int) -> np.ndarray:
+    """A table of fixed size that marks shingles which many documents of a bounded sample hold.
+
+    Which ones it marks changes the number of candidates only."""
+    total = docs.count()
+    sample = docs.select(text)
+    if total > COMMON_SAMPLE:
+        sample = sample.where(F.pmod(F.xxhash64(text, F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * COMMON_SAMPLE / total))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in _units(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, n) for t in texts]).view(np.int64))], ["h"])
+
+    often = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_TIMES)
+    marked = often.select(F.shiftrightunsigned("h", 64 - 22).alias("at")).distinct().toArrow()["at"].to_numpy()
+    table = np.zeros(COMMON_BITS, bool)
+    table[marked] = True
+    return table
+
+
 def _signature_rows(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
+    common = docs.sparkSession.sparkContext.broadcast(np.packbits(_common(docs, text, n)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # equal sets of one task send their signatures once
+        table = np.unpackbits(common.value).astype(bool)
         for batch in batches:
             for _, texts in _units(batch.column(0)):
                 sets, names = [], []
@@ -208,7 +263,7 @@ def _signature_rows(docs: DataFrame, text: str, n: int, percent: int) -> DataFra
                         sets.append(h)
                         names.append(f)
                 if sets:
-                    sig, owner = signatures(sets, percent)
+                    sig, owner = signatures(sets, percent, table)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.array(names, np.int64)[owner])], ["sig", "f"])
 
     return docs.select(text).mapInArrow(run, "sig long, f long")
@@ -238,20 +293,24 @@ def _filter(nodes: DataFrame) -> np.ndarray:
     return words
 
 
-def _sets(docs: DataFrame, text: str, n: int, nodes: DataFrame) -> DataFrame:
-    """f, node, size, h of every class whose f is in nodes."""
-    words = docs.sparkSession.sparkContext.broadcast(_filter(nodes))
+def _sets(docs: DataFrame, key: str, text: str, n: int, prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """f, node, size, h of every class whose f is in nodes.
+
+    One document of each class is read again: a filter over their keys' hashes tells Python which texts to hash."""
+    chosen = prints.where("n_shingles > 0").join(nodes, "f", "left_semi").groupBy("f", "f2").agg(F.min(F.xxhash64(key)).alias("k"))
+    words = docs.sparkSession.sparkContext.broadcast(_filter(chosen.select(F.col("k").alias("f"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for _, texts in _units(batch.column(0)):
+            at = _bits(batch.column(1).to_numpy(zero_copy_only=False))
+            hit = (words.value[at // 64] >> (at % 64).astype(_U) & _U(1)).all(axis=0)
+            for _, texts in _units(batch.column(0).filter(pa.array(hit))):
                 f, f2, sets = [], [], []
                 for t in texts:
                     h = shingles(t, n)
                     a, b = _fingerprint(h)
-                    at = _bits(np.array([a], np.int64)).ravel()
-                    if (a, b) not in seen and len(h) and (words.value[at // 64] >> (at % 64).astype(_U) & _U(1)).all():
+                    if len(h) and (a, b) not in seen:
                         seen.add((a, b))
                         f.append(a)
                         f2.append(b)
@@ -262,7 +321,7 @@ def _sets(docs: DataFrame, text: str, n: int, nodes: DataFrame) -> DataFrame:
                     h = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(f2, pa.int64()), h], ["f", "f2", "h"])
 
-    found = docs.select(text).mapInArrow(run, "f long, f2 long, h array<long>")
+    found = docs.select(text, F.xxhash64(key).alias("k")).mapInArrow(run, "f long, f2 long, h array<long>")
     found = found.join(nodes, "f", "left_semi").dropDuplicates(["f", "f2"])
     return found.select("f", node("f", "f2").alias("node"), F.size("h").alias("size"), "h")
 
@@ -282,36 +341,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("size") + F.col("size_a") - F.col("common"))).select("a", "b")
 
 
-def links(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b that connect what all links within large signature groups connect, by products of bounded blocks.
+
+    open_ has sig, f, c (the class's component so far). Groups that share classes form a cluster; its largest component is
+    its core, whose members need no comparison with each other. Every other class meets all classes of its cluster, block
+    by block; a task holds two blocks."""
+    stars = open_.groupBy("sig").agg(F.min("f").alias("b")).join(open_, "sig").select(F.col("f").alias("a"), "b").distinct()
+    clusters = components(stars)
+    placed = open_.select("f", "c").distinct().join(clusters.withColumnsRenamed({"node": "f", "root": "cluster"}), "f")
+    core = placed.groupBy("cluster", "c").count().groupBy("cluster").agg(F.max_by("c", F.struct("count", "c")).alias("core"))
+    placed = stage(placed.join(core, "cluster").select("cluster", "f", (F.col("c") == F.col("core")).alias("in_core")), "clusters")
+    sizes = placed.groupBy("cluster").agg(*(F.ceil(F.count_if(x) / BLOCK).cast("int").alias(name) for x, name in ((~F.col("in_core"), "rest"), (F.col("in_core"), "cores"))))
+    placed = placed.join(sizes, "cluster").join(sets.select("f", "node", "size", "h"), "f")
+    spot = F.xxhash64("f", F.lit(17))
+    placed = placed.withColumn("spot", F.when(F.col("in_core"), F.pmod(spot, "cores")).otherwise(F.col("cores") + F.pmod(spot, "rest")).cast("int"))
+    left = placed.where("not in_core").withColumn("i", F.col("spot")).withColumn("j", F.explode(F.expr("sequence(0, cores + rest - 1)"))).where("j <= i")
+    right = placed.withColumn("j", F.col("spot")).withColumn("i", F.explode(F.expr("sequence(cores, cores + rest - 1)"))).where("j <= i")
+    pairs = left.withColumn("left", F.lit(True)).unionByName(right.withColumn("left", F.lit(False))).select("cluster", "i", "j", "left", "node", "size", "h")
+
+    def product(table: pa.Table) -> pa.Table:
+        at = table["left"].to_numpy()
+        a, b = table.filter(pa.array(at)), table.filter(pa.array(~at))
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string())})
+        sides = []
+        for t in (a, b):
+            h = t["h"].combine_chunks()
+            sides.append((np.repeat(np.arange(len(t)), np.diff(h.offsets.to_numpy())), h.flatten().to_numpy()))
+        both = np.intersect1d(sides[0][1], sides[1][1])
+        common = np.zeros((len(a), len(b)), np.float32)  # exact: counts stay below 2 ** 24
+        for low in range(0, len(both), COLUMNS):
+            part = both[low : low + COLUMNS]
+            dense = []
+            for (of, h), t in zip(sides, (a, b), strict=True):
+                spot = np.minimum(np.searchsorted(part, h), len(part) - 1)
+                hit = part[spot] == h
+                x = np.zeros((len(t), len(part)), np.float32)
+                x[of[hit], spot[hit]] = 1
+                dense.append(x)
+            common += dense[0] @ dense[1].T
+        n = common.astype(np.int64)
+        total = a["size"].to_numpy().astype(np.int64)[:, None] + b["size"].to_numpy().astype(np.int64) - n
+        x, y = np.nonzero(100 * n >= percent * total)
+        names, node_of = np.unique(np.array(a["node"].to_pylist() + b["node"].to_pylist()), return_inverse=True)
+        u, w, low = node_of[x], node_of[len(a) + y], np.arange(len(names))
+        while True:
+            new = low.copy()
+            np.minimum.at(new, u, low[w])
+            np.minimum.at(new, w, new[u])
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        tied = np.flatnonzero(low != np.arange(len(low)))
+        return pa.table({"a": pa.array(names[tied].tolist(), pa.string()), "b": pa.array(names[low[tied]].tolist(), pa.string())})
+
+    return pairs.groupBy("cluster", "i", "j").applyInArrow(product, "a string, b string")
+
+
+def links(docs: DataFrame, key: str, text: str, n: int, percent: int, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between classes that connect exactly what all pairs within the threshold connect; and their components."""
     by = Window.partitionBy("sig").orderBy("f")
     rows = _signature_rows(docs, text, n, percent)
     rows = rows.select("sig", "f", F.first("f").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag("f").over(by).alias("before"))
     shared = stage(rows.where("f <> p and f <> before").select("sig", "f", "p"), "shared")
     nodes = shared.select("f").unionByName(shared.select(F.col("p").alias("f"))).distinct()
-    sets = stage(_sets(docs, text, n, nodes), "sets")
+    sets = stage(_sets(docs, key, text, n, prints, nodes), "sets")
     tested = stage(shared.select("p", "f").distinct(), "pairs")
     found = stage(_verified(tested, sets, percent), "links")
-    members = shared.select("sig", "f").unionByName(shared.select("sig", F.col("p").alias("f"))).distinct()
-    for turn in range(PIVOT_ROUNDS):
-        roots = components(found)
-        of = sets.select("f", "node").join(roots, "node", "left").select("f", F.coalesce("root", "node").alias("c"))
-        placed = members.join(of, "f")
-        apart = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-        open_ = stage(placed.join(apart, "sig", "left_semi").select("sig", "f", "c"), "open")
-        if open_.isEmpty():
-            return found, roots
-        if turn < PIVOT_ROUNDS - 1:
-            pivot = open_.groupBy("sig").agg(F.min(F.struct(F.xxhash64("f", F.lit(turn)), F.col("f").alias("p"), F.col("c").alias("pc"))).alias("x")).select("sig", "x.p", "x.pc")
-            pairs = open_.join(pivot, "sig").where("c <> pc")
-        else:
-            other = open_.select("sig", F.col("f").alias("p"), F.col("c").alias("pc"))
-            pairs = open_.join(other, "sig").where("c < pc")
-        pairs = pairs.select(F.least("p", "f").alias("p"), F.greatest("p", "f").alias("f")).distinct().join(tested, ["p", "f"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tested = tested.unionByName(pairs)
-        found = stage(found.unionByName(_verified(pairs, sets, percent)), "links")
-        members = open_.select("sig", "f")
+    roots = components(found)
+    of = sets.select("f", "node").join(roots, "node", "left").select("f", F.coalesce("root", "node").alias("c"))
+    members = shared.select("sig", "f").unionByName(shared.groupBy("sig").agg(F.first("p").alias("f")))
+    placed = stage(members.join(of, "f"), "placed")
+    apart = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("sig", "n")
+    open_ = stage(placed.join(apart, "sig"), "open")
+    if open_.isEmpty():
+        return found, roots
+    few = open_.where(F.col("n") <= SMALL_GROUP)
+    pairs = few.join(few.select("sig", F.col("f").alias("p"), F.col("c").alias("pc")), "sig").where("c < pc")
+    pairs = pairs.select(F.least("p", "f").alias("p"), F.greatest("p", "f").alias("f")).distinct().join(tested, ["p", "f"], "left_anti")
+    more = _verified(pairs, sets, percent)
+    many = open_.where(F.col("n") > SMALL_GROUP)
+    if not many.isEmpty():
+        more = more.unionByName(_blocked(many, sets, percent))
+    found = stage(found.unionByName(more), "links")
     return found, components(found)
 
 
@@ -324,7 +438,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     texts link by definition. Only key and text are read, so other columns never clash. An empty table gives no rows.
     """
     prints = stage(fingerprints(docs, key, text, n), "prints")
-    _, roots = links(docs, text, n, percent)
+    _, roots = links(docs, key, text, n, percent, prints)
     named = prints.withColumn("node", node("f", "f2"))
     classes = named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("low")).join(roots, "node", "left")
     classes = classes.select("node", "low", F.coalesce("root", "node").alias("root"))
@@ -341,9 +455,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     without words all stay.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    prints = stage(fingerprints(docs, key, text, n), "prints").withColumn("node", node("f", "f2"))
-    _, roots = links(docs, text, n, percent)
-    classes = prints.where("n_shingles > 0").groupBy("node", "f", "f2").agg(F.min(key).alias("low"))
+    prints = stage(fingerprints(docs, key, text, n), "prints")
+    _, roots = links(docs, key, text, n, percent, prints)
+    classes = prints.where("n_shingles > 0").groupBy(node("f", "f2").alias("node"), "f", "f2").agg(F.min(key).alias("low"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = classes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "f", "f2")).alias("x")).select("x.low", "x.f", "x.f2")
 
