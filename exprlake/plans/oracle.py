@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from exprlake.functions import grammar, measures
+from exprlake.operators import rewriting
 from exprlake.operators.motifs import GRID
 from exprlake.operators.studies import SCENARIOS
 
@@ -134,3 +135,34 @@ ORACLE = {
     "graph_export_edges": BASE + "SELECT 'ast_tree' AS representation_mode, i AS expr_id, i || ':' || parent AS source, i || ':' || child AS target, slot AS edge_type FROM e",
     "export_integrity": BASE + "SELECT expr_id, ast_nodes AS n_nodes, count(child) AS n_edges, count(child) = ast_nodes - 1 AND count(DISTINCT child) = count(child) AS valid FROM m LEFT JOIN e ON e.i = m.expr_id GROUP BY expr_id, ast_nodes",
 }
+
+
+def _rewriting() -> str:
+    levels = []
+    for level in range(grammar.MAX_DEPTH, -1, -1):
+        up = f"z{level + 1}" if level < grammar.MAX_DEPTH else "(SELECT NULL::BIGINT AS i, NULL::BIGINT AS p, NULL::VARCHAR AS f0, NULL::VARCHAR AS f1)"
+        forms = ", ".join(f"{rewriting.rule_sql(mode, 'n.label', f'a.f{k}', f'b.f{k}')} AS f{k}" for k, mode in enumerate(rewriting.MODES))
+        levels.append(f"z{level} AS (SELECT n.i, n.p, {forms} FROM n LEFT JOIN {up} a ON a.i = n.i AND a.p = 2 * n.p LEFT JOIN {up} b ON b.i = n.i AND b.p = 2 * n.p + 1 WHERE n.level = {level})")
+    modes = " UNION ALL ".join(f"SELECT i AS expr_id, '{mode}' AS rule_mode, f{k} AS normal_form FROM z0" for k, mode in enumerate(rewriting.MODES))
+    return f""", {', '.join(levels)}, y0 AS ({modes}), y1 AS (SELECT *, {rewriting.size_sql('normal_form', rewriting.AST)} AS new_ast_nodes, {rewriting.size_sql('normal_form', rewriting.EML)} AS new_eml_nodes FROM y0),
+y AS (SELECT y1.*, m.* EXCLUDE (expr_id), feature_subset, new_eml_nodes / ast_nodes AS new_alpha, eml_nodes / new_eml_nodes AS gain,
+      CASE WHEN new_eml_nodes < eml_nodes THEN 'improved' WHEN new_eml_nodes = eml_nodes THEN 'equal' ELSE 'worse' END AS outcome,
+      tree_alpha >= {measures.threshold()!r} AND new_eml_nodes / ast_nodes < {measures.threshold()!r} AS crossed FROM y1 JOIN m USING (expr_id) JOIN u USING (expr_id))
+"""
+
+
+STUDY = BASE + _rewriting()
+GAINS = f"""count(*) AS n, round(100.0::DOUBLE * avg((outcome = 'improved')::INT), 6) AS percent_improved, round(100.0::DOUBLE * avg((outcome = 'worse')::INT), 6) AS percent_worse,
+ round(100.0::DOUBLE * avg((tree_alpha < {measures.threshold()!r})::INT), 6) AS percent_below_before, round(100.0::DOUBLE * avg((new_alpha < {measures.threshold()!r})::INT), 6) AS percent_below_after,
+ round(avg(gain), 6) AS gain_mean, round(quantile_cont(gain, 0.5), 6) AS gain_median, round(quantile_cont(gain, 0.9), 6) AS gain_p90"""
+
+ORACLE |= {
+    "rewrite_rows": STUDY + "SELECT expr_id, rule_mode, normal_form, new_ast_nodes, new_eml_nodes, round(gain, 9) AS gain, outcome, crossed FROM y",
+    "rewrite_summary": STUDY + f"SELECT rule_mode, {GAINS} FROM y GROUP BY ALL",
+    "rewrite_by_signature": STUDY + f"SELECT rule_mode, operator_signature, {GAINS} FROM y GROUP BY ALL",
+    "rewrite_by_subset": STUDY + f"SELECT rule_mode, subset, {GAINS} FROM (SELECT 'all_v1' AS subset, y.* FROM y UNION ALL SELECT feature_subset, y.* FROM y) GROUP BY ALL",
+    "rewrite_outcomes": STUDY + "SELECT rule_mode, outcome, count(*) AS n FROM y GROUP BY ALL",
+    "rewrite_top_successes": STUDY + "SELECT row_number() OVER (ORDER BY crossed DESC, gain DESC, new_alpha, expr_id) AS rank, expr_id, expression, normal_form, crossed, round(gain, 6) AS shown_gain FROM y WHERE rule_mode = 'positive_real' AND outcome = 'improved' ORDER BY rank LIMIT 20",
+    "rewrite_top_failures": STUDY + "SELECT row_number() OVER (ORDER BY failure_score DESC, expr_id) AS rank, expr_id, expression, failure_score FROM (SELECT *, round(CASE WHEN gain <= 1 THEN 200.0::DOUBLE ELSE 0 END + new_alpha + 100 * greatest(0.0::DOUBLE, 1 - gain), 6) AS failure_score FROM y WHERE rule_mode = 'positive_real') ORDER BY rank LIMIT 20",
+    "rewrite_mode_gap": STUDY + "SELECT expr_id, max(new_eml_nodes) FILTER (rule_mode = 'safe') AS safe_nodes, max(new_eml_nodes) FILTER (rule_mode = 'positive_real') AS positive_nodes, max(new_eml_nodes) FILTER (rule_mode = 'safe') - max(new_eml_nodes) FILTER (rule_mode = 'positive_real') AS saved FROM y GROUP BY ALL",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exprlake.functions.stats import group_summary, rounded
-from exprlake.operators import corpus, dag, export, motifs, studies
+from exprlake.operators import corpus, dag, export, motifs, rewriting, studies
 from exprlake.plans.oracle import ORACLE as ORACLE_SQL
 
 
@@ -43,6 +43,10 @@ def on_features(f: Callable[[DataFrame], DataFrame]):
     return on_rows(lambda r: f(motifs.split_features(motifs.occurrences(corpus.edges(r), corpus.nodes(r)), corpus.measured(r), corpus.trivialities(r))))
 
 
+def on_rewriting(f: Callable[[DataFrame], DataFrame]):
+    return on_rows(lambda r: f(rewriting.study(r, corpus.measured(r), corpus.trivialities(r))))
+
+
 def log_arg_classes(edges: DataFrame) -> DataFrame:
     name = F.when(F.col("child_label") == "1", "one").when(F.col("child_label").isin("x", "y"), "symbol").otherwise(F.lower("child_label"))
     return edges.where("parent_label = 'log'").groupBy(name.alias("class")).agg(F.count("*").alias("n"))
@@ -110,4 +114,14 @@ QUERIES = {
     "dag_successes": on_rows(lambda r: dag.successes(dag.with_dag(corpus.measured(r), r))),
     "dag_failures": on_rows(lambda r: dag.failures(dag.with_dag(corpus.measured(r), r))),
 }
+QUERIES |= {
+    "rewrite_rows": on_rewriting(lambda w: w.select("expr_id", "rule_mode", "normal_form", "new_ast_nodes", "new_eml_nodes", rounded(F.col("gain"), 9).alias("gain"), "outcome", "crossed")),
+    "rewrite_summary": on_rewriting(lambda w: rewriting.summary(w, "rule_mode")),
+    "rewrite_by_signature": on_rewriting(lambda w: rewriting.summary(w, "rule_mode", "operator_signature")),
+    "rewrite_by_subset": on_rewriting(rewriting.by_subset),
+    "rewrite_outcomes": on_rewriting(lambda w: w.groupBy("rule_mode", "outcome").agg(F.count("*").alias("n"))),
+    "rewrite_top_successes": on_rewriting(rewriting.top_successes),
+    "rewrite_top_failures": on_rewriting(rewriting.top_failures),
+    "rewrite_mode_gap": on_rewriting(rewriting.mode_gap),
+}
 ORACLE = ORACLE_SQL
