@@ -60,7 +60,8 @@ def templates(urls: DataFrame) -> DataFrame:
         plain = siblings.join(totals, ["host", "steps"]).select("host", "steps", "step", ((F.col("own") >= KEEP_SHARE * F.col("total")) & (F.col("own") > 1) | F.col("step").isin("", "**") | F.col("step").startswith("{n}")).alias("keep"))
         lists = lists.withColumn("step", at).join(plain, ["host", "steps", "step"])
         lists = lists.withColumn("steps", F.concat("steps", F.array(F.when(F.col("keep"), F.col("step")).otherwise(F.lit("*"))))).drop("step", "keep")
-    return stage(lists, "url-templates")
+        lists = stage(lists, "url-templates")  # each level reads the one before three times
+    return lists
 
 
 def purities(lists: DataFrame) -> DataFrame:
