@@ -86,14 +86,16 @@ def _settle(batches):
             parent[x] = x = parent[parent[x]]
         return x
 
+    kind = None
     for batch in batches:
+        kind = batch.column(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(parent.setdefault(a, a)), find(parent.setdefault(b, b))
             if a != b:
                 parent[max(a, b)] = min(a, b)
     nodes = list(parent)
     if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([find(x) for x in nodes])], ["node", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "root"])
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -94,7 +94,9 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
 
 def write_archives(rows: DataFrame, path: str) -> None:
     """One text file set per archive, records in offset order."""
-    rows.repartition("archive").sortWithinPartitions("archive", "offset").select("archive", F.col("record").alias("value")).write.option("lineSep", "").partitionBy("archive").text(path)
+    but_end = F.expr("substring(record, 1, length(record) - 2)")  # the writer adds each record's last line end
+    rows = rows.repartition("archive").sortWithinPartitions("archive", "offset").select("archive", but_end.alias("value"))
+    rows.write.option("lineSep", CRLF).partitionBy("archive").text(path)
 
 
 def decayed(pages: DataFrame, key: str = "page_id", html: str = "html", below: str = "05") -> DataFrame:
