@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 #: Rows of the fitting sample on average, slots of the hash, slots kept, n-gram lengths.
 FIT_ROWS, BITS, KEPT, LENGTHS = 24_000, 20, 12_288, (3, 4, 5, 6)
 #: Count smoothing, least |z| of a kept ratio, ridge strength and steps of the regression.
-SMOOTH, LEAST_Z, RIDGE, STEPS = 0.5, 3.5, 1e-4, 400
+SMOOTH, LEAST_Z, RIDGE, STEPS = 0.5, 3.0, 1e-3, 400
 THRESHOLD = 0.3
 UNIT_CHARS = 2_000_000
 
