@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exprlake.functions.grammar import PLACES
@@ -44,6 +44,13 @@ def bottom_up(step: str, kind: str) -> Column:
     return F.expr(f"aggregate(sequence({PLACES}, 1), {start}, (acc, p) -> concat({body}, acc))")
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with further columns that are computed once a row.
+
+    A plain projection would be merged into later ones, and a lambda that reads the column would then compute it again in each step."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def eml_depths() -> Column:
     whens = " ".join(f"WHEN '{k}' THEN {v.format(a='q.a', b='q.b')}" for k, v in EML_DEPTH.items())
     return bottom_up(f"CASE WHEN q.l IS NULL THEN NULL ELSE cast(CASE q.l {whens} ELSE 0 END as int) END", "int")

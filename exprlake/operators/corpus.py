@@ -20,8 +20,9 @@ def expressions(keys: DataFrame, key: str = "event_id") -> DataFrame:
     label = grammar.label("expr_id", "p", "(length(bin(p)) - 1)", "target_depth", "q.positive")
     step = f"transform(array(named_struct('here', coalesce({here}, false), 'positive', {positive})), q -> named_struct('label', CASE WHEN q.here THEN {label} END, 'positive', q.positive))"
     heap = f"aggregate(sequence(1L, {grammar.PLACES}L), cast(array() as array<struct<label: string, positive: boolean>>), (acc, p) -> concat(acc, {step}))"
-    rows = rows.withColumn("labels", F.expr(f"transform({heap}, x -> x.label)"))
-    return rows.withColumn("subtrees", measures.subtrees()).withColumn("depths", measures.eml_depths())
+    rows = measures.computed(rows, heap=F.expr(heap))
+    rows = measures.computed(rows, labels=F.expr("transform(heap, x -> x.label)")).drop("heap")
+    return measures.computed(rows, subtrees=measures.subtrees(), depths=measures.eml_depths())
 
 
 def nodes(rows: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def trivialities(rows: DataFrame) -> DataFrame:
     """Per expression: how often each trivial pattern occurs, the score, and the subset by both rules."""
     left, right = "get(labels, 2 * k + 1)", "get(labels, 2 * k + 2)"
     constant = "(get(constants, 2 * k + 1) AND get(constants, 2 * k + 2))"
-    rows = rows.withColumn("constants", measures.bottom_up("CASE WHEN q.l IS NULL THEN NULL WHEN q.l IN ('Add', 'Mul') THEN q.a AND q.b WHEN q.l IN ('exp', 'log') THEN q.a ELSE q.l = '1' END", "boolean"))
+    rows = measures.computed(rows, constants=measures.bottom_up("CASE WHEN q.l IS NULL THEN NULL WHEN q.l IN ('Add', 'Mul') THEN q.a AND q.b WHEN q.l IN ('exp', 'log') THEN q.a ELSE q.l = '1' END", "boolean"))
     count = lambda test: F.expr(f"cast(size(filter(transform(labels, (l, k) -> {test}), x -> x)) as bigint)")
     rows = rows.select(
         "expr_id",
