@@ -29,15 +29,15 @@ from pyspark.sql import types as T
 from exprlake.llm.common import components, stage
 
 #: Characters of text hashed as one unit, and words of a very long text hashed at a time.
-UNIT_CHARS, LONG_WORDS = 4_000_000, 100_000
+UNIT_CHARS, LONG_WORDS = 1_000_000, 100_000
 #: Documents of the sample that finds common shingles, times that one occurs there, and bits of the table of them.
 COMMON_SAMPLE, COMMON_TIMES, COMMON_BITS = 10_000, 6, 1 << 22
 #: Bits of the filter over the classes to compare: its size is fixed, a fuller one only lets more sets through.
 BLOOM_BITS = 1 << 25
 #: Cuts of the feature domain before thin sets share one signature.
 SEEDS = 8
-#: Classes of one signature up to which pairs are listed, classes to a block of a larger group, and shingles multiplied at a time.
-SMALL_GROUP, BLOCK, COLUMNS = 32, 512, 16_384
+#: Classes of one signature up to which pairs are listed; classes and shingles to a block of a larger group; shingles multiplied at a time.
+SMALL_GROUP, BLOCK, BLOCK_SHINGLES, COLUMNS = 32, 512, 2_000_000, 16_384
 
 _U = np.uint64
 
@@ -225,29 +225,29 @@ def fingerprints(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, f long, f2 long")
 
 
-def _common(docs: DataFrame, text: str, n: int) -> np.ndarray:
+def _common(docs: DataFrame, key: str, text: str, n: int) -> np.ndarray:
     """A table of fixed size that marks shingles which many documents of a bounded sample hold.
 
     Which ones it marks changes the number of candidates only."""
     total = docs.count()
-    sample = docs.select(text)
+    sample = docs
     if total > COMMON_SAMPLE:
-        sample = sample.where(F.pmod(F.xxhash64(text, F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * COMMON_SAMPLE / total))
+        sample = docs.where(F.pmod(F.xxhash64(key, F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * COMMON_SAMPLE / total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _units(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, n) for t in texts]).view(np.int64))], ["h"])
 
-    often = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_TIMES)
+    often = sample.select(text).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON_TIMES)
     marked = often.select(F.shiftrightunsigned("h", 64 - 22).alias("at")).distinct().toArrow()["at"].to_numpy()
     table = np.zeros(COMMON_BITS, bool)
     table[marked] = True
     return table
 
 
-def _signature_rows(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    common = docs.sparkSession.sparkContext.broadcast(np.packbits(_common(docs, text, n)))
+def _signature_rows(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    common = docs.sparkSession.sparkContext.broadcast(np.packbits(_common(docs, key, text, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # equal sets of one task send their signatures once
@@ -351,9 +351,11 @@ def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     clusters = components(stars)
     placed = open_.select("f", "c").distinct().join(clusters.withColumnsRenamed({"node": "f", "root": "cluster"}), "f")
     core = placed.groupBy("cluster", "c").count().groupBy("cluster").agg(F.max_by("c", F.struct("count", "c")).alias("core"))
-    placed = stage(placed.join(core, "cluster").select("cluster", "f", (F.col("c") == F.col("core")).alias("in_core")), "clusters")
-    sizes = placed.groupBy("cluster").agg(*(F.ceil(F.count_if(x) / BLOCK).cast("int").alias(name) for x, name in ((~F.col("in_core"), "rest"), (F.col("in_core"), "cores"))))
-    placed = placed.join(sizes, "cluster").join(sets.select("f", "node", "size", "h"), "f")
+    placed = placed.join(core, "cluster").join(sets.select("f", "size"), "f")
+    placed = stage(placed.select("cluster", "f", "size", (F.col("c") == F.col("core")).alias("in_core")), "clusters")
+    blocks = lambda x: F.ceil(F.greatest(F.count_if(x) / BLOCK, F.sum(F.when(x, F.col("size")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    counts = placed.groupBy("cluster").agg(blocks(~F.col("in_core")).alias("rest"), blocks(F.col("in_core")).alias("cores"))
+    placed = placed.drop("size").join(counts, "cluster").join(sets.select("f", "node", "size", "h"), "f")
     spot = F.xxhash64("f", F.lit(17))
     placed = placed.withColumn("spot", F.when(F.col("in_core"), F.pmod(spot, "cores")).otherwise(F.col("cores") + F.pmod(spot, "rest")).cast("int"))
     left = placed.where("not in_core").withColumn("i", F.col("spot")).withColumn("j", F.explode(F.expr("sequence(0, cores + rest - 1)"))).where("j <= i")
@@ -370,7 +372,7 @@ def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             h = t["h"].combine_chunks()
             sides.append((np.repeat(np.arange(len(t)), np.diff(h.offsets.to_numpy())), h.flatten().to_numpy()))
         both = np.intersect1d(sides[0][1], sides[1][1])
-        common = np.zeros((len(a), len(b)), np.float32)  # exact: counts stay below 2 ** 24
+        common = np.zeros((len(a), len(b)))
         for low in range(0, len(both), COLUMNS):
             part = both[low : low + COLUMNS]
             dense = []
@@ -380,7 +382,7 @@ def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x = np.zeros((len(t), len(part)), np.float32)
                 x[of[hit], spot[hit]] = 1
                 dense.append(x)
-            common += dense[0] @ dense[1].T
+            common += dense[0] @ dense[1].T  # exact: at most COLUMNS a step
         n = common.astype(np.int64)
         total = a["size"].to_numpy().astype(np.int64)[:, None] + b["size"].to_numpy().astype(np.int64) - n
         x, y = np.nonzero(100 * n >= percent * total)
@@ -403,7 +405,7 @@ def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, key: str, text: str, n: int, percent: int, prints: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) between classes that connect exactly what all pairs within the threshold connect; and their components."""
     by = Window.partitionBy("sig").orderBy("f")
-    rows = _signature_rows(docs, text, n, percent)
+    rows = _signature_rows(docs, key, text, n, percent)
     rows = rows.select("sig", "f", F.first("f").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.lag("f").over(by).alias("before"))
     shared = stage(rows.where("f <> p and f <> before").select("sig", "f", "p"), "shared")
     nodes = shared.select("f").unionByName(shared.select(F.col("p").alias("f"))).distinct()

@@ -59,6 +59,7 @@ SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(l.c, s.doc_id) AS component_id
 FROM sets s LEFT JOIN least l USING (r)
 """
 
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     found = mix.mix(table(spark, sf_dir, "documents"))
@@ -128,5 +129,16 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mix": op5_mix, "op2_warc_fixity": op2_warc_fixity, "op3_vptree": op3_vptree, "op6_urls": op6_urls, "op7_cells": op7_cells, "op8_licenses": op8_licenses, "op9_main_text": op9_main_text, "op10_toxicity": op10_toxicity}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_warc_fixity": op2_warc_fixity,
+    "op3_vptree": op3_vptree,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_mix": op5_mix,
+    "op6_urls": op6_urls,
+    "op7_cells": op7_cells,
+    "op8_licenses": op8_licenses,
+    "op9_main_text": op9_main_text,
+    "op10_toxicity": op10_toxicity,
+}
 ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_ngram_jaccard": OP4_SQL}
