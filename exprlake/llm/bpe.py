@@ -1,9 +1,9 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-Every Arrow batch of a partition is one encoding unit. The distinct new words of the batch are laid out as one
+A partition is read in units of bounded size. The distinct new words of a unit are laid out as one
 chain of symbols; an index maps each merge rank to all positions of its pair in that chain. Active ranks are applied in
 ascending order, each at all its positions, and only the neighbouring pairs of a merged position are re-indexed. Words
-are remembered between batches in a memo of bounded size, which changes speed only.
+are remembered between units in a memo of bounded size, which changes speed only.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from exprlake.llm.common import text_rows
+
 #: White space of the vocabulary's patterns (the Unicode White_Space property); str.split also cuts at \x1c-\x1f.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Entries of the word memo before it is emptied, and characters of text encoded as one unit.
-MEMO, UNIT_CHARS = 500_000, 4_000_000
+#: Entries of the younger half of the memo, characters of text encoded as one unit, and bytes of new words in one index.
+MEMO, UNIT_CHARS, INDEX_BYTES = 200_000, 1_000_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -110,10 +112,18 @@ class PairIndexCodec:
         return [np.frombuffer(b"".join(map(memo.__getitem__, c)), self.width) for c in chunks]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of every word, through one pair occurrence index over all of them."""
-        if not words:
-            return []
-        raws = [w.encode("utf-8") for w in words]
+        """Ids of every word; words of INDEX_BYTES together, or one longer word, share a pair occurrence index."""
+        out, held, size = [], [], 0
+        for w in words:
+            raw = w.encode("utf-8")
+            if held and size + len(raw) > INDEX_BYTES:
+                out += self._indexed(held)
+                held, size = [], 0
+            held.append(raw)
+            size += len(raw)
+        return out + self._indexed(held) if held else out
+
+    def _indexed(self, raws: list[bytes]) -> list[bytes]:
         lengths = np.array([len(r) for r in raws])
         flat = np.frombuffer(b"".join(raws), np.uint8)
         n, stops = len(flat), np.cumsum(lengths)
@@ -122,7 +132,7 @@ class PairIndexCodec:
         sym = np.where(last, np.array(self.final)[flat], np.array(self.inner)[flat]).tolist()
         nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
         nxt[stops - 1] = prv[starts] = -1
-        owner = np.repeat(np.arange(len(words)), lengths).tolist()
+        owner = np.repeat(np.arange(len(raws)), lengths).tolist()
         first = np.where(last[:-1], -1, self.first_rank[flat[:-1], last[1:], flat[1:]])
         places = np.flatnonzero(first >= 0)
         places = places[np.argsort(first[places], kind="stable")]
@@ -234,8 +244,9 @@ def encode(df: DataFrame, key: str, text: str, path: str, decoded: bool = False)
                 if decoded:
                     cols.append(pa.array([codec(path).decode(x.tolist()) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, out.names)
+        codec(path).older = {}  # a worker that goes on with other tasks holds one half of the memo only
 
-    return df.select(key, text).mapInArrow(run, out)
+    return text_rows(df).select(key, text).mapInArrow(run, out)
 
 
 def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
@@ -248,4 +259,4 @@ def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
             texts = [codec(path).decode(x or ()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], out.names)
 
-    return df.select(key, ids).mapInArrow(run, out)
+    return text_rows(df).select(key, ids).mapInArrow(run, out)

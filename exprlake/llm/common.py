@@ -36,6 +36,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts at most: a batch of long documents stays within a few megabytes on both sides.
+TEXT_ROWS = 1_000
+
+
+def text_rows(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches cut to TEXT_ROWS rows; results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(name))
+    if held <= 0 or held > TEXT_ROWS:
+        df.sparkSession.conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from exprlake.llm.common import components, stage
+from exprlake.llm.common import components, stage, text_rows
 
 #: Characters of text hashed as one unit, and words of a very long text hashed at a time.
 UNIT_CHARS, LONG_WORDS = 1_000_000, 100_000
@@ -222,7 +222,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(f, pa.int64()), pa.array(f2, pa.int64())], [key, "n_shingles", "f", "f2"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, f long, f2 long")
+    return text_rows(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, f long, f2 long")
 
 
 def _common(docs: DataFrame, key: str, text: str, n: int) -> np.ndarray:
@@ -465,14 +465,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in _units(batch.column(1)):
+            for start, texts in _units(batch.column(0).field(place)):
                 sets = [shingles(t, n) for t in texts]
                 pairs = [_fingerprint(h) for h in sets]
                 size = pa.array([len(h) for h in sets], pa.int64())
                 f, f2 = pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), size, f, f2], ["row", "n_shingles", "f", "f2"])
 
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(text).alias("text"))
+    place = docs.columns.index(text)
+    rows = docs.select(F.struct(*columns).alias("row"))
     schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "f", "f2")]])
     rows = rows.mapInArrow(run, schema)
     same = (rows["f"] == best["f"]) & (rows["f2"] == best["f2"]) & rows["row"][key].eqNullSafe(best["low"])

@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from exprlake.llm.common import text_rows
+
 #: Rows of the fitting sample on average, slots of the hash, slots kept, n-gram lengths.
-FIT_ROWS, BITS, KEPT, LENGTHS = 24_000, 20, 12_288, (3, 4, 5, 6)
+FIT_ROWS, BITS, KEPT, LENGTHS = 16_000, 20, 8_192, (3, 4, 5, 6)
 #: Count smoothing, least |z| of a kept ratio, ridge strength and steps of the regression.
 SMOOTH, LEAST_Z, RIDGE, STEPS = 0.5, 3.0, 1e-3, 400
 THRESHOLD = 0.3
-UNIT_CHARS = 2_000_000
+UNIT_CHARS = 250_000
 
 
 def remainder(key: Column) -> Column:
@@ -83,14 +85,24 @@ def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts[0], counts[1]
 
 
+def _slices(n: int) -> list[slice]:
+    """Parts of an array of n, so that products of parts stay small."""
+    return [slice(k, k + 1_000_000) for k in range(0, n, 1_000_000)]
+
+
 def _regression(of: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge, by full-batch Adam steps."""
     w, b, n = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), len(y)
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
-        z = np.bincount(of, w[at] * x, n) + b
+        z, part = np.full(n, b), w.astype(np.float32)
+        for s in _slices(len(of)):
+            z += np.bincount(of[s], part[at[s]] * x[s], n)
         gap = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(at, gap[of] * x, width) / n + RIDGE * w, gap.mean())
+        slope, part = RIDGE * w, (gap / n).astype(np.float32)
+        for s in _slices(len(of)):
+            slope += np.bincount(at[s], part[of[s]] * x[s], width)
+        g = np.append(slope, gap.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (0.1 + 0.9 * (1 - step / STEPS)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -103,6 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Only rows of labels whose crc32 remainder is not 2 are read. A key labelled more than once is toxic if any label says so;
     null keys and labels are left out. Beyond FIT_ROWS labelled keys, a hash of the key draws that many on average.
     """
+    docs = text_rows(docs)
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (remainder(F.col(key)) != 2))
     marks = marks.groupBy(key).agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
     n = marks.count()
@@ -138,32 +151,33 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = data["label"].to_numpy().astype(float)
     slots = data["slots"].combine_chunks()
     sizes = np.diff(slots.offsets.to_numpy())
-    at = np.searchsorted(best, slots.flatten().to_numpy())
-    of = np.repeat(np.arange(len(y)), sizes)
-    w, bias = _regression(of, at, ratio[best][at], y, len(best))
+    at = np.searchsorted(best, slots.flatten().to_numpy()).astype(np.int32)
+    of = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
+    w, bias = _regression(of, at, ratio[best].astype(np.float32)[at], y, len(best))
     weight = np.zeros(1 << BITS, np.float32)
     weight[best] = w * ratio[best]
     return {"weight": weight, "keep": keep, "bias": bias}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs' columns and score (0 to 1). A null text counts as empty and gets the intercept's score."""
+    """row (docs' columns as a struct) and score (0 to 1). A null text counts as empty and gets the intercept's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    place = docs.columns.index(text)
+    rows = text_rows(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             scores = []
-            for _, texts in _units(batch.column(text).to_pylist()):
+            for _, texts in _units(batch.column(0).field(place).to_pylist()):
                 of, slot = _features(texts, m["keep"])
                 z = np.bincount(of, m["weight"][slot].astype(np.float64), len(texts)) + m["bias"]
                 with np.errstate(over="ignore"):
                     scores.append(1 / (1 + np.exp(-z)))
-            column = pa.array(np.concatenate(scores) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["row", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -173,12 +187,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     null key is not held out. Without labels, or with one class only, every score is 0 (1 if all labels are toxic).
     """
     model = fit(docs, labels, key, text, label)
-    scored = score(docs.select(key, text), model, text)
+    scored = score(docs.select(key, text), model, text).select("row.*", "score")
     return scored.select(key, (remainder(F.col(key)) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The rows of docs, with their columns, whose score is below THRESHOLD."""
     model = fit(docs, labels, key, text, label)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    return score(packed, model, "text").where(F.col("score") < THRESHOLD).select("row.*")
+    return score(docs, model, text).where(F.col("score") < THRESHOLD).select("row.*")
