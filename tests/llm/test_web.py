@@ -84,6 +84,28 @@ def test_fixity(spark):
     assert warc.audit(good.limit(0), good.limit(0)).count() == 0
 
 
+def test_fixity_finds_exactly_the_corrupt_records(spark):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "<p>" + "ü" * (k % 7 + 2)) for k in range(2300)] + [(5, "http://h/5", "<p>twin")], "page_id long, url string, html string")
+    id_, html = F.col("page_id"), F.col("html")
+    broken = pages.where("page_id not in (300, 1100)").withColumn("html", F.when(id_ == 17, F.concat(html, F.lit("!"))).when(id_ == 700, F.substring(html, 1, 3)).when(id_.isin(1500, 1501), F.lit("?")).otherwise(html))
+    broken = broken.unionByName(spark.createDataFrame([(1200, "http://h/more", "more"), (5, "http://h/5", "<p>twin"), (2100, "http://h/2100", "<p>2")], pages.schema))
+    found = warc.audit(warc.records(pages), warc.records(broken)).where("corrupt").collect()
+    changed, missing, extra = {17, 700, 1500, 1501}, {300, 1100}, {1200, 5, 2100}
+    assert sorted((r["key"], r["state"]) for r in found) == sorted([(k, "changed") for k in changed] + [(k, "missing") for k in missing] + [(k, "extra") for k in extra])
+    back = warc.audit(warc.records(broken), warc.records(pages)).where("corrupt").collect()
+    assert {(r["key"], r["state"]) for r in back} == {(k, "changed") for k in changed} | {(k, "extra") for k in missing} | {(k, "missing") for k in extra}
+
+
+def test_decayed_replica_loses_grows_and_truncates(spark):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "<p>textü") for k in range(3000)] + [(None, None, None)], "page_id long, url string, html string")
+    rotten = {r["page_id"] for r in pages.where(F.sha2(F.col("page_id").cast("string"), 256) < "05").collect()}
+    replica = warc.decayed(pages)
+    bodies = {r["page_id"]: r["html"] for r in replica.collect()}
+    assert {len(bodies[k]) if k in bodies else 0 for k in rotten} == {0, 4, 8, 9}
+    found = warc.audit(warc.records(pages), warc.records(replica))
+    assert found.count() == 3001 and {r["key"] for r in found.where("corrupt").collect()} == rotten
+
+
 def test_records_are_read_back(spark, tmp_path):
     pages = spark.createDataFrame([(k, "http://h", "body") for k in range(3)], "page_id long, url string, html string")
     warc.write_archives(warc.records(pages), f"{tmp_path}/w")
