@@ -29,8 +29,70 @@ TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("agpl-3.0", "GNU Affero General Public License, version 3"),
+    ("apache-1.1", "Licensed under the Apache License, Version 1.1"),
+    ("bsd", "Released under the BSD License"),
+    ("bsl-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("cc-by", "CC BY 4.0"),
+    ("cc-by", "Creative Commons Attribution License"),
+    ("cc-by-nc", "Creative Commons Attribution-NonCommercial License"),
+    ("cc-by-nc-nd", "CC BY-NC-ND 4.0"),
+    ("cc-by-nc-nd", "Creative Commons Attribution-NonCommercial-NoDerivatives License"),
+    ("cc-by-nc-sa", "CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa", "Creative Commons Attribution-NonCommercial-ShareAlike License"),
+    ("cc-by-nd", "CC BY-ND 4.0"),
+    ("cc-by-nd", "Creative Commons Attribution-NoDerivatives License"),
+    ("cc-by-sa", "CC BY-SA 4.0"),
+    ("gpl-2.0", "GNU General Public License, version 2"),
+    ("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License"),
+    ("gpl-3.0", "GNU General Public License, version 3"),
+    ("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("lgpl-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3.0", "GNU Lesser General Public License, version 3"),
+    ("mpl-1.1", "Mozilla Public License, Version 1.1"),
+    ("mpl-2.0", "Mozilla Public License, Version 2.0"),
 )
 CONTAINED, BLOCK = 0.8, 64
+_NC, _SA, _ND = "nc|noncommercial|non commercial", "sa|sharealike|share alike", "nd|noderivatives|noderivs|no derivatives|no derivs"
+_V2, _V3 = "version 2|v2|license 2|or 2|gplv2", "version 3|v3|license 3|or 3|gplv3"
+#: By label: what a notice's span must hold (one phrase of each entry), and phrases that make it a sibling's.
+MUST = {
+    "agpl-3.0": ("affero", _V3),
+    "apache-1.1": ("apache", "1 1"),
+    "apache-2.0": ("apache", "2|v2"),
+    "bsd": ("bsd|redistribution",),
+    "bsl-1.0": ("organization",),
+    "cc-by": ("by|attribution",),
+    "cc-by-nc": (_NC,),
+    "cc-by-nc-nd": (_NC, _ND),
+    "cc-by-nc-sa": (_NC, _SA),
+    "cc-by-nd": (_ND,),
+    "cc-by-sa": (_SA,),
+    "gpl-2.0": (_V2,),
+    "gpl-3.0": (_V3,),
+    "lgpl-2.1": ("lesser", "2 1"),
+    "lgpl-3.0": ("lesser", _V3),
+    "mit": ("mit|permission",),
+    "mpl-1.1": ("mozilla", "1 1"),
+    "mpl-2.0": ("mozilla", "2|v2"),
+}
+BARRED = {
+    "bsl-1.0": ("associated",),
+    "cc-by": (_NC, _SA, _ND),
+    "cc-by-nc": (_SA, _ND),
+    "cc-by-nc-nd": (_SA,),
+    "cc-by-nc-sa": (_ND,),
+    "cc-by-nd": (_NC, _SA),
+    "cc-by-sa": (_NC, _ND),
+    "gpl-2.0": ("lesser", "affero", "library"),
+    "gpl-3.0": ("lesser", "affero", "library"),
+    "mit": ("organization",),
+}
+#: A span neither starts with the first of these after a barred word nor ends with the others before one: the name goes on.
+_GOES_BACK = b"general"
+_GOES_ON = frozenset(b"by nc nd sa attribution noncommercial commercial sharealike alike noderivatives noderivs derivatives derivs".split())
+#: Words before a block that are looked at too.
+LEAD = 2
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -58,6 +120,46 @@ def token_frequencies(docs: DataFrame, text: str) -> dict[bytes, int]:
     return {r["word"].encode(): r["n"] for r in rows}
 
 
+def _phrases(said: tuple[str, ...]) -> list[list[list[bytes]]]:
+    """Per entry its phrases, each a list of words."""
+    return [[p.encode().split() for p in x.split("|")] for x in said]
+
+
+def _starts(ws: list[bytes], phrases: list[list[bytes]]) -> list[tuple[int, int]]:
+    """First and last word of every place of the phrases in ws."""
+    return [(i, i + len(p) - 1) for p in phrases for i in range(len(ws) - len(p) + 1) if ws[i : i + len(p)] == p]
+
+
+class Notice:
+    """The check of a candidate block: the tight span of one template."""
+
+    def __init__(self, label: str, text: str):
+        ws = words(text)
+        self.own, self.width = frozenset(ws), len(ws) + max(4, len(ws) // 4)
+        self.need = _need(len(self.own))
+        self.must, self.barred = _phrases(MUST.get(label, ())), [p for x in _phrases(BARRED.get(label, ())) for p in x]
+
+    def share(self, block: list[bytes]) -> float:
+        """The best containment of a span that is a notice of this template, 0 without one."""
+        places = [_starts(block, phrases) for phrases in self.must]
+        if not all(places):
+            return 0.0
+        barred = _starts(block, self.barred)
+        best = 0
+        for s in range(len(block)):
+            if block[s] == _GOES_BACK and any(b == s - 1 for _, b in barred):
+                continue
+            # a longer span from s holds no fewer words, so the longest one before a barred phrase decides
+            end = min([s + self.width, len(block)])
+            first = min((a for a, _ in barred if a >= s), default=end + 1)
+            if first <= end:
+                end = first - (first > s and block[first - 1] in _GOES_ON)
+            held = len(self.own.intersection(block[s:end]))
+            if held >= self.need and held > best and all(any(s <= a and b < end for a, b in p) for p in places):
+                best = held
+        return best / len(self.own)
+
+
 class TemplateIndex:
     """Inverted index over the templates' prefixes in global frequency order."""
 
@@ -111,10 +213,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (template, word, containment).
 
     n_base counts the places of PHRASES, first_word and last_word are their smallest and largest start (null without
-    any). score is the best containment of a matching block, 1 with a phrase, else 0. A null text is empty; null or
+    any). score is the best containment of a notice's span, 1 with a phrase, else 0. A null text is empty; null or
     repeated keys pass through row by row; only key and text are read, so other columns never clash.
     """
     index = TemplateIndex(token_frequencies(docs, text))
+    notices = [Notice(*t) for t in TEMPLATES]
     phrases = [(b" " + p.encode() + b" ", label) for p, label in PHRASES]
     kind = docs.schema[key].dataType.simpleString()
     found = pa.list_(pa.struct([("template", pa.string()), ("word", pa.int64()), ("containment", pa.float64())]))
@@ -127,7 +230,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             if phrase in joined:
                 starts += _places(joined, phrase)
                 base.add(label)
-        near = [(TEMPLATES[k][0], s, c) for k, s, c in index.matches(ws)]
+        near = [(TEMPLATES[k][0], s, c) for k, s, _ in index.matches(ws) if (c := notices[k].share(ws[max(0, s - LEAD) : s + BLOCK]))]
         labels = base | {x[0] for x in near}
         score = 1.0 if base else max((x[2] for x in near), default=0.0)
         return len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [{"template": a, "word": b, "containment": c} for a, b, c in near]

@@ -138,6 +138,44 @@ def test_licenses(spark):
     assert len(found) == len(texts) + 1 and licenses.scan(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Licensed under CC BY 4.0", "cc-by"),
+        ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+        ("CC BY-SA 4.0", "cc-by-sa"),
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"),
+        ("Released under the BSD License", "bsd"),
+        ("Released under the MIT License", "mit"),
+        ("Licensed under the Mozilla Public License, Version 2.0", "mpl-2.0"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+        ("This work is licensed under the GNU General Public License, version 2", "gpl-2.0"),
+        ("GNU General Public License, version 2", "gpl-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3", "gpl-3.0"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", "lgpl-3.0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0"),
+        ("This work is licensed under a Creative Commons Attribution License", "cc-by"),
+        ("Creative Commons Attribution License", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike License", "cc-by-sa"),
+        ("The album was released in May and sold under the counter, until the shop lost its license", ""),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike License", "cc-by-nc-sa"),
+        ("Licensed under CC BY 4.0, the figures under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+    ],
+)
+def test_notices_are_told_from_their_siblings(text, want):
+    index, block = licenses.TemplateIndex({}), licenses.words("some words before it " + text + " and some words after it")
+    found = {licenses.TEMPLATES[k][0] for k, s, _ in index.matches(block) if licenses.Notice(*licenses.TEMPLATES[k]).share(block[s : s + licenses.BLOCK])}
+    assert ",".join(sorted(found)) == want
+
+
+def test_sibling_notices_in_a_scan(spark):
+    texts = ["Released under the BSD License", "Licensed under the Mozilla Public License, Version 2.0", "The song was released under the old name and the license ran out"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in rows} == {0: "bsd", 1: "mpl-2.0", 2: ""}
+    assert max(len(licenses.words(t)) + max(4, len(licenses.words(t)) // 4) for _, t in licenses.TEMPLATES) <= licenses.BLOCK // 2 + 1
+
+
 def test_template_join_equals_brute_force():
     import random
 
