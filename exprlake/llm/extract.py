@@ -4,7 +4,8 @@ Every page's containers are scored by their own running text; the page proposes
 classes, digits generalised) of its best container. Spark sums the proposals per host and path, and every host keeps
 its winning paths. Each page is then extracted again from the container on the first winning path that it has, or
 from its own best container if it has none. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out wherever they stand.
+and reader comments are left out wherever they stand. What only a class, id or role marks as such is not left out if it is
+an article, main or holds most of the page's text (reader comments may hold most of it), nor where nothing else has text.
 """
 
 from __future__ import annotations
@@ -31,34 +32,75 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "tr", "td", "th"}}
 _SCOPES = frozenset("table ul ol dl select body article section div".split())
-#: Words of a class, id or role that mark what is not the article.
-_BOILER = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side-bar|rail|aside|widget|comments?|commentlist|disqus|respond|replies|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|search|complementary|contentinfo|alert)(?:$|[\s_-])", re.I)
+#: Whole tokens of a class, id or role that mark what is not the article: a word alone, or with usual qualifiers around it.
+_COMMENTS = r"(?:comments?|commentlist|disqus|respond|replies)"
+_WORDS = rf"(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side[_-]bar|rail|aside|widget|{_COMMENTS}|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|search|complementary|contentinfo|alert)"
+_BEFORE = r"(?:(?:site|page|main|top|bottom|left|right|upper|lower|primary|secondary|global|mobile|desktop|sticky|fixed|floating|post|posts|article|entry|blog|user|reader|google|wp|js|the|block|footer|header|sidebar)[_-]+)*"
+_AFTER = r"(?:[_-]+(?:bar|box|list|item|items|link|links|wrap|wrapper|container|content|area|section|block|inner|outer|body|text|title|form|button|buttons|btn|icons?|panel|slot|unit|row|col|column|group|media|posts?|articles?|stories|left|right|top|bottom|primary|secondary|main|message|dialog|\d+\w*))*"
+_BOILER = re.compile(rf"{_BEFORE}{_WORDS}(?:[_-]+{_WORDS})*{_AFTER}", re.I)
+_READERS = re.compile(rf"{_BEFORE}{_COMMENTS}(?:[_-]+{_COMMENTS})*{_AFTER}", re.I)
 _MAIN = frozenset("article main".split())
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "own", "linked")
+    __slots__ = ("tag", "path", "up", "never", "marked", "skip", "own", "linked")
 
-    def __init__(self, tag: str, path: str, skip: bool):
-        self.tag, self.path, self.skip, self.own, self.linked = tag, path, skip, 0, 0
+    def __init__(self, tag: str, path: str, up: int, never: bool, marked: int):
+        self.tag, self.path, self.up, self.never, self.marked = tag, path, up, never, marked
+        self.skip, self.own, self.linked = never, 0, 0
 
 
-def _step(tag: str, attributes: str) -> tuple[str, bool]:
-    """A path step of tag and classes with digits generalised, and whether the element is boilerplate."""
+def _step(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """A path step of tag and classes with digits generalised, whether the element never shows article text, and whether class,
+    id or role mark it as boilerplate: 0 no, 1 yes, 2 as reader comments."""
     if not attributes:
-        return tag, tag in _DROPPED
+        return tag, tag in _DROPPED, 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     names = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
     hidden = "hidden" in re.split(r"[\s=]", attributes) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    said = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
-    return ".".join([tag, *names]), tag in _DROPPED or hidden or (tag not in ("html", "body") and bool(_BOILER.search(said)))
+    marked = 0
+    if tag not in ("html", "body") and tag not in _MAIN:
+        said = [t for k in ("class", "id", "role") for t in found.get(k, "").split() if _BOILER.fullmatch(t)]
+        marked = 2 if any(_READERS.fullmatch(t) for t in said) else bool(said)
+    return ".".join([tag, *names]), tag in _DROPPED or hidden, marked
+
+
+def _settle(nodes: list[_Node], pieces: list[tuple[int, str, bool, bool]]) -> list[tuple[int, str, bool]]:
+    """Decide which marked elements are skipped, and return the pieces outside them.
+
+    Text in links does not count for an element's share of the page's text. Where an article or main has text, a marked element
+    beside it stays skipped however long it is."""
+    held = [max(0, x.own - x.linked) for x in nodes]
+    for k in range(len(nodes) - 1, 0, -1):
+        held[nodes[k].up] += held[k]
+    dropped = [x.marked == 2 or (x.marked == 1 and 2 * size <= held[0]) for x, size in zip(nodes, held, strict=True)]
+    main = [x.tag in _MAIN and size > 0 for x, size in zip(nodes, held, strict=True)]
+    below, inside = [False] * len(nodes), [False] * len(nodes)  # an article stands below; the element is in an innermost one
+    for k in range(len(nodes) - 1, 0, -1):
+        below[nodes[k].up] |= (main[k] or below[k]) and not dropped[k]
+    for k, x in enumerate(nodes[1:], 1):
+        inside[k] = inside[x.up] or (main[k] and not below[k])
+        x.skip = x.never or nodes[x.up].skip or dropped[k] or (x.marked == 1 and below[0] and not below[k] and not inside[k])
+    if not any(t.strip() for k, t, _, _ in pieces if not nodes[k].skip):
+        for x in nodes:
+            x.skip = x.never
+    kept, edge = [], False
+    for k, text, ends, brk in pieces:
+        edge |= ends  # of left-out pieces too
+        if not nodes[k].skip:
+            kept.append((k, text, edge))
+            edge = edge and brk
+    for x in nodes:
+        if x.skip:
+            x.own = x.linked = 0
+    return kept
 
 
 def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
     """The elements of a page, and its text pieces: element, text, whether a block ends before it.
 
     Pieces in boilerplate are left out."""
-    nodes = [_Node("", ROOT, False)]
+    nodes = [_Node("", ROOT, 0, False, 0)]
     stack, pieces, links, edge = [0], [], 0, True
     at, n = 0, len(page)
     while at < n:
@@ -70,8 +112,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
             if text[0] == "<" and len(text) > 1:
                 continue
             node = nodes[stack[-1]]
-            if not node.skip:
-                pieces.append((stack[-1], text, edge))
+            if not node.never:
+                pieces.append((stack[-1], text, edge, False))
                 edge = False
                 size = len(text.strip())
                 node.own += size
@@ -101,12 +143,12 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
                     break
         edge |= tag not in _INLINE
         parent = nodes[stack[-1]]
-        if tag == "br" and not parent.skip:
-            pieces.append((stack[-1], "\n", edge))
+        if tag == "br" and not parent.never:
+            pieces.append((stack[-1], "\n", edge, True))
         if tag in _VOID:
             continue
-        step, skip = _step(tag, m.group(3))
-        nodes.append(_Node(tag, f"{parent.path}/{step}", parent.skip or skip))
+        step, never, marked = _step(tag, m.group(3))
+        nodes.append(_Node(tag, f"{parent.path}/{step}", stack[-1], parent.never or never, marked))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else n
@@ -114,7 +156,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
         if not m.group(3).endswith("/") or tag not in ("svg", "math", "path"):
             stack.append(len(nodes) - 1)
             links += tag == "a"
-    return nodes, pieces
+    return nodes, _settle(nodes, pieces)
 
 
 def _worth(nodes: list[_Node]) -> dict[str, float]:

@@ -60,6 +60,28 @@ def test_main_text(spark):
     assert extract.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["main class='content no-sidebar'", "article class='post has-comments'", "div class='with-sidebar'", "div class='content-sidebar-wrap'", "div id='layout-sidebar'", "div class='widget'", "main class='comments'", "div class='modal overlay'", "article id='related'"],
+)
+def test_wrappers_named_after_boilerplate_keep_their_text(wrapper):
+    story = "<p>" + "story text that is long enough " * 9 + "</p>"
+    page = f"<body><div class='menu'><a href=x>one</a> <a href=y>two</a></div><{wrapper}>{story}<div class='sidebar'>side</div><div class='post-comments'>said</div><p>end</p></{wrapper.split()[0]}><div class='site-footer'>foot</div></body>"
+    assert extract.proposal(page)[0].rsplit("/", 1)[-1].startswith(wrapper.split()[0])
+    text = extract.extract(page, [])[0]
+    assert text.startswith("story text") and text.endswith("end") and not any(x in text for x in ("side", "said", "foot", "one"))
+
+
+def test_nothing_but_marked_elements():
+    assert extract.extract("<body><div class='ad'><p>a few words</p></div><div class='comments'>more of them</div><script>x</script><nav>menu</nav></body>", [])[0] == "a few words\n\nmore of them"
+    assert extract.extract("<body><div class='comments'><p>only words</p></div></body>", [])[0] == "only words"
+    assert extract.extract("<body><div><p>short story</p><div class='comments'><p>" + "long comment " * 30 + "</p></div></div></body>", [])[0] == "short story"
+    assert extract.extract("<body><article><p>short story</p></article><div class='ad'>" + "long advert " * 30 + "</div></body>", [])[0] == "short story"
+    assert extract.extract("<body><main><article><h1>Title</h1><div class='widget'>" + "story " * 30 + "</div></article></main></body>", [])[0].endswith("story")
+    assert extract.extract("<body><main><article>short story</article><div class='ad'>" + "long advert " * 30 + "</div></main></body>", [])[0] == "short story"
+    assert extract.extract("<body><main hidden>none</main></body>", []) == ("", "")
+
+
 def test_host_vote_overrules_a_page(spark):
     plain = "<body><div class='story'><p>{}</p></div><div class='box'><p>{}</p></div></body>"
     rows = [(k, "http://v.net/a", plain.format("story text " * 30, "short")) for k in range(9)] + [(9, "http://v.net/b", plain.format("a story", "boxed text " * 40))]
