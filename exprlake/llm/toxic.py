@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from exprlake.llm.common import text_rows
 
 #: Rows of the fitting sample on average, slots of the hash, slots kept, n-gram lengths.
-FIT_ROWS, BITS, KEPT, LENGTHS = 16_000, 20, 8_192, (3, 4, 5, 6)
+FIT_ROWS, BITS, KEPT, LENGTHS = 24_000, 20, 12_288, (3, 4, 5, 6)
 #: Count smoothing, least |z| of a kept ratio, ridge strength and steps of the regression.
 SMOOTH, LEAST_Z, RIDGE, STEPS = 0.5, 3.0, 1e-3, 400
 THRESHOLD = 0.3
@@ -85,24 +85,31 @@ def _class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts[0], counts[1]
 
 
-def _slices(n: int) -> list[slice]:
-    """Parts of an array of n, so that products of parts stay small."""
-    return [slice(k, k + 1_000_000) for k in range(0, n, 1_000_000)]
+def _parts(sizes: np.ndarray, most: int = 1_000_000) -> list[tuple[slice, slice]]:
+    """Runs of rows and their runs of entries, of about most entries each, so that products of parts stay small."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, ends[-1], most)), [len(sizes)]]))
+    return [(slice(a, b), slice(ends[a], ends[b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _regression(of: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge, by full-batch Adam steps."""
-    w, b, n = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), len(y)
+def _regression(at: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge, by full-batch Adam steps, on the presence of features times their ratio.
+
+    at lists the features of all rows in turn, sizes how many of them each row has."""
+    width, n = len(ratio), len(y)
+    w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
+    parts = _parts(sizes)
     for step in range(1, STEPS + 1):
-        z, part = np.full(n, b), w.astype(np.float32)
-        for s in _slices(len(of)):
-            z += np.bincount(of[s], part[at[s]] * x[s], n)
+        z, scaled = np.full(n, b), w * ratio
+        for rows, entries in parts:
+            of = np.repeat(np.arange(rows.stop - rows.start), sizes[rows])
+            z[rows] += np.bincount(of, scaled[at[entries]], rows.stop - rows.start)
         gap = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        slope, part = RIDGE * w, (gap / n).astype(np.float32)
-        for s in _slices(len(of)):
-            slope += np.bincount(at[s], part[of[s]] * x[s], width)
-        g = np.append(slope, gap.mean())
+        slope = np.zeros(width)
+        for rows, entries in parts:
+            slope += np.bincount(at[entries], np.repeat(gap[rows], sizes[rows]), width)
+        g = np.append(RIDGE * w + slope * ratio / n, gap.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.05 * (0.1 + 0.9 * (1 - step / STEPS)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -135,25 +142,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     keep = np.zeros(1 << BITS, bool)
     keep[best] = True
     spark = docs.sparkSession
-    kept = spark.sparkContext.broadcast(keep)
+    kept = spark.sparkContext.broadcast((keep, best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _units(batch.column(1).to_pylist()):
-                of, slot = _features(texts, kept.value)
-                cuts = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
-                slots = pa.ListArray.from_arrays(pa.array(cuts), pa.array(slot.astype(np.int32)))
+                of, slot = _features(texts, kept.value[0])
+                at = np.searchsorted(kept.value[1], slot).astype(np.uint16)  # two bytes each: KEPT places at most
+                cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+                places = pa.array([at[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), slots], ["k", "label", "slots"])
-
-    data = sample.select(F.col(key).cast("string"), "text", "label").mapInArrow(run, "k string, label int, slots array<int>").toArrow()
-    data = data.sort_by([("k", "ascending"), ("label", "ascending")])  # the order of the sum, so that reruns agree
-    y = data["label"].to_numpy().astype(float)
-    slots = data["slots"].combine_chunks()
-    sizes = np.diff(slots.offsets.to_numpy())
-    at = np.searchsorted(best, slots.flatten().to_numpy()).astype(np.int32)
-    of = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    w, bias = _regression(of, at, ratio[best].astype(np.float32)[at], y, len(best))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2).cast(pa.int32()), places], ["k", "label", "places"])
+
+    data = sample.select(F.col(key).cast("string"), "text", "label").mapInArrow(run, "k string, label int, places binary").toArrow()
+    rows = data.select(["k", "label"]).append_column("row", pa.array(np.arange(data.num_rows)))
+    order = rows.sort_by([("k", "ascending"), ("label", "ascending")])["row"].to_numpy()  # the order of the sum, so that reruns agree
+    y = data["label"].to_numpy().astype(float)[order]
+    held = data["places"].to_pylist()
+    del data, rows
+    sizes = np.array([len(x) // 2 for x in held])[order]
+    at = np.frombuffer(b"".join([held[k] for k in order]), np.uint16)
+    del held
+    w, bias = _regression(at, sizes, ratio[best], y)
     weight = np.zeros(1 << BITS, np.float32)
     weight[best] = w * ratio[best]
     return {"weight": weight, "keep": keep, "bias": bias}
