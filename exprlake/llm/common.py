@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,22 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="exprlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Paths of staged tables by the DataFrame that reads them, for release().
+_staged: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the result survives a lost executor and has no lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/exprlake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _staged[table] = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for table in tables:
+        if path := _staged.pop(table, None):
+            jvm = table.sparkSession._jvm
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(there, True)
 
 
 #: Rows of an Arrow batch of texts at most: a batch of long documents stays within a few megabytes on both sides.
@@ -69,17 +87,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = edges.select("a", "b").where("a is not null and b is not null and a <> b")
     edges = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(edges)
-    if before[0] <= SMALL_GRAPH:
+    if SMALL_GRAPH and edges.count() <= SMALL_GRAPH:
         kind = edges.schema["a"].dataType.simpleString()
-        return stage(edges.coalesce(1).mapInArrow(_settle, f"node {kind}, root {kind}"), "roots")
+        roots = stage(edges.coalesce(1).mapInArrow(_settle, f"node {kind}, root {kind}"), "roots")
+        release(edges)
+        return roots
+    before = _state(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last, edges = edges, stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        release(last)
         after = _state(edges)
         if after == before:
             break

@@ -22,11 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from exprlake.llm.common import components, stage, text_rows
+from exprlake.llm.common import components, release, stage, text_rows
 
 #: Characters of text hashed as one unit, and words of a very long text hashed at a time.
 UNIT_CHARS, LONG_WORDS = 1_000_000, 100_000
@@ -34,6 +33,8 @@ UNIT_CHARS, LONG_WORDS = 1_000_000, 100_000
 COMMON_SAMPLE, COMMON_TIMES, COMMON_BITS = 10_000, 6, 1 << 22
 #: Bits of the filter over the classes to compare: its size is fixed, a fuller one only lets more sets through.
 BLOOM_BITS = 1 << 25
+#: Bits of the table of rows that may go: of fixed size too, so at most 2 ** 19 words of 64 bits; a fuller one only sends more rows to the exact test.
+GONE_BITS = 25
 #: Cuts of the feature domain before thin sets share one signature.
 SEEDS = 8
 #: Classes of one signature up to which pairs are listed; classes and shingles to a block of a larger group; shingles multiplied at a time.
@@ -206,8 +207,8 @@ def _units(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, n_shingles, f, f2: the size and the 128-bit fingerprint of every document's set."""
+def fingerprints(docs: DataFrame, key: str, text: str, n: int, row: bool = False) -> DataFrame:
+    """key, n_shingles, f, f2: the size and the 128-bit fingerprint of every document's set; with row also r, r2, a hash of the whole row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,10 +220,17 @@ def fingerprints(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
                     size.append(len(h))
                     f.append(a)
                     f2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(f, pa.int64()), pa.array(f2, pa.int64())], [key, "n_shingles", "f", "f2"])
+            cols = [batch.column(0), pa.array(size, pa.int64()), pa.array(f, pa.int64()), pa.array(f2, pa.int64()), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(cols, [key, "n_shingles", "f", "f2", "r", "r2"][: len(cols)])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return text_rows(docs).select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, f long, f2 long")
+    kind, more = docs.schema[key].dataType.simpleString(), [c.alias(n) for c, n in zip(row_hash(docs), ("r", "r2"), strict=True)] if row else []
+    return text_rows(docs).select(key, text, *more).mapInArrow(run, f"`{key}` {kind}, n_shingles long, f long, f2 long" + ", r long, r2 long" * row)
+
+
+def row_hash(docs: DataFrame) -> list[Column]:
+    """128 bits of a whole row, as two longs."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
 
 
 def _common(docs: DataFrame, key: str, text: str, n: int) -> np.ndarray:
@@ -412,13 +420,16 @@ def links(docs: DataFrame, key: str, text: str, n: int, percent: int, prints: Da
     sets = stage(_sets(docs, key, text, n, prints, nodes), "sets")
     tested = stage(shared.select("p", "f").distinct(), "pairs")
     found = stage(_verified(tested, sets, percent), "links")
-    roots = components(found)
+    roots = components(found)  # a table of its own
     of = sets.select("f", "node").join(roots, "node", "left").select("f", F.coalesce("root", "node").alias("c"))
     members = shared.select("sig", "f").unionByName(shared.groupBy("sig").agg(F.first("p").alias("f")))
     placed = stage(members.join(of, "f"), "placed")
+    release(shared)
     apart = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("sig", "n")
     open_ = stage(placed.join(apart, "sig"), "open")
+    release(placed)
     if open_.isEmpty():
+        release(open_, tested, sets)
         return found, roots
     few = open_.where(F.col("n") <= SMALL_GROUP)
     pairs = few.join(few.select("sig", F.col("f").alias("p"), F.col("c").alias("pc")), "sig").where("c < pc")
@@ -427,7 +438,8 @@ def links(docs: DataFrame, key: str, text: str, n: int, percent: int, prints: Da
     many = open_.where(F.col("n") > SMALL_GROUP)
     if not many.isEmpty():
         more = more.unionByName(_blocked(many, sets, percent))
-    found = stage(found.unionByName(more), "links")
+    first, found = found, stage(found.unionByName(more), "links")
+    release(first, roots, open_, tested, sets)
     return found, components(found)
 
 
@@ -456,28 +468,31 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     The row with the smallest key stays, null last; among rows of one key, the one whose whole row hashes lowest. Rows
     without words all stay.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    prints = stage(fingerprints(docs, key, text, n), "prints")
-    _, roots = links(docs, key, text, n, percent, prints)
-    classes = prints.where("n_shingles > 0").groupBy(node("f", "f2").alias("node"), "f", "f2").agg(F.min(key).alias("low"))
-    classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "f", "f2")).alias("x")).select("x.low", "x.f", "x.f2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in _units(batch.column(0).field(place)):
-                sets = [shingles(t, n) for t in texts]
-                pairs = [_fingerprint(h) for h in sets]
-                size = pa.array([len(h) for h in sets], pa.int64())
-                f, f2 = pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), size, f, f2], ["row", "n_shingles", "f", "f2"])
-
-    place = docs.columns.index(text)
-    rows = docs.select(F.struct(*columns).alias("row"))
-    schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "f", "f2")]])
-    rows = rows.mapInArrow(run, schema)
-    same = (rows["f"] == best["f"]) & (rows["f2"] == best["f2"]) & rows["row"][key].eqNullSafe(best["low"])
-    kept = rows.where("n_shingles > 0").join(best, same, "left_semi")
-    first = Window.partitionBy("f", "f2", F.col("row")[key]).orderBy("hash")
-    kept = kept.withColumn("hash", F.xxhash64("row")).withColumn("turn", F.row_number().over(first)).where("turn = 1")
-    return kept.select("row").unionByName(rows.where("n_shingles = 0").select("row")).select("row.*")
+    prints = stage(fingerprints(docs, key, text, n, row=True), "prints")
+    found, roots = links(docs, key, text, n, percent, prints)
+    best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("low"), "r", "r2"))
+    classes = prints.where("n_shingles > 0").groupBy("f", "f2").agg(F.count("*").alias("rows"), best.alias("best")).withColumn("node", node("f", "f2"))
+    classes = stage(classes.join(roots, "node", "left").select("f", "f2", "rows", "best", F.coalesce("root", "node").alias("root")), "classes")
+    groups = classes.groupBy("root").agg(F.sum("rows").alias("rows"), F.min("best").alias("best")).where("rows > 1")
+    stays = classes.select("f", "f2", "root").join(groups, "root").select("f", "f2", F.col("best.r").alias("kept"), F.col("best.r2").alias("kept2"))
+    rows = prints.where("n_shingles > 0").join(stays, ["f", "f2"]).groupBy("r", "r2").agg(F.count("*").alias("copies"), F.max((F.col("r") == F.col("kept")) & (F.col("r2") == F.col("kept2"))).alias("stays"))
+    named = stage(rows.where("not stays or copies > 1").select("r", "r2", "stays"), "named")  # rows that go, and those of which one copy stays
+    release(found, roots, prints, classes)
+    return _without(docs, named)
+
+
+def _without(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs that named (r, r2, stays: hashes of whole rows) does not name, and one row for each name with stays.
+
+    A table of bits of fixed size tells which rows may be named: only those are shuffled for the exact test."""
+    spot = F.col("r").bitwiseAND(F.lit((1 << GONE_BITS) - 1))
+    word, bit = F.shiftright(spot, 6), spot.bitwiseAND(F.lit(63)).cast("int")
+    table = named.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(r & 63 as int))")).alias("bits"))
+    r, r2 = row_hash(docs)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), r.alias("r"), r2.alias("r2")).withColumn("word", word)
+    rows = rows.join(F.broadcast(table), "word", "left")  # 2 ** 19 rows of two numbers at most
+    hit = F.coalesce(F.getbit("bits", bit) == 1, F.lit(False))
+    maybe = rows.where(hit).select("row", "r", "r2").join(named, ["r", "r2"], "left").where("coalesce(stays, true)")
+    turn = F.when(F.col("stays"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())  # rows that are not named are no copies
+    maybe = maybe.withColumn("turn", turn).dropDuplicates(["r", "r2", "turn"])
+    return rows.where(~hit).select("row").unionByName(maybe.select("row")).select("row.*")

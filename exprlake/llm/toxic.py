@@ -1,8 +1,8 @@
 """Toxicity by a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
 A feature is the presence of a character n-gram (3 to 6 code points, lower-cased, white space as blanks), hashed to 2^20
-slots. Counts of present features by class give each slot's smoothed log-count ratio; the slots whose ratio is most
-significant are kept, and a logistic regression is fitted on their presence times ratio. The fit uses a bounded
+slots. Counts of present features by class give each slot's smoothed log-count ratio; the slots whose ratio is
+significant take part, and a logistic regression is fitted on their presence times ratio. The fit uses a bounded
 sample of labelled rows (FIT_ROWS); scoring reads every whole text.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from exprlake.llm.common import text_rows
 
-#: Rows of the fitting sample on average, slots of the hash, slots kept, n-gram lengths.
-FIT_ROWS, BITS, KEPT, LENGTHS = 24_000, 20, 12_288, (3, 4, 5, 6)
-#: Count smoothing, least |z| of a kept ratio, ridge strength and steps of the regression.
-SMOOTH, LEAST_Z, RIDGE, STEPS = 0.5, 3.0, 1e-3, 400
+#: Rows of the fitting sample on average, slots of the hash, n-gram lengths.
+FIT_ROWS, BITS, LENGTHS = 24_000, 20, (3, 4, 5, 6)
+#: Count smoothing, least |z| of a ratio that takes part, ridge strength, most steps of the regression and steps that it remembers.
+SMOOTH, LEAST_Z, RIDGE, STEPS, MEMORY = 0.5, 3.0, 1e-3, 100, 8
 THRESHOLD = 0.3
 UNIT_CHARS = 250_000
 
@@ -93,15 +93,14 @@ def _parts(sizes: np.ndarray, most: int = 1_000_000) -> list[tuple[slice, slice]
 
 
 def _regression(at: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge, by full-batch Adam steps, on the presence of features times their ratio.
+    """Logistic regression with a ridge, by L-BFGS, on the presence of features times their ratio.
 
     at lists the features of all rows in turn, sizes how many of them each row has."""
     width, n = len(ratio), len(y)
-    w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
     parts = _parts(sizes)
-    for step in range(1, STEPS + 1):
-        z, scaled = np.full(n, b), w * ratio
+
+    def cost(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z, scaled = np.full(n, x[-1]), x[:-1] * ratio
         for rows, entries in parts:
             of = np.repeat(np.arange(rows.stop - rows.start), sizes[rows])
             z[rows] += np.bincount(of, scaled[at[entries]], rows.stop - rows.start)
@@ -109,11 +108,34 @@ def _regression(at: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, y: np.ndar
         slope = np.zeros(width)
         for rows, entries in parts:
             slope += np.bincount(at[entries], np.repeat(gap[rows], sizes[rows]), width)
-        g = np.append(RIDGE * w + slope * ratio / n, gap.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.05 * (0.1 + 0.9 * (1 - step / STEPS)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        value = np.mean(np.logaddexp(0, z) - y * z) + RIDGE / 2 * x[:-1] @ x[:-1]
+        return value, np.append(RIDGE * x[:-1] + slope * ratio / n, gap.mean())
+
+    x = np.append(np.zeros(width), np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    value, g = cost(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []  # the last moves, with the change of the gradient
+    for _ in range(STEPS):
+        if np.abs(g).max() < 1e-6:
+            break
+        d, held = g.copy(), []
+        for s, t in reversed(steps):
+            a = s @ d / (s @ t)
+            held.append(a)
+            d -= a * t
+        d *= steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.sqrt(g @ g))
+        for (s, t), a in zip(steps, reversed(held), strict=True):
+            d += s * (a - t @ d / (s @ t))
+        size, slope = 1.0, g @ d
+        while True:
+            new, new_g = cost(x - size * d)
+            if new <= value - 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        s, t = -size * d, new_g - g
+        x, value, g = x + s, new, new_g
+        if s @ t > 1e-16:
+            steps = [*steps[-MEMORY + 1 :], (s, t)]
+    return x[:-1], float(x[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
@@ -137,8 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # log-count ratio of presence, each class's counts taken against its rows
     ratio = np.log((toxic + SMOOTH) / (n_toxic + 2 * SMOOTH)) - np.log((clean + SMOOTH) / (n - n_toxic + 2 * SMOOTH))
     z = np.where(toxic + clean > 0, np.abs(ratio) / np.sqrt(1 / (toxic + SMOOTH) + 1 / (clean + SMOOTH)), 0)
-    best = np.argsort(-z, kind="stable")[:KEPT]
-    best = np.sort(best[z[best] >= LEAST_Z])
+    best = np.flatnonzero(z >= LEAST_Z)
     keep = np.zeros(1 << BITS, bool)
     keep[best] = True
     spark = docs.sparkSession
@@ -148,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for batch in batches:
             for start, texts in _units(batch.column(1).to_pylist()):
                 of, slot = _features(texts, kept.value[0])
-                at = np.searchsorted(kept.value[1], slot).astype(np.uint16)  # two bytes each: KEPT places at most
+                at = np.searchsorted(kept.value[1], slot).astype(np.uint32)
                 cuts = np.searchsorted(of, np.arange(len(texts) + 1))
                 places = pa.array([at[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 part = batch.slice(start, len(texts))
@@ -160,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     y = data["label"].to_numpy().astype(float)[order]
     held = data["places"].to_pylist()
     del data, rows
-    sizes = np.array([len(x) // 2 for x in held])[order]
-    at = np.frombuffer(b"".join([held[k] for k in order]), np.uint16)
+    sizes = np.array([len(x) // 4 for x in held])[order]
+    at = np.frombuffer(b"".join([held[k] for k in order]), np.uint32)
     del held
     w, bias = _regression(at, sizes, ratio[best], y)
     weight = np.zeros(1 << BITS, np.float32)
