@@ -138,6 +138,21 @@ def _regression(at: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, y: np.ndar
     return x[:-1], float(x[-1])
 
 
+def _gathered(places: pa.ChunkedArray, order: np.ndarray, width: type) -> tuple[np.ndarray, np.ndarray]:
+    """The number of entries of every row in the given order, and all entries in turn."""
+    each = []
+    for chunk in places.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        values = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        each += [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    sizes = np.array([len(each[k]) for k in order], np.int64)
+    out, start = np.empty(int(sizes.sum()), np.uint8), 0
+    for k, size in zip(order, sizes, strict=True):
+        out[start : start + size] = each[k]
+        start += size
+    return sizes // np.dtype(width).itemsize, out.view(width)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """The model: weight of every slot, the kept slots and the intercept.
 
@@ -164,12 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     keep[best] = True
     spark = docs.sparkSession
     kept = spark.sparkContext.broadcast((keep, best))
+    width = np.uint16 if len(best) <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _units(batch.column(1).to_pylist()):
                 of, slot = _features(texts, kept.value[0])
-                at = np.searchsorted(kept.value[1], slot).astype(np.uint32)
+                at = np.searchsorted(kept.value[1], slot).astype(width)
                 cuts = np.searchsorted(of, np.arange(len(texts) + 1))
                 places = pa.array([at[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
                 part = batch.slice(start, len(texts))
@@ -179,11 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = data.select(["k", "label"]).append_column("row", pa.array(np.arange(data.num_rows)))
     order = rows.sort_by([("k", "ascending"), ("label", "ascending")])["row"].to_numpy()  # the order of the sum, so that reruns agree
     y = data["label"].to_numpy().astype(float)[order]
-    held = data["places"].to_pylist()
+    sizes, at = _gathered(data["places"], order, width)
     del data, rows
-    sizes = np.array([len(x) // 4 for x in held])[order]
-    at = np.frombuffer(b"".join([held[k] for k in order]), np.uint32)
-    del held
+    pa.default_memory_pool().release_unused()
     w, bias = _regression(at, sizes, ratio[best], y)
     weight = np.zeros(1 << BITS, np.float32)
     weight[best] = w * ratio[best]
