@@ -355,7 +355,8 @@ def _blocked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     open_ has sig, f, c (the class's component so far). Groups that share classes form a cluster; its largest component is
     its core, whose members need no comparison with each other. Every other class meets all classes of its cluster, block
     by block; a task holds two blocks."""
-    stars = open_.groupBy("sig").agg(F.min("f").alias("b")).join(open_, "sig").select(F.col("f").alias("a"), "b").distinct()
+    firsts = stage(open_.groupBy("sig").agg(F.min("f").alias("b")), "firsts")  # written, so that a large group's join can be split
+    stars = firsts.join(open_, "sig").select(F.col("f").alias("a"), "b").distinct()
     clusters = components(stars)
     placed = open_.select("f", "c").distinct().join(clusters.withColumnsRenamed({"node": "f", "root": "cluster"}), "f")
     core = placed.groupBy("cluster", "c").count().groupBy("cluster").agg(F.max_by("c", F.struct("count", "c")).alias("core"))
@@ -455,8 +456,8 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     _, roots = links(docs, key, text, n, percent, prints)
     named = prints.withColumn("node", node("f", "f2"))
     classes = named.where("n_shingles > 0").groupBy("node").agg(F.min(key).alias("low")).join(roots, "node", "left")
-    classes = classes.select("node", "low", F.coalesce("root", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("low").alias("component"))
+    classes = stage(classes.select("node", "low", F.coalesce("root", "node").alias("root")), "classes")
+    least = stage(classes.groupBy("root").agg(F.min("low").alias("component")), "components")  # written, so that a large component's join can be split
     named_components = classes.join(least, "root").select("node", "component")
     out = named.join(named_components, "node", "left")
     return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col(key)).alias("component"), "f", "f2")

@@ -18,7 +18,7 @@ from exprlake.llm.common import stage
 from exprlake.llm.vectors import cosine, matrix, unit, usable
 
 #: Vectors to a shard, queries to a block, vectors to a leaf, and spare candidates that are ranked again exactly.
-SHARD_ROWS, QUERY_ROWS, LEAF, SPARE = 8_192, 1_024, 96, 3
+SHARD_ROWS, QUERY_ROWS, LEAF, SPARE = 8_192, 8_192, 256, 3
 
 
 class VantagePointTree:
@@ -53,11 +53,18 @@ class VantagePointTree:
         seen = np.zeros(len(q), np.int64)
 
         def offer(active: np.ndarray, at: np.ndarray, s: np.ndarray) -> None:
+            """Take the scores s of the rows at, in ascending order of ids, that are as good as a query's k-th best so far."""
+            seen[active] += len(at)
             s = np.where(ids[at][None, :] == own[active][:, None], -np.inf, np.round(s, 12))
-            both, which = np.hstack([best[active], s]), np.hstack([rows[active], np.broadcast_to(at, s.shape)])
+            hit = np.flatnonzero((np.isfinite(s) & (s >= best[active, -1][:, None])).any(axis=1))
+            if not len(hit):
+                return
+            active, s = active[hit], s[hit]
+            first = np.argsort(-s, axis=1, kind="stable")[:, :k]  # equal scores stay in the order of ids
+            both = np.hstack([best[active], np.take_along_axis(s, first, 1)])
+            which = np.hstack([rows[active], at[first]])
             order = np.lexsort((np.where(which >= 0, ids[which], np.iinfo(np.int64).max), -both), axis=1)[:, :k]
             best[active], rows[active] = np.take_along_axis(both, order, 1), np.take_along_axis(which, order, 1)
-            seen[active] += len(at)
 
         def visit(node: int, active: np.ndarray) -> None:
             if not len(active):
