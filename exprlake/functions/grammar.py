@@ -13,7 +13,6 @@ DEPTH_CUTS = (3, 15, 37, 65)
 FULL_CUTS = (("Add", 30), ("Mul", 60), ("exp", 80), ("log", 100))
 POSITIVE_CUTS = (("leaf", 30), ("Add", 60), ("Mul", 85), ("exp", 100))
 LEAF_PERCENT = 15
-LEAVES = ("x", "y", "1")
 
 
 def mixed(i: str, p: str, k: int) -> str:
@@ -30,14 +29,36 @@ def target_depth(i: str) -> str:
     return cases(f"{mixed(i, '0', 9)} % 100", list(zip(range(MAX_DEPTH), DEPTH_CUTS, strict=True)), str(MAX_DEPTH))
 
 
-def leaf(i: str, p: str) -> str:
-    pick = f"{mixed(i, p, 3)} % 3"
-    return f"CASE {pick} WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE '1' END"
+#: Codes of the labels, as integer columns hold them; 0 is an empty place.
+CODES = {"x": 1, "y": 2, "1": 3, "Add": 4, "Mul": 5, "exp": 6, "log": 7}
+NAMES = {v: k for k, v in CODES.items()}
 
 
-def label(i: str, p: str, level: str, target: str, positive: str) -> str:
-    """The label of a place that exists; positive is true below a logarithm."""
-    pick = f"{mixed(i, p, 2)} % 100"
-    full = cases(pick, [(f"'{t}'", c) for t, c in FULL_CUTS[:-1]], f"'{FULL_CUTS[-1][0]}'")
-    below = cases(pick, [(leaf(i, p) if t == "leaf" else f"'{t}'", c) for t, c in POSITIVE_CUTS[:-1]], f"'{POSITIVE_CUTS[-1][0]}'")
-    return f"CASE WHEN {level} >= {target} OR {mixed(i, p, 1)} % 100 < {LEAF_PERCENT} THEN {leaf(i, p)} WHEN {positive} THEN {below} ELSE {full} END"
+def draws(i: str, p: int) -> dict[str, str]:
+    """SQL of the draws of place p: a is the draw of a leaf, b that of an operator, v that of a variable; a and b are percent numbers."""
+    every = {"v": f"cast({mixed(i, str(p), 3)} % 3 + 1 as int)", "a": f"cast({mixed(i, str(p), 1)} % 100 as int)", "b": f"cast({mixed(i, str(p), 2)} % 100 as int)"}
+    return {k: every[k] for k in ("v" if level_of(p) == MAX_DEPTH else "vab")}
+
+
+def level_of(p: int) -> int:
+    return p.bit_length() - 1
+
+
+def code_of_place(p: int, target: str) -> str:
+    """SQL of the code of place p, from its draws and from the code k<parent> above it."""
+    up, level = p // 2, level_of(p)
+    if level == MAX_DEPTH:
+        code = f"v{p}"
+    else:
+        full = cases(f"b{p}", [(CODES[t], c) for t, c in FULL_CUTS[:-1]], CODES[FULL_CUTS[-1][0]])
+        below = cases(f"b{p}", [(f"v{p}" if t == "leaf" else CODES[t], c) for t, c in POSITIVE_CUTS[:-1]], CODES[POSITIVE_CUTS[-1][0]])
+        code = f"CASE WHEN {level} >= {target} OR a{p} < {LEAF_PERCENT} THEN v{p} WHEN g{p} THEN {below} ELSE {full} END"
+    if p == 1:
+        return code
+    here = f"k{up} IN (4, 5)" + ("" if p % 2 else f" OR k{up} IN (6, 7)")
+    return f"CASE WHEN {here} THEN {code} ELSE 0 END"
+
+
+def below_logarithm(p: int) -> str:
+    """SQL of the flag of place p: the positive grammar holds from a logarithm down to the next exponential."""
+    return "false" if p == 1 else f"CASE k{p // 2} WHEN 7 THEN true WHEN 6 THEN false ELSE g{p // 2} END"

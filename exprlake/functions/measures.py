@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from exprlake.functions.grammar import PLACES
+from exprlake.functions.grammar import CODES
 
 #: Nodes that a label adds to its children in the pure EML tree, and what it adds to the estimated cost.
 EML_WEIGHT = {"x": 1, "y": 1, "1": 1, "exp": 2, "log": 6, "Add": 25, "Mul": 39}
@@ -27,47 +27,39 @@ def threshold(k: int = 4, variables: int = 3) -> float:
     return 1 + math.log(k) / math.log(4 * variables)
 
 
-def weight_sql(weights: dict, value: str) -> str:
-    return "CASE " + value + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 0 END"
-
-
 def bucket_sql(value: str, buckets, strict: bool = False) -> str:
     sign = "<" if strict else "<="
     whens = " ".join(f"WHEN {value} {sign} {high} THEN '{name}'" for name, high in buckets if high is not None)
     return f"CASE {whens} ELSE '{buckets[-1][0]}' END"
 
 
-def bottom_up(step: str, kind: str) -> Column:
-    """A fold from the last place to the first; step sees l (label), a and b (the children's values)."""
-    start = f"cast(array() as array<{kind}>)"
-    body = f"transform(array(named_struct('l', get(labels, p - 1), 'a', get(acc, p - 1), 'b', get(acc, p))), q -> {step})"
-    return F.expr(f"aggregate(sequence({PLACES}, 1), {start}, (acc, p) -> concat({body}, acc))")
-
-
-def computed(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with further columns that are computed once a row.
-
-    A plain projection would be merged into later ones, and a lambda that reads the column would then compute it again in each step."""
-    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
-
-
-def eml_depths() -> Column:
-    whens = " ".join(f"WHEN '{k}' THEN {v.format(a='q.a', b='q.b')}" for k, v in EML_DEPTH.items())
-    return bottom_up(f"CASE WHEN q.l IS NULL THEN NULL ELSE cast(CASE q.l {whens} ELSE 0 END as int) END", "int")
+def string_step(k: str, a: str | None, b: str | None) -> str:
+    """The canonical string of a place's subtree, null where there is none."""
+    leaf = f"CASE {k} WHEN 1 THEN 'x' WHEN 2 THEN 'y' WHEN 3 THEN '1' END"
+    if a is None:
+        return leaf
+    return f"CASE {k} WHEN 4 THEN concat('Add(', {a}, ', ', {b}, ')') WHEN 5 THEN concat('Mul(', {a}, ', ', {b}, ')') WHEN 6 THEN concat('exp(', {a}, ')') WHEN 7 THEN concat('log(', {a}, ')') ELSE {leaf} END"
 
 
-def subtrees() -> Column:
-    """The canonical string of every place's subtree."""
-    step = "CASE WHEN q.l IS NULL THEN NULL WHEN q.l IN ('Add', 'Mul') THEN concat(q.l, '(', q.a, ', ', q.b, ')') WHEN q.l IN ('exp', 'log') THEN concat(q.l, '(', q.a, ')') ELSE q.l END"
-    return bottom_up(step, "string")
+def depth_step(k: str, a: str | None, b: str | None) -> str:
+    """Depth of the pure EML tree of a place's subtree."""
+    if a is None:
+        return "0"
+    return f"CASE {k} " + " ".join(f"WHEN {CODES[f]} THEN {EML_DEPTH[f].format(a=a, b=b)}" for f in FAMILIES) + " ELSE 0 END"
 
 
-def count_of(*names: str) -> Column:
-    return F.size(F.filter("labels", lambda x: x.isin(*names))).cast("long")
+def value_step(k: str, a: str | None, b: str | None, x: float, y: float) -> str:
+    """The value at x and y over the extended reals: log 0 is minus infinity, and what is undefined is not a number."""
+    leaf = f"CASE {k} WHEN 1 THEN {x}D WHEN 2 THEN {y}D WHEN 3 THEN 1D END"
+    if a is None:
+        return leaf
+    log = f"CASE WHEN {a} = 0 THEN double('-Infinity') WHEN {a} < 0 THEN double('NaN') ELSE ln({a}) END"
+    return f"CASE {k} WHEN 4 THEN {a} + {b} WHEN 5 THEN {a} * {b} WHEN 6 THEN exp({a}) WHEN 7 THEN {log} ELSE {leaf} END"
 
 
-def total(weights: dict) -> Column:
-    return F.expr(f"aggregate(labels, 0L, (s, l) -> s + {weight_sql(weights, 'l')})")
+def weighed(weights: dict) -> Column:
+    """Sum of the labels' weights, from the counts; all leaves weigh one."""
+    return F.expr(" + ".join(f"{weights[f]} * n_{f.lower()}" for f in FAMILIES) + " + n_symbols + n_constants")
 
 
 def signature_sql(prefix: str = "n_") -> str:

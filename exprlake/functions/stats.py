@@ -17,6 +17,21 @@ def upper_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
+def median(value: str) -> Column:
+    """The middle value, or the mean of the two middle ones."""
+    return F.percentile(F.expr(value), 0.5)
+
+
+def percent(test: Column) -> Column:
+    """Percent of the rows that pass, nulls left out."""
+    return rounded(100 * F.avg(test.cast("double")))
+
+
+def safe_divide(a: Column, b: Column) -> Column:
+    """a / b, null where b is zero or null."""
+    return F.when(b != 0, a / b)
+
+
 def distribution(value: str, prefix: str) -> list[Column]:
     """Mean, median and interpolated 90th percentile of the finite values."""
     finite = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value).cast("double"))
@@ -33,11 +48,11 @@ def summary_columns() -> list[Column]:
     return [
         F.count("*").alias("n"),
         rounded(F.avg(a)).alias("mean_alpha"),
-        rounded(upper_rank(a, 0.5)).alias("median_alpha"),
+        rounded(median(a)).alias("median_alpha"),
         rounded(upper_rank(a, 0.9)).alias("p90_alpha"),
         rounded(upper_rank(a, 0.95)).alias("p95_alpha"),
         rounded(F.max(a)).alias("max_alpha"),
         rounded(F.avg("ast_nodes")).alias("mean_ast_nodes"),
         rounded(F.avg("eml_nodes")).alias("mean_eml_nodes"),
-        rounded(100 * F.avg((F.col(a) < threshold()).cast("double"))).alias("percent_below"),
+        percent(F.col(a) < threshold()).alias("percent_below"),
     ]

@@ -1,78 +1,126 @@
-"""The corpus as DataFrames: one row an expression, and the long node and edge tables."""
+"""The corpus as DataFrames: one wide row an expression, and the long node and edge tables.
+
+A place of the heap is an integer column (its label's code), so that labels, flags, depths, canonical strings and values are
+plain projections, level by level, which Spark compiles; queries read the columns that they need and the rest is pruned.
+Nothing here shuffles or joins.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exprlake.functions import grammar, measures
+from exprlake.functions import eml, grammar, measures, normal
 
+PLACES = range(1, grammar.PLACES + 1)
+INNER = range(1, (grammar.PLACES + 1) // 2)
+#: Values of the variables in the numeric probe.
+X, Y = 1.3, 2.1
 
-def expressions(keys: DataFrame, key: str = "event_id") -> DataFrame:
-    """expr_id, target_depth, labels, subtrees, depths for every key that is not null: arrays over the heap's places.
 
-    A row is computed by itself: no shuffle, and no other column of keys is read."""
-    rows = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("expr_id"))
-    rows = rows.withColumn("target_depth", F.expr(grammar.target_depth("expr_id")))
-    parent = "get(acc, cast(p div 2 - 1 as int))"
-    here = f"(p = 1 OR {parent}.label IN ('Add', 'Mul') OR ({parent}.label IN ('exp', 'log') AND p % 2 = 0))"
-    positive = f"CASE {parent}.label WHEN 'log' THEN true WHEN 'exp' THEN false ELSE coalesce({parent}.positive, false) END"
-    label = grammar.label("expr_id", "p", "(length(bin(p)) - 1)", "target_depth", "q.positive")
-    step = f"transform(array(named_struct('here', coalesce({here}, false), 'positive', {positive})), q -> named_struct('label', CASE WHEN q.here THEN {label} END, 'positive', q.positive))"
-    heap = f"aggregate(sequence(1L, {grammar.PLACES}L), cast(array() as array<struct<label: string, positive: boolean>>), (acc, p) -> concat(acc, {step}))"
-    rows = measures.computed(rows, heap=F.expr(heap))
-    rows = measures.computed(rows, labels=F.expr("transform(heap, x -> x.label)")).drop("heap")
-    return measures.computed(rows, subtrees=measures.subtrees(), depths=measures.eml_depths())
+Step = Callable[[str, str | None, str | None], str]
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """expr_id, node, level, label, subtree, eml_depth: one row a node."""
-    items = F.explode(F.expr("filter(transform(labels, (l, k) -> named_struct('node', k + 1L, 'label', l, 'subtree', subtrees[k], 'eml_depth', depths[k])), x -> x.label is not null)"))
-    out = rows.select("expr_id", items.alias("x")).select("expr_id", "x.*")
-    return out.select("expr_id", "node", (F.length(F.bin("node")) - 1).cast("int").alias("level"), "label", "subtree", "eml_depth")
+def up(**steps: Step) -> list[list[str]]:
+    """By level, from the last one on, SQL of columns name1, name2, ...: a step gives a place's SQL from its code and its children's columns (None on the last level)."""
+    levels = []
+    for level in range(grammar.MAX_DEPTH, -1, -1):
+        last = level == grammar.MAX_DEPTH
+        levels.append([f"{step(f'k{p}', None if last else f'{name}{2 * p}', None if last else f'{name}{2 * p + 1}')} AS {name}{p}" for name, step in steps.items() for p in range(1 << level, 2 << level)])
+    return levels
 
 
-def edges(rows: DataFrame) -> DataFrame:
-    """expr_id, parent, child, slot, parent_label, child_label: from each row's own arrays, without a join."""
-    items = F.explode(F.expr("filter(transform(labels, (l, k) -> named_struct('parent', (k + 1L) div 2, 'child', k + 1L, 'parent_label', get(labels, cast((k + 1) div 2 - 1 as int)), 'child_label', l)), x -> x.child_label is not null and x.parent > 0)"))
-    out = rows.select("expr_id", items.alias("x")).select("expr_id", "x.*")
-    slot = F.when(F.col("parent_label").isin("exp", "log"), "arg0").when(F.col("child") % 2 == 0, "left").otherwise("right")
-    return out.select("expr_id", "parent", "child", slot.alias("slot"), "parent_label", "child_label")
-
-
-def measured(rows: DataFrame) -> DataFrame:
-    """One row of sizes, depths, counts, ratios and categories an expression; no shuffle."""
-    kept = F.array_compact("subtrees")
-    last = F.expr("array_max(transform(filter(transform(labels, (l, k) -> if(l is null, 0, k + 1)), k -> k > 0), k -> k))")
-    out = rows.select(
-        "expr_id",
-        "target_depth",
-        F.col("subtrees")[0].alias("expression"),
-        F.size(kept).cast("long").alias("ast_nodes"),
-        (F.length(F.bin(last.cast("long"))) - 1).cast("int").alias("ast_depth"),
-        F.size(F.array_distinct(kept)).cast("long").alias("ast_dag_nodes"),
-        count_all().alias("n_leaves"),
-        *(measures.count_of(f).alias(f"n_{f.lower()}") for f in measures.FAMILIES),
-        measures.count_of("x", "y").alias("n_symbols"),
-        measures.count_of("1").alias("n_constants"),
-        measures.total(measures.EML_WEIGHT).alias("eml_nodes"),
-        F.col("depths")[0].alias("eml_depth"),
-        measures.total(measures.COST_WEIGHT).alias("estimated_cost"),
+def down() -> list[list[str]]:
+    """By level, from the first one on, SQL of the places' draws and flags, and then of their codes."""
+    levels = []
+    for level in range(grammar.MAX_DEPTH + 1):
+        at = range(1 << level, 2 << level)
+        drawn = [f"{sql} AS {name}{p}" for p in at for name, sql in grammar.draws("expr_id", p).items()]
+        flags = [f"{grammar.below_logarithm(p)} AS g{p}" for p in at if level < grammar.MAX_DEPTH]
+        levels += [drawn + flags, [f"{grammar.code_of_place(p, 'target_depth')} AS k{p}" for p in at]]
+    return levels
+
+
+def nested(rows: DataFrame, layers: list[list[str]]) -> DataFrame:
+    """rows with the columns of every layer, each of which may use those before it: one query, so that it is analysed once."""
+    text = "{rows}"
+    for layer in layers:
+        text = f"(SELECT *, {', '.join(layer)} FROM {text})"
+    return rows.sparkSession.sql(f"SELECT * FROM {text}", rows=rows)
+
+
+def total(test: Callable[[int], str], places=PLACES) -> Column:
+    """How many places pass the test."""
+    return F.expr("cast(" + " + ".join(f"if({test(p)}, 1, 0)" for p in places) + " as bigint)")
+
+
+def settled(rows: DataFrame, *names: str) -> DataFrame:
+    """The named columns of facts(), to be filtered.
+
+    A filter right above facts() would be pushed through its layers, and each copy of a column there doubles what it is made of;
+    a generator's output stays where it is."""
+    return rows.select(F.inline(F.array(F.struct(*names))))
+
+
+def facts(keys: DataFrame, key: str = "event_id") -> DataFrame:
+    """Every column of an expression that the studies read. Filter them behind settled() only."""
+    rows = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("expr_id"))
+    constant = lambda k, a, b: f"{k} = 3" if a is None else f"CASE WHEN {k} IN (4, 5) THEN {a} AND {b} WHEN {k} IN (6, 7) THEN {a} ELSE {k} = 3 END"
+    forms = {f"{mode}_": lambda k, a, b, mode=mode: normal.step(mode, k, a, b) for mode in normal.MODES}
+    climbs = up(s=measures.string_step, d=measures.depth_step, c=constant, e=lambda k, a, b: measures.value_step(k, a, b, X, Y), **forms)
+    rows = nested(rows, [[f"{grammar.target_depth('expr_id')} AS target_depth"], *down(), *climbs])
+    every = lambda name: F.array(*(F.col(f"{name}{p}") for p in PLACES))
+    names = F.array(*(F.expr("CASE k%d " % p + " ".join(f"WHEN {c} THEN '{n}'" for n, c in grammar.CODES.items()) + " END") for p in PLACES))
+    count = {f"n_{f.lower()}": total(lambda p, c=grammar.CODES[f]: f"k{p} = {c}", INNER) for f in measures.FAMILIES}
+    left, right = (lambda p: f"k{2 * p}"), (lambda p: f"k{2 * p + 1}")
+    rows = rows.select(
+        "*",
+        names.alias("labels"),
+        every("s").alias("subtrees"),
+        every("d").alias("depths"),
+        every("k").alias("codes"),
+        F.col("s1").alias("expression"),
+        F.col("d1").alias("eml_depth"),
+        F.col("e1").alias("value"),
+        *(c.alias(n) for n, c in count.items()),
+        total(lambda p: f"k{p} IN (1, 2)").alias("n_symbols"),
+        total(lambda p: f"k{p} = 3").alias("n_constants"),
+        F.expr("CASE " + " ".join(f"WHEN {' + '.join(f'k{p}' for p in range(1 << v, 2 << v))} > 0 THEN {v}" for v in range(grammar.MAX_DEPTH, 0, -1)) + " ELSE 0 END").alias("ast_depth"),
+        total(lambda p: f"k{p} = 5 AND ({left(p)} = 3 OR {right(p)} = 3)", INNER).alias("mul_by_one"),
+        total(lambda p: f"k{p} IN (4, 5) AND c{2 * p} AND c{2 * p + 1}", INNER).alias("constant_only"),
+        total(lambda p: f"k{p} = 7 AND {left(p)} = 3", INNER).alias("log_one"),
+        total(lambda p: f"k{p} = 6 AND {left(p)} = 7", INNER).alias("exp_log"),
+        total(lambda p: f"k{p} = 7 AND {left(p)} = 6", INNER).alias("log_exp"),
+        total(lambda p: f"k{p} IN (4, 5) AND {left(p)} = 3 AND {right(p)} = 3", INNER).alias("number_only"),
+        *(F.col(f"{mode}_1").alias(f"form_{mode}") for mode in normal.MODES),
     )
-    return categories(out)
+    rows = rows.select("*", F.expr("n_symbols + n_constants").alias("n_leaves"), F.expr("n_symbols + n_constants + n_add + n_mul + n_exp + n_log").alias("ast_nodes"))
+    distinct = F.array_distinct(F.array_compact("subtrees"))
+    rows = rows.select("*", F.size(distinct).cast("long").alias("ast_dag_nodes"), measures.weighed(measures.EML_WEIGHT).alias("eml_nodes"), measures.weighed(measures.COST_WEIGHT).alias("estimated_cost"), eml.dag_nodes("codes").alias("eml_dag_nodes"))
+    return categories(trivial(rows))
 
 
-def count_all():
-    return measures.count_of("x", "y", "1")
+def trivial(rows: DataFrame) -> DataFrame:
+    """rows with the triviality scores, and the subset by the rule of counters and by the rule of features."""
+    every = F.expr("mul_by_one + constant_only + log_one + exp_log + log_exp")
+    flags = F.expr("if(mul_by_one > 0, 1L, 0L) + if(log_one > 0, 1L, 0L) + if(exp_log > 0, 1L, 0L) + if(log_exp > 0, 1L, 0L) + number_only")
+    subset = lambda score: F.when(score > 0, "identity_heavy_v1").otherwise("nontrivial_v1")
+    return rows.select("*", every.alias("total_score"), flags.alias("triviality_score"), subset(every).alias("counter_subset"), subset(flags).alias("feature_subset"))
 
 
 def categories(rows: DataFrame) -> DataFrame:
-    """Ratios, threshold flag, buckets, signature, family and split of measured rows."""
-    alpha = F.col("eml_nodes") / F.col("ast_nodes")
+    """Ratios, threshold flags, buckets, signature, family and split."""
+    ratio = lambda a, b: F.col(a) / F.col(b)
+    alpha = ratio("eml_nodes", "ast_nodes")
     return rows.select(
         "*",
         alpha.alias("tree_alpha"),
-        (F.col("ast_nodes") / F.col("ast_dag_nodes")).alias("ast_compression"),
+        ratio("ast_nodes", "ast_dag_nodes").alias("ast_compression"),
+        ratio("eml_dag_nodes", "ast_nodes").alias("dag_alpha"),
+        ratio("eml_dag_nodes", "ast_dag_nodes").alias("dag_alpha_vs_dag"),
+        ratio("eml_nodes", "eml_dag_nodes").alias("dag_compression"),
         (alpha < measures.threshold()).alias("below_threshold"),
         F.expr(measures.bucket_sql("ast_nodes", measures.AST_NODE_BUCKETS)).alias("ast_node_bucket"),
         F.expr(measures.bucket_sql("ast_depth", measures.AST_DEPTH_BUCKETS)).alias("ast_depth_bucket"),
@@ -84,29 +132,26 @@ def categories(rows: DataFrame) -> DataFrame:
     )
 
 
-def split_of(key: str, seed: int = 0):
+def split_of(key: str, seed: int = 0) -> Column:
     """train below 0.7, validation below 0.85, else test, by the first 64 bits of a SHA-256 over seed and key."""
     bits = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), 1, 16), 16, 10)
     share = bits.cast("decimal(20,0)").cast("double") / F.lit(float(2**64))
     return F.when(share < 0.7, "train").when(share < 0.85, "validation").otherwise("test")
 
 
-def trivialities(rows: DataFrame) -> DataFrame:
-    """Per expression: how often each trivial pattern occurs, the score, and the subset by both rules."""
-    left, right = "get(labels, 2 * k + 1)", "get(labels, 2 * k + 2)"
-    constant = "(get(constants, 2 * k + 1) AND get(constants, 2 * k + 2))"
-    rows = measures.computed(rows, constants=measures.bottom_up("CASE WHEN q.l IS NULL THEN NULL WHEN q.l IN ('Add', 'Mul') THEN q.a AND q.b WHEN q.l IN ('exp', 'log') THEN q.a ELSE q.l = '1' END", "boolean"))
-    count = lambda test: F.expr(f"cast(size(filter(transform(labels, (l, k) -> {test}), x -> x)) as bigint)")
-    rows = rows.select(
-        "expr_id",
-        count(f"l = 'Mul' AND ({left} = '1' OR {right} = '1')").alias("mul_by_one"),
-        count(f"l IN ('Add', 'Mul') AND {constant}").alias("constant_only"),
-        count(f"l = 'log' AND {left} = '1'").alias("log_one"),
-        count(f"l = 'exp' AND {left} = 'log'").alias("exp_log"),
-        count(f"l = 'log' AND {left} = 'exp'").alias("log_exp"),
-        count(f"l IN ('Add', 'Mul') AND {left} = '1' AND {right} = '1'").alias("number_only"),
-    )
-    total = F.col("mul_by_one") + F.col("constant_only") + F.col("log_one") + F.col("exp_log") + F.col("log_exp")
-    flags = sum(((F.col(c) > 0).cast("long") for c in ("mul_by_one", "log_one", "exp_log", "log_exp")), F.col("number_only"))
-    subset = lambda score: F.when(score > 0, "identity_heavy_v1").otherwise("nontrivial_v1")
-    return rows.select("*", total.alias("total_score"), flags.alias("triviality_score"), subset(total).alias("counter_subset"), subset(flags).alias("feature_subset"))
+def nodes(rows: DataFrame) -> DataFrame:
+    """expr_id, node, level, label, subtree, eml_depth: one row a node."""
+    items = F.explode(F.expr("filter(transform(labels, (l, k) -> named_struct('node', k + 1L, 'label', l, 'subtree', subtrees[k], 'eml_depth', depths[k])), x -> x.label is not null)"))
+    out = rows.select("expr_id", items.alias("x")).select("expr_id", "x.*")
+    return out.select("expr_id", "node", (F.length(F.bin("node")) - 1).cast("int").alias("level"), "label", "subtree", "eml_depth")
+
+
+def edges(rows: DataFrame) -> DataFrame:
+    """expr_id, parent, child, slot, parent_label, child_label: from each row's own arrays, without a join."""
+    items = F.explode(F.expr("filter(transform(labels, (l, k) -> named_struct('parent', (k + 1L) div 2, 'child', k + 1L, 'parent_label', get(labels, cast((k + 1) div 2 - 1 as int)), 'child_label', l)), x -> x.child_label is not null and x.parent > 0)"))
+    out = rows.select("expr_id", items.alias("x")).select("expr_id", "x.*")
+    return out.select("expr_id", "parent", "child", slot("parent_label", "child").alias("slot"), "parent_label", "child_label")
+
+
+def slot(label: str, child: str) -> Column:
+    return F.when(F.col(label).isin("exp", "log"), "arg0").when(F.col(child) % 2 == 0, "left").otherwise("right")

@@ -1,89 +1,100 @@
-"""Shared-DAG sizes of the pure EML form.
+"""Studies of shared sizes: the DAG of the pure EML form against the expression as tree and as DAG, and macro graphs.
 
-A DAG's size is no sum over nodes: the compiler's macros are expanded into triples (left, right) that are interned, so
-equal subtrees count once, without ever building the tree. One expression is one row of an Arrow batch.
+A macro graph has one node for every distinct subtree, labelled by its macro, so its sizes are those of the shared expression.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exprlake.functions.measures import threshold
-from exprlake.functions.stats import rounded, upper_rank
+from exprlake.functions.stats import distribution, median, percent, rounded, upper_rank
 from exprlake.operators.studies import top
 
+METRICS = ("tree_alpha", "dag_alpha", "dag_alpha_vs_dag", "dag_compression")
 
-def dag_size(labels: list) -> int:
-    """Distinct nodes of the EML form of one heap of labels."""
-    ids: dict = {}
-    intern = lambda *t: ids.setdefault(t, len(ids))
-    one = intern("1")
-    exp = lambda z: intern(z, one)
-    log = lambda z: intern(one, exp(intern(one, z)))
-    sub = lambda a, b: intern(log(a), exp(b))
-    add = lambda a, b: sub(a, sub(log(one), b))
-    values = [None] * (len(labels) + 1)
-    for p in range(len(labels), 0, -1):
-        name = labels[p - 1]
-        if name is None:
-            continue
-        left, right = (values[k] if k < len(values) else None for k in (2 * p, 2 * p + 1))
-        if name == "Add":
-            values[p] = add(left, right)
-        elif name == "Mul":
-            values[p] = exp(add(log(left), log(right)))
-        elif name == "exp":
-            values[p] = exp(left)
-        elif name == "log":
-            values[p] = log(left)
-        else:
-            values[p] = intern(name)
-    nodes = {i: t for t, i in ids.items()}
-    seen, stack = set(), [values[1]]
-    while stack:
-        i = stack.pop()
-        if i not in seen:
-            seen.add(i)
-            stack += [x for x in nodes[i] if isinstance(x, int)]
-    return len(seen)
-
-
-def with_dag(measured: DataFrame, rows: DataFrame) -> DataFrame:
-    """measured with eml_dag_nodes, dag_alpha and dag_compression."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([dag_size(x) for x in batch.column(1).to_pylist()], pa.int64())], ["expr_id", "eml_dag_nodes"])
-
-    sizes = rows.select("expr_id", "labels").mapInArrow(run, "expr_id long, eml_dag_nodes long")
-    both = measured.join(sizes, "expr_id")
-    both = both.withColumn("dag_alpha", rounded(F.col("eml_dag_nodes") / F.col("ast_nodes"), 9))
-    return both.withColumn("dag_compression", rounded(F.col("eml_nodes") / F.col("eml_dag_nodes"), 9))
+
+def columns() -> list[Column]:
+    return [
+        F.count("*").alias("n"),
+        *(rounded(median(c)).alias(f"median_{c}") for c in METRICS),
+        rounded(upper_rank("dag_compression", 0.9)).alias("p90_dag_compression"),
+        percent(F.col("dag_alpha") < threshold()).alias("percent_below_dag"),
+        percent(F.col("dag_alpha_vs_dag") < threshold()).alias("percent_below_dag_vs_dag"),
+        rounded(median("tree_alpha - dag_alpha")).alias("median_improvement"),
+    ]
 
 
 def group_summary(rows: DataFrame, *keys: str) -> DataFrame:
-    below = lambda c: rounded(100 * F.avg((F.col(c) < threshold()).cast("double")))
-    return rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(*columns())
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Mean, median, upper ranks, maximum and percent below the threshold of every metric, as one row each."""
+    items = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in METRICS)))
+    rows = rows.select(items.alias("x")).select("x.*")
+    return rows.groupBy("metric").agg(
         F.count("*").alias("n"),
-        *(rounded(upper_rank(c, 0.5)).alias(f"median_{c}") for c in ("tree_alpha", "dag_alpha", "dag_compression")),
-        rounded(upper_rank("dag_alpha", 0.9)).alias("p90_dag_alpha"),
-        below("tree_alpha").alias("percent_below_tree"),
-        below("dag_alpha").alias("percent_below_dag"),
-        rounded(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY tree_alpha - dag_alpha)")).alias("median_improvement"),
+        rounded(F.avg("v")).alias("mean"),
+        rounded(median("v")).alias("median"),
+        rounded(upper_rank("v", 0.9)).alias("p90"),
+        rounded(upper_rank("v", 0.95)).alias("p95"),
+        rounded(F.max("v")).alias("max"),
+        percent(F.col("v") < threshold()).alias("percent_below"),
     )
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: rounded(F.col(c), 9) for c in ("dag_alpha", "dag_compression")})
+
+
 def successes(rows: DataFrame, n: int = 20) -> DataFrame:
     """Largest compression times drop in alpha."""
     drop = F.col("tree_alpha") - F.col("dag_alpha")
-    rows = rows.withColumn("drop", drop).withColumn("success_score", rounded(F.col("dag_compression") * F.greatest(drop, F.lit(0.0))))
+    rows = shown(rows.withColumns({"drop": rounded(drop, 9), "success_score": rounded(F.col("dag_compression") * F.greatest(drop, F.lit(0.0)))}))
     return top(rows, [F.desc("success_score"), F.desc("dag_compression"), F.desc("drop"), F.col("expr_id")], n, ("expr_id", "expression", "success_score", "dag_compression"))
 
 
 def failures(rows: DataFrame, n: int = 20) -> DataFrame:
-    """Largest alphas with the least compression."""
-    score = F.col("tree_alpha") + F.col("dag_alpha") + F.greatest(F.lit(0.0), 2 - F.col("dag_compression"))
-    rows = rows.withColumn("failure_score", rounded(score))
+    """Largest alphas against the expression as tree and as DAG, with the least compression."""
+    score = F.col("dag_alpha") + F.col("dag_alpha_vs_dag") + F.greatest(F.lit(0.0), 2 - F.col("dag_compression"))
+    rows = shown(rows.withColumn("failure_score", rounded(score)))
     return top(rows, [F.desc("failure_score"), F.col("dag_compression"), F.desc("dag_alpha"), F.col("expr_id")], n, ("expr_id", "expression", "failure_score", "dag_alpha"))
+
+
+def ranked_signatures(rows: DataFrame, score: str, order: list[Column], n: int = 6) -> DataFrame:
+    groups = group_summary(rows, "operator_signature").withColumn("score", rounded(F.expr(score)))
+    return top(groups, [F.desc("score"), *order, F.col("operator_signature")], n, ("operator_signature", "score", "n"))
+
+
+def best_signatures(rows: DataFrame) -> DataFrame:
+    return ranked_signatures(rows, "median_improvement * median_dag_compression", [F.desc("median_improvement"), F.desc("median_dag_compression"), F.col("median_dag_alpha")])
+
+
+def worst_signatures(rows: DataFrame) -> DataFrame:
+    return ranked_signatures(rows, "median_dag_alpha + median_dag_alpha_vs_dag + greatest(0, 2 - median_dag_compression)", [F.desc("median_dag_alpha"), F.col("median_dag_compression"), F.desc("n")])
+
+
+def safe_regimes(rows: DataFrame) -> DataFrame:
+    return ranked_signatures(rows, "percent_below_dag", [F.col("median_dag_alpha"), F.desc("median_improvement"), F.desc("n")])
+
+
+def macro_sizes(rows: DataFrame) -> DataFrame:
+    """Nodes, references and depth of the macro graph, its alpha and what it saves against the DAG of the pure form."""
+    kept = F.expr("array_distinct(filter(transform(labels, (l, k) -> named_struct('l', l, 's', subtrees[k])), x -> x.l is not null))")
+    refs = F.aggregate(kept, F.lit(0).cast("long"), lambda t, x: t + F.when(x["l"].isin("exp", "log"), 1).when(x["l"].isin("Add", "Mul"), 2).otherwise(0))
+    return rows.select(
+        "expr_id",
+        F.col("ast_dag_nodes").alias("macro_nodes"),
+        refs.alias("macro_refs"),
+        F.col("ast_depth").alias("macro_depth"),
+        rounded(F.col("ast_dag_nodes") / F.col("ast_nodes"), 9).alias("alpha_vs_tree"),
+        rounded(F.col("eml_dag_nodes") / F.col("ast_dag_nodes"), 9).alias("gain"),
+    )
+
+
+def macro_summary(rows: DataFrame, *keys: str) -> DataFrame:
+    rows = rows.withColumns({"alpha": F.col("ast_dag_nodes") / F.col("ast_nodes"), "gain": F.col("eml_dag_nodes") / F.col("ast_dag_nodes")})
+    nodes, gains = distribution("ast_dag_nodes", "nodes"), distribution("gain", "gain")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), rounded(median("alpha")).alias("median_macro_alpha"), rounded(median("gain")).alias("median_gain"), *nodes, gains[0], gains[2])

@@ -1,35 +1,86 @@
-"""Neutral graph export: node and edge tables, integrity checks, nested records and their files."""
+"""Neutral graph export in several representations: node and edge tables, integrity checks, nested records and their files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from exprlake.functions.measures import FAMILIES
+from exprlake.operators.corpus import settled
 
-def _id(place: str):
-    return F.concat_ws(":", "expr_id", place)
+MODES = ("ast_tree", "ast_dag", "macro_graph")
+#: Levels of the hierarchical graph, from the expression to its pure form.
+LEVELS = ("ast_tree", "ast_dag", "macro_graph", "eml_dag", "eml_tree")
 
 
-def graph_nodes(nodes: DataFrame, mode: str = "ast_tree") -> DataFrame:
-    kind = F.when(F.col("label").isin("x", "y"), "variable").when(F.col("label") == "1", "constant").otherwise("operator")
-    return nodes.select(F.lit(mode).alias("representation_mode"), _id("node").alias("node_id"), "expr_id", "label", kind.alias("kind"))
+def graph_nodes(rows: DataFrame) -> DataFrame:
+    """representation_mode, node_id, expr_id, label, kind: nodes of the tree, of the shared expression and of its macro graph."""
+    tree = "filter(transform(labels, (l, k) -> named_struct('id', cast(k + 1 as string), 'label', l)), x -> x.label is not null)"
+    shared = "array_distinct(filter(transform(labels, (l, k) -> named_struct('id', subtrees[k], 'label', l)), x -> x.label is not null))"
+    macro = f"transform({shared}, x -> named_struct('id', x.id, 'label', if(x.label in {FAMILIES}, concat('eml_', lower(x.label)), x.label)))"
+    out = _modes(rows, dict(zip(MODES, (tree, shared, macro), strict=True)))
+    plain = F.col("x.label")
+    kind = F.when(plain.isin("x", "y"), "variable").when(plain == "1", "constant").otherwise("operator")
+    return out.select("representation_mode", F.concat_ws(":", "expr_id", "x.id").alias("node_id"), "expr_id", plain.alias("label"), kind.alias("kind"))
 
 
-def graph_edges(edges: DataFrame, mode: str = "ast_tree") -> DataFrame:
-    return edges.select(F.lit(mode).alias("representation_mode"), "expr_id", _id("parent").alias("source"), _id("child").alias("target"), F.col("slot").alias("edge_type"))
+def graph_edges(rows: DataFrame) -> DataFrame:
+    """representation_mode, expr_id, source, target, edge_type: references from parents to children, by slot."""
+    slot = "CASE WHEN labels[p] IN ('exp', 'log') THEN 'arg0' WHEN k % 2 = 1 THEN 'left' ELSE 'right' END"
+    places = "filter(sequence(1, size(labels) - 1), k -> labels[k] is not null)"
+    tree = f"transform(transform({places}, k -> named_struct('k', k, 'p', (k - 1) div 2)), z -> named_struct('s', cast(z.p + 1 as string), 't', cast(z.k + 1 as string), 'slot', {slot.replace('[p]', '[int(z.p)]').replace('k %', 'z.k %')}))"
+    shared = f"array_distinct(transform(transform({places}, k -> named_struct('k', k, 'p', (k - 1) div 2)), z -> named_struct('s', subtrees[int(z.p)], 't', subtrees[z.k], 'slot', {slot.replace('[p]', '[int(z.p)]').replace('k %', 'z.k %')})))"
+    out = _modes(rows, dict(zip(MODES, (tree, shared, shared), strict=True)))
+    return out.select("representation_mode", "expr_id", F.concat_ws(":", "expr_id", "x.s").alias("source"), F.concat_ws(":", "expr_id", "x.t").alias("target"), F.col("x.slot").alias("edge_type"))
 
 
-def integrity(measured: DataFrame, edges: DataFrame) -> DataFrame:
+def _modes(rows: DataFrame, lists: dict[str, str]) -> DataFrame:
+    """One row an item of every mode's list."""
+    both = F.array(*(F.struct(F.lit(m).alias("mode"), F.expr(sql).alias("items")) for m, sql in lists.items()))
+    out = rows.select("expr_id", F.explode(both).alias("m")).select("expr_id", F.col("m.mode").alias("representation_mode"), F.explode("m.items").alias("x"))
+    return out
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Nodes, edges and graphs of every mode; a row's items are counted before the shuffle."""
+    nodes = graph_nodes(rows).groupBy("representation_mode", "expr_id").agg(F.count("*").alias("n")).groupBy("representation_mode").agg(F.sum("n").alias("nodes"), F.count("*").alias("graphs"))
+    edges = graph_edges(rows).groupBy("representation_mode").agg(F.count("*").alias("edges"))
+    return nodes.join(edges, "representation_mode")
+
+
+def integrity(rows: DataFrame) -> DataFrame:
     """Per expression: a tree has one edge fewer than nodes, and no node has two parents."""
-    per = edges.groupBy("expr_id").agg(F.count("*").alias("n_edges"), F.count_distinct("child").alias("n_children"))
-    both = measured.select("expr_id", F.col("ast_nodes").alias("n_nodes")).join(per, "expr_id", "left")
-    both = both.withColumn("n_edges", F.coalesce("n_edges", F.lit(0))).withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    valid = (F.col("n_edges") == F.col("n_nodes") - 1) & (F.col("n_children") == F.col("n_edges"))
-    return both.select("expr_id", "n_nodes", "n_edges", valid.alias("valid"))
+    edges = F.expr("filter(transform(labels, (l, k) -> named_struct('parent', get(labels, cast((k + 1) div 2 - 1 as int)), 'child', k, 'label', l)), x -> x.label is not null and x.parent is not null and x.child > 0)")
+    rows = rows.select("expr_id", F.col("ast_nodes").alias("n_nodes"), edges.alias("e"))
+    n, distinct = F.size("e").cast("long"), F.size(F.expr("array_distinct(transform(e, x -> x.child))"))
+    return rows.select("expr_id", "n_nodes", n.alias("n_edges"), ((n == F.col("n_nodes") - 1) & (n == distinct)).alias("valid"))
+
+
+def hierarchical_links(rows: DataFrame) -> DataFrame:
+    """Edges between the roots of neighbouring levels of every expression's hierarchical graph."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("level_from"), F.lit(b).alias("level_to")) for a, b in zip(LEVELS, LEVELS[1:], strict=False))))
+    rows = rows.select("expr_id", pairs.alias("x")).select("expr_id", "x.*")
+    root = lambda level: F.concat_ws(":", "expr_id", level, F.lit("root"))
+    return rows.select("expr_id", "level_from", "level_to", root("level_from").alias("source"), root("level_to").alias("target"))
 
 
 def records(rows: DataFrame) -> DataFrame:
     """One nested record an expression: graph_id, expression, nodes and edges as arrays of structs."""
+    rows = settled(rows, "expr_id", "expression", "labels")  # records may be filtered
     nodes = F.expr("filter(transform(labels, (l, k) -> named_struct('id', k + 1, 'label', l)), x -> x.label is not null)")
     edges = F.expr("filter(transform(labels, (l, k) -> named_struct('source', (k + 1) div 2, 'target', k + 1, 'label', l)), x -> x.label is not null and x.source > 0)")
-    return rows.select(F.concat(F.lit("ast_tree:"), "expr_id").alias("graph_id"), F.col("subtrees")[0].alias("expression"), nodes.alias("nodes"), edges.alias("edges"))
+    return rows.select(F.concat(F.lit("ast_tree:"), "expr_id").alias("graph_id"), "expression", nodes.alias("nodes"), edges.alias("edges"))
+
+
+def validated(records: DataFrame) -> DataFrame:
+    """graph_id and errors: what a record breaks of the schema's rules, empty where it is sound.
+
+    Rules: node ids are unique, the root (id 1) is there, edges end at nodes, and no parent has more than two children."""
+    checks = {
+        "node ids are not unique": F.expr("size(array_distinct(transform(nodes, n -> n.id))) < size(nodes)"),
+        "root node id is missing": F.expr("not exists(nodes, n -> n.id = 1)"),
+        "edge source missing": F.expr("exists(edges, e -> not exists(nodes, n -> n.id = e.source))"),
+        "edge target missing": F.expr("exists(edges, e -> not exists(nodes, n -> n.id = e.target))"),
+        "a parent has duplicate child slots": F.expr("size(array_distinct(transform(edges, e -> struct(e.source, e.target)))) < size(edges)"),
+    }
+    return records.select("graph_id", F.array_compact(F.array(*(F.when(test, F.lit(text)) for text, test in checks.items()))).alias("errors"))

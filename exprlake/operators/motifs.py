@@ -1,4 +1,8 @@
-"""Motifs of one or two nodes in the shared expression DAGs: mining, features by split, linear scores and selection."""
+"""Motifs of one or two operators in the shared expression DAGs: mining, features by split, linear scores and selection.
+
+A DAG's nodes are an expression's distinct subtrees. A motif of two is an operator with an operator that it refers to; both
+references to one child belong to one occurrence.
+"""
 
 from __future__ import annotations
 
@@ -13,26 +17,36 @@ from exprlake.operators.studies import top
 GRID = {"coverage": (0.0, 1.0), "nontrivial": (0.0, 0.5), "vocabulary": (0.0, 1.0), "expansion": (0.0, 0.1)}
 
 
-def occurrences(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """expr_id, signature, node_count for motifs of one operator, or of an operator and one operator child."""
-    one = nodes.where(F.col("label").isin(*FAMILIES)).select("expr_id", F.col("label").alias("signature"), F.lit(1).cast("long").alias("node_count"))
-    two = edges.where(F.col("child_label").isin(*FAMILIES))
-    return one.unionByName(two.select("expr_id", F.concat_ws("", "parent_label", F.lit("["), "slot", F.lit(":"), "child_label", F.lit("]")).alias("signature"), F.lit(2).cast("long").alias("node_count")))
+def occurrences(rows: DataFrame) -> DataFrame:
+    """expr_id, split, feature_subset, signature, node_count, c: how often each motif stands in an expression, counted inside its row."""
+    places = "filter(transform(labels, (l, k) -> named_struct('l', l, 's', subtrees[k], 'a', get(labels, 2 * k + 1), 'b', get(labels, 2 * k + 2), 'sa', get(subtrees, 2 * k + 1), 'sb', get(subtrees, 2 * k + 2))), x -> x.a is not null)"
+    left = f"""CASE WHEN x.a IN {FAMILIES} THEN CASE WHEN x.l IN ('exp', 'log') THEN concat(x.l, '[arg0:', x.a, ']') WHEN x.sa = x.sb THEN concat(x.l, '[left:', x.a, ',right:', x.b, ']') ELSE concat(x.l, '[left:', x.a, ']') END END"""
+    right = f"CASE WHEN x.b IN {FAMILIES} AND x.sa <> x.sb THEN concat(x.l, '[right:', x.b, ']') END"
+    names = f"flatten(transform(array_distinct({places}), x -> filter(array(x.l, {left}, {right}), n -> n is not null)))"
+    counted = f"transform(array({names}), z -> transform(array_distinct(z), n -> named_struct('signature', n, 'node_count', if(contains(n, '['), 2L, 1L), 'c', cast(size(filter(z, y -> y = n)) as bigint))))[0]"
+    rows = rows.select("expr_id", "split", "feature_subset", F.explode(F.expr(counted)).alias("x"))
+    return rows.select("expr_id", "split", "feature_subset", "x.*")
+
+
+def support(found: DataFrame, *keys: str) -> DataFrame:
+    return found.groupBy("signature", "node_count", *keys).agg(F.sum("c").alias("support"), F.count("*").alias("coverage"))
 
 
 def vocabulary(found: DataFrame, min_support: int = 50, size: int = 30) -> DataFrame:
     """The frequent motifs by score support * (nodes - 1), support, nodes and name."""
-    groups = found.groupBy("signature", "node_count").agg(F.count("*").alias("support"), F.count_distinct("expr_id").alias("coverage"))
-    groups = groups.where(F.col("support") >= min_support).withColumn("score", F.col("support") * (F.col("node_count") - 1))
+    groups = support(found).where(F.col("support") >= min_support).withColumn("score", F.col("support") * (F.col("node_count") - 1))
     return top(groups, [F.desc("score"), F.desc("support"), F.desc("node_count"), F.col("signature")], size, ("signature", "node_count", "support", "coverage", "score"))
 
 
-def split_features(found: DataFrame, rows: DataFrame, triviality: DataFrame) -> DataFrame:
+def by_subset(found: DataFrame) -> DataFrame:
+    """Support and coverage of every motif by subset, with the first expression that holds it."""
+    return found.groupBy("signature", "node_count", "feature_subset").agg(F.sum("c").alias("support"), F.count("*").alias("coverage"), F.min("expr_id").alias("first_expr"))
+
+
+def split_features(found: DataFrame) -> DataFrame:
     """Support, coverage and nontrivial coverage of every motif by split."""
-    per = found.groupBy("expr_id", "signature", "node_count").agg(F.count("*").alias("c"))  # partial sums before the join
-    of = rows.select("expr_id", "split").join(triviality.select("expr_id", (F.col("feature_subset") == "nontrivial_v1").alias("plain")), "expr_id")
-    per = per.join(of, "expr_id")
-    return per.groupBy("signature", "node_count", "split").agg(F.sum("c").alias("support"), F.count("*").alias("coverage"), F.count_if("plain").alias("nontrivial_coverage"))
+    plain = F.count_if(F.col("feature_subset") == "nontrivial_v1").alias("nontrivial_coverage")
+    return found.groupBy("signature", "node_count", "split").agg(F.sum("c").alias("support"), F.count("*").alias("coverage"), plain)
 
 
 def scores(features: DataFrame) -> DataFrame:
@@ -50,8 +64,24 @@ def scores(features: DataFrame) -> DataFrame:
 def selection(features: DataFrame, size: int = 5) -> DataFrame:
     """Per trial, the motifs with the best training scores, and what they score on validation rows."""
     found = scores(features)
-    rank = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("score"), "signature"))
-    best = found.where(F.col("split") == "train").withColumn("rank", rank).where(F.col("rank") <= size)
-    other = found.where(F.col("split") == "validation").select("trial", "signature", F.col("score").alias("validation_score"))
-    both = best.join(other, ["trial", "signature"], "left")
-    return both.groupBy("trial").agg(F.count("*").alias("n"), rounded(F.sum("score")).alias("train_score"), rounded(F.sum(F.coalesce("validation_score", F.lit(0.0)))).alias("validation_score"))
+    both = found.groupBy("trial", "signature").agg(*(F.max(F.when(F.col("split") == s, F.col("score"))).alias(s) for s in ("train", "validation")))
+    rank = F.row_number().over(Window.partitionBy("trial").orderBy(F.desc("train"), "signature"))
+    both = both.where("train is not null").withColumn("rank", rank).where(F.col("rank") <= size)
+    return both.groupBy("trial").agg(F.count("*").alias("n"), rounded(F.sum("train")).alias("train_score"), rounded(F.sum(F.coalesce("validation", F.lit(0.0)))).alias("validation_score"))
+
+
+def best_trial(features: DataFrame) -> DataFrame:
+    """The trial whose motifs score best on validation rows, then on training rows."""
+    return selection(features).orderBy(F.desc("validation_score"), F.desc("train_score"), "trial").limit(1)
+
+
+def train_vs_full(rows: DataFrame, min_support: int = 50) -> DataFrame:
+    """Occurrences of the two-node motifs that are frequent among training rows, against those frequent among all rows, by split and subset."""
+    per = occurrences(rows).where("node_count = 2").groupBy("split", "feature_subset", "signature").agg(F.sum("c").alias("c"))
+    known = Window.partitionBy("signature")  # a few names by six groups
+    train, every = F.coalesce(F.sum(F.when(F.col("split") == "train", F.col("c"))).over(known), F.lit(0)), F.sum("c").over(known)
+    per = per.withColumns({"in_train": train >= min_support, "in_full": every >= min_support})
+    count = lambda flag, name: F.coalesce(F.sum(F.when(F.col(flag), F.col("c"))), F.lit(0)).alias(name)
+    sums = per.groupBy("split", "feature_subset").agg(count("in_train", "train_occurrences"), count("in_full", "full_occurrences"))
+    both = rows.groupBy("split", "feature_subset").agg(F.count("*").alias("n")).join(sums, ["split", "feature_subset"], "left").fillna(0)
+    return both.withColumn("mean_delta", rounded((F.col("full_occurrences") - F.col("train_occurrences")) / F.col("n")))

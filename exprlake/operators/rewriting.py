@@ -1,81 +1,38 @@
-"""Rewriting to a normal form by identity rules, in two modes, and the study of what it saves.
-
-The safe mode knows the identities of 0 and 1 in sums and products; the positive mode, valid over positive reals, adds those
-of logarithm and exponential. Rules apply bottom up over the heap's places, on canonical strings, in plain SQL.
-"""
+"""The study of what rewriting to normal forms saves: one row an expression and mode, from the row's own columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exprlake.functions import measures
-from exprlake.functions.stats import distribution, rounded
+from exprlake.functions import measures, normal
+from exprlake.functions.stats import distribution, median, percent, rounded
+from exprlake.operators.corpus import settled
 from exprlake.operators.studies import top
 
-MODES = ("safe", "positive_real")
-#: Fixed value: nodes of zero in the pure EML form.
-ZERO_NODES = 7
-
-
-def rule_sql(mode: str, label: str, a: str, b: str) -> str:
-    """The normal form of one node, given its label and its children's normal forms; Spark and DuckDB share the text."""
-    add = f"CASE WHEN {a} = '0' THEN {b} WHEN {b} = '0' THEN {a} ELSE concat('Add(', {a}, ', ', {b}, ')') END"
-    mul = f"CASE WHEN {a} = '0' OR {b} = '0' THEN '0' WHEN {a} = '1' THEN {b} WHEN {b} = '1' THEN {a} ELSE concat('Mul(', {a}, ', ', {b}, ')') END"
-    plain = {f: f"concat('{f}(', {a}, ')')" for f in ("exp", "log")}
-    if mode == "positive_real":
-        inner = f"substr({a}, 5, length({a}) - 5)"
-        plain["exp"] = f"CASE WHEN {a} = '0' THEN '1' WHEN {a} LIKE 'log(%' THEN {inner} ELSE {plain['exp']} END"
-        plain["log"] = f"CASE WHEN {a} = '1' THEN '0' WHEN {a} LIKE 'exp(%' THEN {inner} ELSE {plain['log']} END"
-    return f"CASE {label} WHEN 'Add' THEN {add} WHEN 'Mul' THEN {mul} WHEN 'exp' THEN {plain['exp']} WHEN 'log' THEN {plain['log']} ELSE {label} END"
-
-
-def _count(text: str, part: str) -> str:
-    return f"((length({text}) - length(replace({text}, '{part}', ''))) / {len(part)})"
-
-
-def size_sql(text: str, weights: dict) -> str:
-    """Weighted count of the labels in a canonical string."""
-    total = " + ".join(f"{weights[f]} * {_count(text, f)}" for f in measures.FAMILIES)
-    leaves = f"{weights['x']} * ({_count(text, 'x')} - {_count(text, 'exp')} + {_count(text, 'y')} + {_count(text, '1')})"
-    return f"cast({total} + {leaves} + {weights['0']} * {_count(text, '0')} as bigint)"
 
-
-AST = {**dict.fromkeys(measures.EML_WEIGHT, 1), "0": 1}
-EML = {**measures.EML_WEIGHT, "0": ZERO_NODES}
-
-
-def normal_forms(rows: DataFrame) -> DataFrame:
-    """expr_id, rule_mode, normal_form: one row for each mode."""
-    forms = []
-    for mode in MODES:
-        step = f"CASE WHEN q.l IS NULL THEN NULL ELSE {rule_sql(mode, 'q.l', 'q.a', 'q.b')} END"
-        forms.append(F.struct(F.lit(mode).alias("rule_mode"), measures.bottom_up(step, "string")[0].alias("normal_form")))
-    return rows.select("expr_id", F.explode(F.array(*forms)).alias("x")).select("expr_id", "x.*")
-
-
-def study(rows: DataFrame, measured: DataFrame, triviality: DataFrame) -> DataFrame:
-    """One row an expression and mode: sizes before and after, gain, alphas and their place around the threshold."""
-    forms = normal_forms(rows).withColumn("new_ast_nodes", F.expr(size_sql("normal_form", AST))).withColumn("new_eml_nodes", F.expr(size_sql("normal_form", EML)))
-    both = forms.join(measured, "expr_id").join(triviality.select("expr_id", "feature_subset"), "expr_id")
+def study(rows: DataFrame) -> DataFrame:
+    """Sizes before and after, gain, alphas and their place around the threshold; no join."""
+    forms = F.explode(F.array(*(F.struct(F.lit(m).alias("rule_mode"), F.col(f"form_{m}").alias("normal_form")) for m in normal.MODES)))
+    rows = rows.select("*", forms.alias("form")).select("*", "form.*")
+    rows = rows.withColumns({"new_ast_nodes": F.expr(normal.size_sql("normal_form", normal.AST)), "new_eml_nodes": F.expr(normal.size_sql("normal_form", normal.EML))})
     new_alpha = F.col("new_eml_nodes") / F.col("ast_nodes")  # against the original's AST, so that both are comparable
-    return both.select(
-        "expr_id", "rule_mode", "expression", "normal_form", "operator_signature", "feature_subset", "ast_nodes", "eml_nodes", "new_ast_nodes", "new_eml_nodes", "tree_alpha",
+    return rows.select(
+        "*",
         new_alpha.alias("new_alpha"),
         (F.col("eml_nodes") / F.col("new_eml_nodes")).alias("gain"),
         F.when(F.col("new_eml_nodes") < F.col("eml_nodes"), "improved").when(F.col("new_eml_nodes") == F.col("eml_nodes"), "equal").otherwise("worse").alias("outcome"),
         ((F.col("tree_alpha") >= measures.threshold()) & (new_alpha < measures.threshold())).alias("crossed"),
-    )
+    )
 
 
 def summary(rows: DataFrame, *keys: str) -> DataFrame:
-    percent = lambda test: rounded(100 * F.avg(test.cast("double")))
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        percent(F.col("outcome") == "improved").alias("percent_improved"),
-        percent(F.col("outcome") == "worse").alias("percent_worse"),
+        *(percent(F.col("outcome") == x).alias(f"percent_{y}") for x, y in (("improved", "improved"), ("worse", "worse"), ("equal", "equal"))),
         percent(F.col("tree_alpha") < measures.threshold()).alias("percent_below_before"),
         percent(F.col("new_alpha") < measures.threshold()).alias("percent_below_after"),
+        rounded(median("new_alpha")).alias("median_new_alpha"),
         *distribution("gain", "gain"),
     )
 
@@ -85,10 +42,27 @@ def by_subset(rows: DataFrame) -> DataFrame:
     return summary(rows.withColumn("subset", F.explode(F.array(F.lit("all_v1"), F.col("feature_subset")))), "rule_mode", "subset")
 
 
-def top_successes(rows: DataFrame, n: int = 20) -> DataFrame:
-    order = [F.desc("crossed"), F.desc("gain"), F.col("new_alpha"), F.col("expr_id")]
-    kept = rows.where("rule_mode = 'positive_real' and outcome = 'improved'").withColumn("shown_gain", rounded(F.col("gain")))
-    return top(kept, order, n, ("expr_id", "expression", "normal_form", "crossed", "shown_gain"))
+def by_family(rows: DataFrame) -> DataFrame:
+    flags = {f"has_{f.lower()}": F.col(f"n_{f.lower()}") > 0 for f in measures.FAMILIES}
+    return summary(rows.withColumns(flags), "rule_mode", "dominant_family", *flags)
+
+
+def by_triviality(rows: DataFrame) -> DataFrame:
+    """Each triviality feature and its value as text, unpivoted."""
+    names = ("mul_by_one", "log_one", "exp_log", "log_exp", "number_only", "constant_only")
+    items = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), (F.col(n) > 0).cast("string").alias("value")) for n in names)))
+    return summary(rows.drop("value").select("*", items.alias("item")).select("*", "item.*"), "rule_mode", "feature", "value")
+
+
+def top_successes(rows: DataFrame, n: int = 20, subset: str | None = None) -> DataFrame:
+    """Improved rows: those that cross the threshold first, then by gain."""
+    rows = settled(rows, "expr_id", "expression", "normal_form", "crossed", "gain", "new_alpha", "rule_mode", "outcome", "feature_subset")
+    rows = rows.where("rule_mode = 'positive_real' and outcome = 'improved'")
+    if subset:
+        rows = rows.where(F.col("feature_subset") == subset)
+    rows = rows.withColumns({"shown_gain": rounded(F.col("gain")), "success_score": rounded(F.col("gain") + 10 * F.col("crossed").cast("int") - 0.01 * F.col("new_alpha"))})
+    order = [F.desc("crossed"), F.desc(rounded(F.col("gain"), 9)), rounded(F.col("new_alpha"), 9), F.col("expr_id")]
+    return top(rows, order, n, ("expr_id", "expression", "normal_form", "crossed", *(() if subset else ("shown_gain", "success_score"))))
 
 
 def top_failures(rows: DataFrame, n: int = 20) -> DataFrame:
@@ -99,6 +73,31 @@ def top_failures(rows: DataFrame, n: int = 20) -> DataFrame:
 
 
 def mode_gap(rows: DataFrame) -> DataFrame:
-    """Per expression, what the positive mode saves beyond the safe one."""
-    per = rows.groupBy("expr_id").agg(*(F.max(F.when(F.col("rule_mode") == m, F.col("new_eml_nodes"))).alias(m) for m in MODES))
-    return per.select("expr_id", F.col("safe").alias("safe_nodes"), F.col("positive_real").alias("positive_nodes"), (F.col("safe") - F.col("positive_real")).alias("saved"))
+    """Per expression, what the positive mode saves beyond the safe one; both forms stand on the expression's row."""
+    size = {m: F.expr(normal.size_sql(f"form_{m}", normal.EML)) for m in normal.MODES}
+    rows = rows.select("expr_id", size["safe"].alias("safe_nodes"), size["positive_real"].alias("positive_nodes"))
+    return rows.withColumn("saved", F.col("safe_nodes") - F.col("positive_nodes"))
+
+
+def best_signatures(rows: DataFrame, n: int = 6) -> DataFrame:
+    groups = summary(rows, "rule_mode", "operator_signature").withColumn("score", rounded(F.expr("10 * gain_median + percent_improved + percent_below_after")))
+    return top(groups, [F.desc("score"), F.desc("gain_median"), F.desc("percent_improved"), F.col("rule_mode"), F.col("operator_signature")], n, ("rule_mode", "operator_signature", "score", "n"))
+
+
+def worst_signatures(rows: DataFrame, n: int = 6) -> DataFrame:
+    groups = summary(rows, "rule_mode", "operator_signature").withColumn("score", rounded(F.expr("10 * median_new_alpha + percent_worse + 0.25D * percent_equal")))
+    return top(groups, [F.desc("score"), F.desc("median_new_alpha"), F.col("rule_mode"), F.col("operator_signature")], n, ("rule_mode", "operator_signature", "score", "n"))
+
+
+def safe_regimes(rows: DataFrame, n: int = 6) -> DataFrame:
+    """Signatures of the safe mode by subset, nontrivial ones first on equal scores."""
+    groups = summary(rows.where("rule_mode = 'safe'"), "feature_subset", "operator_signature").withColumn("score", rounded(F.expr("percent_below_after + 0.1D * percent_improved")))
+    return top(groups, [F.desc("score"), F.desc("feature_subset"), F.desc("percent_below_after"), F.desc("n"), F.col("operator_signature")], n, ("feature_subset", "operator_signature", "score", "n"))
+
+
+def top_families(rows: DataFrame) -> DataFrame:
+    """Per mode, the families that gain most and least on average."""
+    groups = rows.groupBy("rule_mode", "dominant_family").agg(F.count("*").alias("n"), rounded(F.avg("gain")).alias("w"))
+    most = F.max_by("dominant_family", F.struct("w", "n", "dominant_family")).alias("success_family")
+    least = F.min_by("dominant_family", F.struct("w", (-F.col("n")).alias("n"), "dominant_family")).alias("failure_family")
+    return groups.groupBy("rule_mode").agg(most, least)

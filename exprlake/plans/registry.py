@@ -7,55 +7,80 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.functions.stats import group_summary, rounded
-from exprlake.operators import corpus, dag, export, motifs, rewriting, studies
-from exprlake.plans.oracle import ORACLE as ORACLE_SQL
+from exprlake.functions.measures import threshold
+from exprlake.functions.stats import group_summary, median, percent, rounded
+from exprlake.operators import corpus, dag, export, given, motifs, rewriting, studies
+from exprlake.plans.oracle import ORACLE as ORACLE
 
+Query = Callable[[SparkSession, str], DataFrame]
+FINISHED = "o_orderstatus = 'F'"
 
-def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus bound to the events table."""
-    return corpus.expressions(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"))
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def on_measured(f: Callable[[DataFrame], DataFrame]):
-    return lambda spark, sf_dir: f(corpus.measured(rows_of(spark, sf_dir)))
 
+def spread(keys: DataFrame) -> DataFrame:
+    """keys, dealt anew where a file's layout gives fewer partitions than there are cores: eight bytes a row."""
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(cores) if keys.rdd.getNumPartitions() < cores else keys
 
-def on_rows(f: Callable[[DataFrame], DataFrame]):
-    return lambda spark, sf_dir: f(rows_of(spark, sf_dir))
 
+def facts_of(spark: SparkSession, sf_dir: str, name: str = "events", key: str = "event_id", where: str = "true") -> DataFrame:
+    """The corpus bound to a table's keys."""
+    return corpus.facts(spread(table(spark, sf_dir, name).where(where).select(key)), key)
 
-def on_both(f: Callable[[DataFrame, DataFrame], DataFrame]):
-    """f of the measured rows and their trivialities."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = rows_of(spark, sf_dir)
-        return f(corpus.measured(rows), corpus.trivialities(rows))
+def on(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """f of the expressions that the events name."""
+    return lambda spark, sf_dir: f(facts_of(spark, sf_dir))
 
-    return run
 
+def columns(*said: str) -> Query:
+    """Columns of every expression, as SQL."""
+    return on(lambda m: m.selectExpr("expr_id", *said))
 
-def on_motifs(f: Callable[[DataFrame], DataFrame]):
-    return on_rows(lambda r: f(motifs.occurrences(corpus.edges(r), corpus.nodes(r))))
 
+def shown(name: str) -> str:
+    return f"round({name}, 9) AS {name}"
 
-def on_features(f: Callable[[DataFrame], DataFrame]):
-    return on_rows(lambda r: f(motifs.split_features(motifs.occurrences(corpus.edges(r), corpus.nodes(r)), corpus.measured(r), corpus.trivialities(r))))
 
+def on_motifs(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return on(lambda m: f(motifs.occurrences(m)))
 
-def on_rewriting(f: Callable[[DataFrame], DataFrame]):
-    return on_rows(lambda r: f(rewriting.study(r, corpus.measured(r), corpus.trivialities(r))))
 
+def on_features(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return on_motifs(lambda o: f(motifs.split_features(o)))
 
-def log_arg_classes(edges: DataFrame) -> DataFrame:
-    name = F.when(F.col("child_label") == "1", "one").when(F.col("child_label").isin("x", "y"), "symbol").otherwise(F.lower("child_label"))
-    return edges.where("parent_label = 'log'").groupBy(name.alias("class")).agg(F.count("*").alias("n"))
 
+def on_study(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return on(lambda m: f(rewriting.study(m)))
 
-def triviality_groups(rows: DataFrame, triviality: DataFrame) -> DataFrame:
-    names = ("mul_by_one", "log_one", "exp_log", "log_exp")
-    long = triviality.selectExpr("expr_id", f"stack({len(names)}, {', '.join(f"'{n}', {n} > 0" for n in names)}) as (feature, value)")
-    return long.join(rows.select("expr_id", "tree_alpha"), "expr_id").groupBy("feature", "value").agg(F.count("*").alias("n"), rounded(F.avg("tree_alpha")).alias("mean_alpha"))
+
+def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second corpus's keys: those of finished orders."""
+    return table(spark, sf_dir, "orders").where(FINISHED).select(F.col("o_orderkey").alias("expr_id"))
+
+
+def on_orders(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(facts_of(spark, sf_dir), order_keys(spark, sf_dir))
+
+
+def on_order_forms(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(facts_of(spark, sf_dir), facts_of(spark, sf_dir, "orders", "o_orderkey", FINISHED))
+
+
+def log_arg_classes(rows: DataFrame) -> DataFrame:
+    """What stands below logarithms: arguments are listed inside the row, and counted by label."""
+    below = F.explode(F.expr("filter(transform(labels, (l, k) -> if(l = 'log', labels[2 * k + 1], null)), x -> x is not null)"))
+    name = F.when(F.col("x") == "1", "one").when(F.col("x").isin("x", "y"), "symbol").otherwise(F.lower("x"))
+    return rows.select(below.alias("x")).groupBy(name.alias("class")).agg(F.count("*").alias("n"))
+
+
+def triviality_groups(rows: DataFrame) -> DataFrame:
+    names = ("mul_by_one", "log_one", "exp_log", "log_exp", "number_only", "constant_only")
+    items = F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), (F.col(n) > 0).alias("value")) for n in names)))
+    return rows.select("tree_alpha", items.alias("x")).groupBy("x.feature", "x.value").agg(F.count("*").alias("n"), rounded(F.avg("tree_alpha")).alias("mean_alpha"))
 
 
 def split_counts(rows: DataFrame) -> DataFrame:
@@ -63,65 +88,109 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return grid.join(rows.groupBy("split").agg(F.count("*").alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-QUERIES = {
-    "corpus_nodes": on_rows(lambda r: corpus.nodes(r).select("expr_id", "node", "level", "label")),
-    "corpus_edges": on_rows(corpus.edges),
-    "tree_stats": on_measured(lambda m: m.select("expr_id", "ast_nodes", (F.col("ast_nodes") - 1).alias("ast_edges"), F.col("n_leaves").alias("ast_leaves"), (F.col("ast_nodes") - F.col("n_leaves")).alias("ast_operators"), "ast_depth", "eml_nodes", (F.col("eml_nodes") - 1).alias("eml_edges"), F.expr("(eml_nodes + 1) div 2").alias("eml_leaves"))),
-    "eml_tree_alpha": on_measured(lambda m: m.select("expr_id", "eml_nodes", rounded(F.col("tree_alpha"), 9).alias("tree_alpha"), "below_threshold")),
-    "eml_tree_depth": on_measured(lambda m: m.select("expr_id", "ast_depth", "eml_depth")),
-    "estimated_cost": on_measured(lambda m: m.select("expr_id", "estimated_cost", rounded(F.col("estimated_cost") / F.col("ast_nodes"), 9).alias("cost_alpha"))),
-    "operator_features": on_measured(lambda m: m.select("expr_id", "n_add", "n_mul", "n_exp", "n_log", "n_symbols", "n_constants")),
-    "operator_signature": on_measured(lambda m: m.select("expr_id", "operator_signature", "dominant_family")),
-    "size_buckets": on_measured(lambda m: m.select("expr_id", "ast_node_bucket", "ast_depth_bucket", "eml_node_bucket", "alpha_bucket")),
-    "nontriviality": on_rows(lambda r: corpus.trivialities(r).select("expr_id", "mul_by_one", "constant_only", "log_one", "exp_log", "log_exp", "total_score")),
-    "triviality_subsets": on_rows(lambda r: corpus.trivialities(r).select("expr_id", "triviality_score", "counter_subset", "feature_subset")),
-    "triviality_groups": on_both(triviality_groups),
-    "log_arg_classes": on_rows(lambda r: log_arg_classes(corpus.edges(r))),
-    "split_assignment": on_measured(lambda m: m.select("expr_id", "split")),
-    "split_counts": on_measured(split_counts),
-    "group_by_depth": on_measured(lambda m: group_summary(m, "ast_depth")),
-    "group_by_size": on_measured(lambda m: group_summary(m, "ast_node_bucket")),
-    "group_by_family": on_measured(lambda m: group_summary(m, "dominant_family")),
-    "group_by_signature": on_measured(lambda m: group_summary(m, "operator_signature")),
-    "group_by_boolean": on_measured(studies.by_boolean),
-    "subset_replicated_groups": on_both(studies.subset_replicated),
-    "alpha_summary": on_measured(studies.alpha_summary),
-    "threshold_scenarios": on_measured(studies.threshold_scenarios),
-    "distribution_summary": on_measured(studies.distribution_summary),
-    "alpha_histogram": on_measured(studies.alpha_histogram),
-    "top_alpha": on_measured(lambda m: studies.top(m.withColumn("alpha", rounded(F.col("tree_alpha"))), [F.desc("tree_alpha"), F.col("expr_id")], 20, ("expr_id", "expression", "alpha", "eml_nodes"))),
-    "top_depth": on_measured(lambda m: studies.top(m.withColumn("alpha", rounded(F.col("tree_alpha"))), [F.desc("eml_depth"), F.desc("tree_alpha"), F.col("expr_id")], 20, ("expr_id", "eml_depth", "alpha"))),
-    "rank_worst_signatures": on_measured(studies.worst_signatures),
-    "rank_safest_signatures": on_measured(studies.safest_signatures),
-    "rank_safe_regimes": on_measured(studies.safe_regimes),
-    "depth_failure_modes": on_measured(studies.depth_failure_modes),
-    "corpus_dedup": on_measured(studies.dedup),
-    "generation_summary": on_measured(studies.generation_summary),
-    "ast_dag_size": on_measured(lambda m: m.select("expr_id", "ast_nodes", "ast_dag_nodes", rounded(F.col("ast_compression"), 9).alias("ast_compression"))),
-    "shared_subtrees": on_rows(lambda r: studies.shared_subtrees(corpus.nodes(r))),
-    "motifs_size1_2": on_motifs(lambda o: o.groupBy("signature", "node_count").agg(F.count("*").alias("support"), F.count_distinct("expr_id").alias("coverage"))),
+def probe(rows: DataFrame) -> DataFrame:
+    """The value at the probe point, where it is finite and of readable size."""
+    v = F.col("value")
+    kind = F.when(F.isnan(v), "undefined").when(F.abs(v) == float("inf"), "infinite").otherwise("finite")
+    return rows.select("expr_id", kind.alias("kind"), F.when(~F.isnan(v) & (F.abs(v) < 1e6), F.round(v, 6)).alias("value"))
+
+
+QUERIES: dict[str, Query] = {
+    "corpus_nodes": on(lambda m: corpus.nodes(m).select("expr_id", "node", "level", "label")),
+    "corpus_edges": on(corpus.edges),
+    "tree_stats": on(lambda m: m.select("expr_id", "ast_nodes", (F.col("ast_nodes") - 1).alias("ast_edges"), F.col("n_leaves").alias("ast_leaves"), (F.col("ast_nodes") - F.col("n_leaves")).alias("ast_operators"), "ast_depth", "eml_nodes", (F.col("eml_nodes") - 1).alias("eml_edges"), F.expr("(eml_nodes + 1) div 2").alias("eml_leaves"))),
+    "eml_tree_alpha": columns("eml_nodes", shown("tree_alpha"), "below_threshold"),
+    "eml_tree_depth": columns("ast_depth", "eml_depth"),
+    "estimated_cost": columns("estimated_cost", "round(estimated_cost / ast_nodes, 9) AS cost_alpha"),
+    "operator_features": columns("n_add", "n_mul", "n_exp", "n_log", "n_symbols", "n_constants"),
+    "operator_signature": columns("operator_signature", "dominant_family"),
+    "size_buckets": columns("ast_node_bucket", "ast_depth_bucket", "eml_node_bucket", "alpha_bucket"),
+    "nontriviality": columns("mul_by_one", "constant_only", "log_one", "exp_log", "log_exp", "total_score"),
+    "triviality_subsets": columns("triviality_score", "counter_subset", "feature_subset"),
+    "triviality_groups": on(triviality_groups),
+    "log_arg_classes": on(log_arg_classes),
+    "split_assignment": columns("split"),
+    "split_counts": on(split_counts),
+    "eval_probe": on(probe),
+    "group_by_depth": on(lambda m: group_summary(m, "ast_depth")),
+    "group_by_size": on(lambda m: group_summary(m, "ast_node_bucket")),
+    "group_by_family": on(lambda m: group_summary(m, "dominant_family")),
+    "group_by_signature": on(lambda m: group_summary(m, "operator_signature")),
+    "group_by_boolean": on(studies.by_boolean),
+    "subset_replicated_groups": on(lambda m: group_summary(studies.with_subsets(m), "subset", "operator_signature")),
+    "alpha_summary": on(studies.alpha_summary),
+    "threshold_scenarios": on(studies.threshold_scenarios),
+    "distribution_summary": on(studies.distribution_summary),
+    "alpha_histogram": on(lambda m: studies.histogram(m, "tree_alpha")),
+    "gain_histogram": on(lambda m: studies.histogram(m, "eml_dag_nodes / ast_dag_nodes")),
+    "size_scatter": on(lambda m: m.groupBy("ast_nodes", "eml_nodes", "eml_dag_nodes").agg(F.count("*").alias("n"))),
+    "alpha_scatter": columns(shown("tree_alpha"), shown("dag_alpha")),
+    "improvement_by_size": on(lambda m: m.groupBy("ast_node_bucket").agg(F.count("*").alias("n"), rounded(median("tree_alpha - dag_alpha")).alias("median_improvement"))),
+    "below_tree_and_dag": on(lambda m: m.groupBy("feature_subset").agg(percent(F.col("tree_alpha") < threshold()).alias("percent_tree"), percent(F.col("dag_alpha") < threshold()).alias("percent_dag"))),
+    "family_metric": on(studies.family_metric),
+    "top_alpha": on(lambda m: studies.top(m.withColumn("alpha", rounded(F.col("tree_alpha"))), [F.desc("tree_alpha"), F.col("expr_id")], 20, ("expr_id", "expression", "alpha", "eml_nodes"))),
+    "top_depth": on(lambda m: studies.top(m.withColumn("alpha", rounded(F.col("tree_alpha"))), [F.desc("eml_depth"), F.desc("tree_alpha"), F.col("expr_id")], 20, ("expr_id", "eml_depth", "alpha"))),
+    "rank_worst_signatures": on(studies.worst_signatures),
+    "rank_safest_signatures": on(studies.safest_signatures),
+    "rank_safe_regimes": on(studies.safe_regimes),
+    "depth_failure_modes": on(studies.depth_failure_modes),
+    "corpus_dedup": on(studies.dedup),
+    "generation_summary": on(studies.generation_summary),
+    "ast_dag_size": columns("ast_nodes", "ast_dag_nodes", shown("ast_compression")),
+    "shared_subtrees": on(studies.shared_subtrees),
+    "shared_in_expression": on(studies.shared_in_expression),
+    "eml_dag_size": columns("eml_dag_nodes", shown("dag_alpha"), shown("dag_compression")),
+    "dag_alpha": columns(shown("dag_alpha_vs_dag"), f"dag_alpha < {threshold()}D AS below_dag", f"dag_alpha_vs_dag < {threshold()}D AS below_dag_vs_dag"),
+    "dag_group_by_signature": on(lambda m: dag.group_summary(m, "operator_signature")),
+    "dag_group_by_depth": on(lambda m: dag.group_summary(m, "ast_depth")),
+    "dag_group_by_size": on(lambda m: dag.group_summary(m, "ast_node_bucket")),
+    "dag_group_by_family": on(lambda m: dag.group_summary(m, "dominant_family")),
+    "dag_group_by_boolean": on(lambda m: studies.by_boolean(m, dag.columns())),
+    "dag_summary": on(dag.summary),
+    "dag_successes": on(dag.successes),
+    "dag_failures": on(dag.failures),
+    "dag_best_signatures": on(dag.best_signatures),
+    "dag_worst_signatures": on(dag.worst_signatures),
+    "dag_safe_regimes": on(dag.safe_regimes),
+    "macro_graph_size": on(dag.macro_sizes),
+    "macro_summary": on(lambda m: dag.macro_summary(studies.with_subsets(m), "subset")),
+    "macro_by_family": on(lambda m: dag.macro_summary(m, "dominant_family")),
+    "macro_by_signature": on(lambda m: dag.macro_summary(m, "operator_signature")),
+    "motifs_size1_2": on_motifs(motifs.support),
     "motif_vocabulary": on_motifs(motifs.vocabulary),
+    "motif_subsets": on_motifs(motifs.by_subset),
     "motif_split_features": on_features(lambda f: f),
     "motif_scores": on_features(motifs.scores),
     "motif_selection": on_features(motifs.selection),
-    "baseline_join": on_measured(lambda m: studies.baseline_join(m, m)),
-    "resume_anti": on_measured(lambda m: studies.missing(m, m.where("split = 'train'")).select("expr_id", "expression")),
-    "graph_export_nodes": on_rows(lambda r: export.graph_nodes(corpus.nodes(r))),
-    "graph_export_edges": on_rows(lambda r: export.graph_edges(corpus.edges(r))),
-    "export_integrity": on_rows(lambda r: export.integrity(corpus.measured(r), corpus.edges(r))),
-    "eml_dag_size": on_rows(lambda r: dag.with_dag(corpus.measured(r), r).select("expr_id", "eml_dag_nodes", "dag_alpha", "dag_compression")),
-    "dag_group_by_signature": on_rows(lambda r: dag.group_summary(dag.with_dag(corpus.measured(r), r), "operator_signature")),
-    "dag_successes": on_rows(lambda r: dag.successes(dag.with_dag(corpus.measured(r), r))),
-    "dag_failures": on_rows(lambda r: dag.failures(dag.with_dag(corpus.measured(r), r))),
-}
-QUERIES |= {
-    "rewrite_rows": on_rewriting(lambda w: w.select("expr_id", "rule_mode", "normal_form", "new_ast_nodes", "new_eml_nodes", rounded(F.col("gain"), 9).alias("gain"), "outcome", "crossed")),
-    "rewrite_summary": on_rewriting(lambda w: rewriting.summary(w, "rule_mode")),
-    "rewrite_by_signature": on_rewriting(lambda w: rewriting.summary(w, "rule_mode", "operator_signature")),
-    "rewrite_by_subset": on_rewriting(rewriting.by_subset),
-    "rewrite_outcomes": on_rewriting(lambda w: w.groupBy("rule_mode", "outcome").agg(F.count("*").alias("n"))),
-    "rewrite_top_successes": on_rewriting(rewriting.top_successes),
-    "rewrite_top_failures": on_rewriting(rewriting.top_failures),
-    "rewrite_mode_gap": on_rewriting(rewriting.mode_gap),
+    "motif_best_trial": on_features(motifs.best_trial),
+    "motif_train_vs_full": on(motifs.train_vs_full),
+    "baseline_join": on_orders(studies.baseline_join),
+    "missing_baseline_anti": on_orders(studies.missing),
+    "resume_anti": lambda spark, sf_dir: studies.missing(facts_of(spark, sf_dir), table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").alias("expr_id"))),
+    "graph_bundles": lambda spark, sf_dir: studies.graph_bundles(facts_of(spark, sf_dir), order_keys(spark, sf_dir), table(spark, sf_dir, "lineitem")),
+    "left_form_join": on_order_forms(studies.left_form_join),
+    "form_mismatches": on_order_forms(studies.form_mismatches),
+    "graph_export_nodes": on(export.graph_nodes),
+    "graph_export_edges": on(export.graph_edges),
+    "export_summary": on(export.summary),
+    "export_integrity": on(export.integrity),
+    "hierarchical_links": on(export.hierarchical_links),
+    "comparison_table": on(studies.comparison_table),
+    "rewrite_rows": on_study(lambda w: w.selectExpr("expr_id", "rule_mode", "normal_form", "new_ast_nodes", "new_eml_nodes", shown("gain"), "outcome", "crossed")),
+    "rewrite_summary": on_study(lambda w: rewriting.summary(w, "rule_mode")),
+    "rewrite_by_signature": on_study(lambda w: rewriting.summary(w, "rule_mode", "operator_signature")),
+    "rewrite_by_subset": on_study(rewriting.by_subset),
+    "rewrite_by_family": on_study(rewriting.by_family),
+    "rewrite_by_size": on_study(lambda w: rewriting.summary(w, "rule_mode", "ast_node_bucket", "eml_node_bucket")),
+    "rewrite_by_triviality": on_study(rewriting.by_triviality),
+    "rewrite_outcomes": on_study(lambda w: w.groupBy("rule_mode", "outcome").agg(F.count("*").alias("n"))),
+    "rewrite_top_successes": on_study(rewriting.top_successes),
+    "rewrite_subset_successes": on_study(lambda w: rewriting.top_successes(w, subset="identity_heavy_v1")),
+    "rewrite_top_failures": on_study(rewriting.top_failures),
+    "rewrite_mode_gap": on(rewriting.mode_gap),
+    "rewrite_best_signatures": on_study(rewriting.best_signatures),
+    "rewrite_worst_signatures": on_study(rewriting.worst_signatures),
+    "rewrite_safe_regimes": on_study(rewriting.safe_regimes),
+    "rewrite_top_families": on_study(rewriting.top_families),
+    "given_measures": lambda spark, sf_dir: given.measured(given.order_texts(table(spark, sf_dir, "orders"))).select("expr_id", "ast_nodes", F.col("ast_depth").cast("int").alias("ast_depth"), "eml_nodes"),
 }
-ORACLE = ORACLE_SQL

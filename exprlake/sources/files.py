@@ -13,14 +13,18 @@ EXPRESSION_SCHEMA = T.StructType([
     T.StructField("depth", T.IntegerType()),
     T.StructField("metadata", T.StringType()),
 ])
-METRIC_SCHEMA = T.StructType([
-    T.StructField("expr_id", T.LongType()),
-    T.StructField("expression", T.StringType()),
-    T.StructField("supported", T.BooleanType()),
-    T.StructField("ast_nodes", T.LongType()),
-    T.StructField("eml_nodes", T.LongType()),
-    T.StructField("tree_alpha", T.DoubleType()),
-])
+_SIZES = "ast_tree_node_count INT, ast_dag_node_count INT"
+_KEY = "index BIGINT, expression STRING, srepr STRING"
+#: Columns of the metric files by kind, as DDL.
+METRIC_KINDS = {
+    "expansion": "expr_id BIGINT, expression STRING, supported BOOLEAN, ast_nodes BIGINT, eml_nodes BIGINT, tree_alpha DOUBLE",
+    "dag": f"{_KEY}, supported BOOLEAN, {_SIZES}, eml_tree_node_count INT, eml_dag_node_count INT, eml_dag_compression DOUBLE, tree_alpha DOUBLE, dag_alpha_vs_ast_tree DOUBLE, dag_alpha_vs_ast_dag DOUBLE, error STRING",
+    "macro": f"{_KEY}, supported BOOLEAN, macro_graph_nodes INT, macro_graph_depth INT, macro_graph_alpha_vs_ast_tree DOUBLE, compression_gain_vs_eml_dag DOUBLE, expansion_valid BOOLEAN, error STRING",
+    "motif": f"{_KEY}, supported BOOLEAN, compressed_node_count INT, compression_gain DOUBLE, expansion_valid BOOLEAN, split STRING, subset_label STRING",
+    "egraph": "index BIGINT, original_expression STRING, original_srepr STRING, rule_mode STRING, saturation_status STRING, extraction_status STRING, validation_status STRING, timeout BOOLEAN, original_eml_dag_nodes INT, extracted_eml_dag_nodes INT, compression_gain DOUBLE",
+    "signature": "operator_signature STRING, count BIGINT, median_tree_alpha DOUBLE, median_dag_alpha DOUBLE, p90_dag_compression DOUBLE, percent_below DOUBLE, median_improvement DOUBLE",
+}
+METRIC_SCHEMA = METRIC_KINDS["expansion"]
 
 
 def read_expressions(spark: SparkSession, path: str, count: int | None = None) -> DataFrame:
@@ -34,9 +38,15 @@ def read_expressions(spark: SparkSession, path: str, count: int | None = None) -
     return rows
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of metrics with a header; rows that are not supported are left out."""
-    return spark.read.schema(METRIC_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path).where("supported")
+def read_metrics(spark: SparkSession, path: str, kind: str = "expansion") -> DataFrame:
+    """CSV of metrics of one of METRIC_KINDS, with a header; rows that are not supported are left out where the kind marks them."""
+    rows = spark.read.schema(METRIC_KINDS[kind]).option("header", True).option("mode", "FAILFAST").csv(path)
+    return rows.where("supported") if "supported" in rows.columns else rows
+
+
+def write_summary(rows: DataFrame, path: str) -> None:
+    """A small summary table as one JSON file, columns in name order."""
+    rows.select(*sorted(rows.columns)).coalesce(1).write.json(path)
 
 
 def write_json(rows: DataFrame, path: str, *partitions: str) -> None:

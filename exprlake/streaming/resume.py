@@ -8,6 +8,10 @@ from pyspark.sql import types as T
 from exprlake.operators import corpus
 
 
+#: What a run keeps of every expression.
+COLUMNS = ("expr_id", "expression", "ast_nodes", "ast_depth", "ast_dag_nodes", "eml_nodes", "eml_depth", "eml_dag_nodes", "tree_alpha", "operator_signature", "split")
+
+
 def run(spark: SparkSession, source: str, target: str, checkpoint: str, key: str = "event_id") -> None:
     """Measure every key that has arrived under source since the last run and append to target.
 
@@ -17,7 +21,7 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, key: str
     keys = spark.readStream.schema(schema).parquet(source).dropDuplicates([key])
 
     def append(batch: DataFrame, _: int) -> None:
-        rows = corpus.measured(corpus.expressions(batch, key))
+        rows = corpus.facts(batch, key).select(*COLUMNS)
         rows.sparkSession.createDataFrame([], rows.schema).write.mode("append").parquet(target)  # the target exists from the first batch on
         done = rows.sparkSession.read.schema(rows.schema).parquet(target)
         rows.join(done.select("expr_id"), "expr_id", "left_anti").write.mode("append").parquet(target)
