@@ -25,6 +25,7 @@ ROOT = "#"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_VALUE = re.compile(r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _DROPPED = frozenset("head script style noscript template svg math iframe object canvas audio video nav header footer aside form button select option textarea input label dialog menu title xmp noembed noframes".split())
@@ -57,7 +58,7 @@ def _step(tag: str, attributes: str) -> tuple[str, bool, int]:
         return tag, tag in _DROPPED, 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     names = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
-    hidden = "hidden" in re.split(r"[\s=]", attributes) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+    hidden = "hidden" in _VALUE.sub(" ", attributes).lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     marked = 0
     if tag not in ("html", "body") and tag not in _MAIN:
         said = [t for k in ("class", "id", "role") for t in found.get(k, "").split() if _BOILER.fullmatch(t)]

@@ -203,10 +203,13 @@ class TemplateIndex:
 
 
 def _places(joined: bytes, phrase: bytes) -> Iterator[int]:
-    at = joined.find(phrase)
+    """Numbers of the words at which phrase stands; blanks are counted from the place before on."""
+    at, start, blanks = joined.find(phrase), 0, 0
     while at >= 0:
-        yield joined.count(b" ", 0, at + 1) - 1
-        at = joined.find(phrase, at + 1)
+        blanks += joined.count(b" ", start, at + 1)
+        yield blanks - 1
+        start = at + 1
+        at = joined.find(phrase, start)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -140,16 +140,21 @@ def taken() -> Column:
     return F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' columns, one row for every copy taken, a document at the cut counting if half of it fits.
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: row (docs' columns as a struct, so that none clashes), shard and order, one row for every copy taken.
 
-    Documents without words come along in each pass that takes their block."""
+    A document at the cut counts if half of it fits. Documents without words come along in each pass that takes their block."""
     rows = mix(docs, row=True, **options)
     rows = rows.withColumn("draw", F.explode("draws")).where("2 * draw.words >= size")
-    return rows.select("row.*", F.col("draw.shard").alias("mix_shard"), F.xxhash64("h", "draw.pass").alias("mix_order"))
+    return rows.select("row", F.col("draw.shard").alias("shard"), F.xxhash64("h", "draw.pass").alias("order"))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix with docs' columns, of any names."""
+    return mixed(docs, **options).select("row.*")
 
 
 def write_mix(docs: DataFrame, path: str, **options) -> None:
-    """Write the mix, one folder a shard, each file in shuffled order."""
-    rows = mixed_rows(docs, **options)
-    rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").drop("mix_order").write.partitionBy("mix_shard").parquet(path)
+    """Write the mix, one folder a shard, each file in shuffled order; the folders are named by mix_shard, which docs must not have."""
+    rows = mixed(docs, **options).repartition("shard").sortWithinPartitions("shard", "order")
+    rows.select("row.*", F.col("shard").alias("mix_shard")).write.partitionBy("mix_shard").parquet(path)

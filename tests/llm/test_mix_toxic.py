@@ -135,3 +135,12 @@ def test_fit_bounds_and_regression():
     assert np.abs(x.T @ gap / 300 + toxic.RIDGE * w).max() < 1e-5 and abs(gap.mean()) < 1e-5
     parts = toxic._parts(sizes, 100)
     assert [r for a, _ in parts for r in range(300)[a]] == list(range(300)) and sum(e.stop - e.start for _, e in parts) == len(at) and len(parts) > 5
+
+
+def test_mixed_rows_with_clashing_names_and_local_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"word {k} " * (k % 5), "s", k, "x") for k in range(200)], "doc_id long, text string, source string, mix_shard long, row string")
+    found = mix.mixed_rows(docs)
+    assert found.columns == docs.columns and found.count() > 0
+    plain = docs.select("doc_id", "text", "source")
+    mix.write_mix(plain, f"{tmp_path}/mix", shards=3)
+    assert spark.read.parquet(f"{tmp_path}/mix").count() == mix.mixed_rows(plain, shards=3).count()

@@ -94,3 +94,18 @@ def test_relaxed_factor_looks_at_less_and_keeps_recall():
     assert all(set(e) == set(np.argsort(-r)[:5]) for e, r in zip(exact, s, strict=True))
     recall = np.mean([len(set(a) & set(b)) / 5 for a, b in zip(exact, loose, strict=True)])
     assert fewer.sum() < seen.sum() and recall >= 0.9
+
+
+def test_reach_one_is_exact_and_the_default_finds_nearly_all(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(cells, "CELL_ROWS", 40)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 32))
+    x[200:] = x[:200] + rng.normal(size=(200, 32)) * 0.1
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.98).sum() - 400
+    count = lambda reach: sum(r["n_links"] for r in cells.near_groups(frame, least=0.98, reach=reach).collect())
+    assert count(1.0) == links and count(cells.REACH) >= 0.9 * links

@@ -216,3 +216,12 @@ def test_template_join_equals_brute_force():
                 if len(own & block) >= licenses._need(len(own)):
                     want.add((k, s, len(own & block) / len(own)))
         assert set(index.matches(words)) == want
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    page = '<html><body><div title="the hidden valley"><p>Shown text of the valley.</p></div><p hidden>Not shown.</p><p hidden="">Nor this.</p></body></html>'
+    assert extract.extract(page, [])[0] == "Shown text of the valley."
+
+
+def test_places_of_a_long_text():
+    assert list(licenses._places(b" " + b"cc by " * 200_000, b" cc by ")) == list(range(0, 400_000 - 1, 2))
