@@ -24,7 +24,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by weight: a document that is taken twice is there twice."""
-    return mix.mixed_rows(docs).select(*[f"`{c}`" for c in docs.columns])
+    return mix.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
