@@ -12,14 +12,19 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from exprlake.llm.common import stage, text_rows
+
 #: Winning paths kept for a host, and the least share of the host's pages that proposed a path.
 WINNERS, LEAST_SHARE = 4, 0.1
+#: Characters of all hosts' winning paths up to which they are broadcast; beyond, pages and paths meet in a join by host.
+BROADCAST_CHARS = 16_000_000
 #: Path of what stands outside any element.
 ROOT = "#"
 
@@ -41,12 +46,45 @@ _AFTER = r"(?:[_-]+(?:bar|box|list|item|items|link|links|wrap|wrapper|container|
 _BOILER = re.compile(rf"{_BEFORE}{_WORDS}(?:[_-]+{_WORDS})*{_AFTER}", re.I)
 _READERS = re.compile(rf"{_BEFORE}{_COMMENTS}(?:[_-]+{_COMMENTS})*{_AFTER}", re.I)
 _MAIN = frozenset("article main".split())
+#: Blocks that are no containers.
+_BLOCKS = frozenset("p li td tr h1 h2 h3 h4 h5 h6".split())
+
+
+class _Paths:
+    """The distinct paths of a page as a tree: a path is a number, its parent's number is smaller."""
+
+    def __init__(self) -> None:
+        self.up, self.tag, self.step = [0], [ROOT], [ROOT]
+        self._below: dict[tuple[int, str], int] = {}
+
+    def below(self, up: int, tag: str, step: str) -> int:
+        found = self._below.setdefault((up, step), len(self.up))
+        if found == len(self.up):
+            self.up.append(up)
+            self.tag.append(tag)
+            self.step.append(step)
+        return found
+
+    def name(self, path: int) -> str:
+        steps = []
+        while path:
+            steps.append(self.step[path])
+            path = self.up[path]
+        return "/".join([ROOT, *reversed(steps)])
+
+    def find(self, name: str) -> int | None:
+        path: int | None = 0
+        for step in name.split("/")[1:]:
+            path = self._below.get((path, step))
+            if path is None:
+                break
+        return path
 
 
 class _Node:
     __slots__ = ("tag", "path", "up", "never", "marked", "skip", "own", "linked")
 
-    def __init__(self, tag: str, path: str, up: int, never: bool, marked: int):
+    def __init__(self, tag: str, path: int, up: int, never: bool, marked: int):
         self.tag, self.path, self.up, self.never, self.marked = tag, path, up, never, marked
         self.skip, self.own, self.linked = never, 0, 0
 
@@ -57,7 +95,7 @@ def _step(tag: str, attributes: str) -> tuple[str, bool, int]:
     if not attributes:
         return tag, tag in _DROPPED, 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-    names = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").split()})
+    names = sorted({re.sub(r"\d+", "#", c).replace("/", "_") for c in found.get("class", "").split()})
     hidden = "hidden" in _VALUE.sub(" ", attributes).lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
     marked = 0
     if tag not in ("html", "body") and tag not in _MAIN:
@@ -97,12 +135,14 @@ def _settle(nodes: list[_Node], pieces: list[tuple[int, str, bool, bool]]) -> li
     return kept
 
 
-def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
-    """The elements of a page, and its text pieces: element, text, whether a block ends before it.
+def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]], _Paths]:
+    """The elements of a page, its text pieces (element, text, whether a block ends before it), and its paths.
 
-    Pieces in boilerplate are left out."""
-    nodes = [_Node("", ROOT, 0, False, 0)]
+    Pieces in boilerplate are left out. Time and memory grow with the page's length, however deep its elements are nested."""
+    paths = _Paths()
+    nodes = [_Node("", 0, 0, False, 0)]
     stack, pieces, links, edge = [0], [], 0, True
+    opened: Counter[str] = Counter()  # tags on the stack
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
@@ -122,9 +162,10 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
             continue
         tag = tag.lower()
         if m.group(1):
-            if any(nodes[k].tag == tag for k in stack[1:]):
+            if opened[tag]:
                 while True:
                     closed = nodes[stack.pop()]
+                    opened[closed.tag] -= 1
                     links -= closed.tag == "a"
                     edge |= closed.tag not in _INLINE
                     if closed.tag == tag:
@@ -132,10 +173,11 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
             continue
         if tag in _CLOSES_P or tag in _SIBLINGS:
             ends = {"p"} if tag in _CLOSES_P else _SIBLINGS[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
                 t = nodes[stack[depth]].tag
                 if t in ends:
                     links -= sum(nodes[k].tag == "a" for k in stack[depth:])
+                    opened.subtract(nodes[k].tag for k in stack[depth:])
                     del stack[depth:]
                     edge = True
                     if t == "p":
@@ -149,72 +191,79 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str, bool]]]:
         if tag in _VOID:
             continue
         step, never, marked = _step(tag, m.group(3))
-        nodes.append(_Node(tag, f"{parent.path}/{step}", stack[-1], parent.never or never, marked))
+        nodes.append(_Node(tag, paths.below(parent.path, tag, step), stack[-1], parent.never or never, marked))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else n
             continue
         if not m.group(3).endswith("/") or tag not in ("svg", "math", "path"):
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
             links += tag == "a"
-    return nodes, _settle(nodes, pieces)
+    return nodes, _settle(nodes, pieces), paths
+
 
+def _best(nodes: list[_Node], paths: _Paths) -> tuple[int | None, float]:
+    """The best container's path and its score: text outside links of its blocks, lowered at each level between block and container.
 
-def _worth(nodes: list[_Node]) -> dict[str, float]:
-    """Score of every container path: text outside links of its blocks, halved at each level between block and container."""
-    worth: dict[str, float] = {}
+    Articles and main count three times; of equal ones the last in page order is best."""
+    worth, reached = [0.0] * len(paths.up), [False] * len(paths.up)
     for node in nodes:
-        if node.skip or not node.own:
+        if not node.skip and node.own:
+            worth[node.path] += node.own - 2 * node.linked
+            reached[node.path] = True
+    best, most = None, 0.0
+    for path in range(len(worth) - 1, -1, -1):  # children before their parents
+        if not reached[path]:
             continue
-        value = float(node.own - 2 * node.linked)
-        path = node.path
-        while True:
-            tag = path.rsplit("/", 1)[-1].split(".", 1)[0]
-            if tag not in _INLINE and tag not in ("p", "li", "td", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
-                worth[path] = worth.get(path, 0.0) + value
-                value *= 0.9 if tag in _MAIN else 0.6
-            if path == ROOT:
-                break
-            path = path.rsplit("/", 1)[0]
-    return worth
+        tag, value = paths.tag[path], worth[path]
+        passed = value
+        if tag not in _INLINE and tag not in _BLOCKS:
+            if best is None or value * (3 if tag in _MAIN else 1) > most:
+                best, most = path, value * (3 if tag in _MAIN else 1)
+            passed *= 0.9 if tag in _MAIN else 0.6
+        if path:
+            worth[paths.up[path]] += passed
+            reached[paths.up[path]] = True
+    return best, worth[best] if best is not None else 0.0
 
 
 def proposal(page: str) -> tuple[str, float]:
     """Path of the best container and its score ('' without text)."""
-    worth = _worth(parse(page)[0])
-    if not worth:
-        return "", 0.0
-    best = max(worth, key=lambda p: (worth[p] * (3 if p.rsplit("/", 1)[-1].split(".", 1)[0] in _MAIN else 1), p))
-    return best, worth[best]
-
-
-def extract(page: str, paths: list[str]) -> tuple[str, str]:
-    """Main text and the path it was taken from: the first of paths that has text, else the page's best container."""
-    nodes, pieces = parse(page)
-    with_text = {nodes[k].path for k, t, _ in pieces if t.strip()}
-    inside = {}
-    chosen = ""
-    for path in [*paths, None]:
-        if path is None:
-            path = proposal(page)[0]
-        if path and any(p == path or p.startswith(path + "/") for p in with_text):
-            chosen = path
-            break
-    if not chosen:
+    nodes, _, paths = parse(page)
+    best, worth = _best(nodes, paths)
+    return (paths.name(best), worth) if best is not None else ("", 0.0)
+
+
+def extract(page: str, winners: list[str]) -> tuple[str, str]:
+    """Main text and the path it was taken from: the first of winners that has text, else the page's best container."""
+    nodes, pieces, paths = parse(page)
+    with_text = [False] * len(paths.up)
+    for k, t, _ in pieces:
+        path = nodes[k].path
+        if t.strip():
+            while not with_text[path]:
+                with_text[path] = True
+                path = paths.up[path]
+    known = (paths.find(w) for w in winners if w)
+    chosen = next((p for p in known if p is not None and with_text[p]), None)
+    if chosen is None:
+        chosen = _best(nodes, paths)[0]
+    if chosen is None or not with_text[chosen]:
         return "", ""
+    inside = [False] * len(paths.up)
+    for path, up in enumerate(paths.up):
+        inside[path] = path == chosen or inside[up]
     blocks, held = [], []
     for k, text, edge in pieces:
-        path = nodes[k].path
-        if path not in inside:
-            inside[path] = path == chosen or path.startswith(chosen + "/")
         if edge and held:
             blocks.append("".join(held))
             held = []
-        if inside[path]:
+        if inside[nodes[k].path]:
             held.append(text)
     blocks.append("".join(held))
     clean = (" ".join(entities.unescape(b).split()) for b in blocks)
-    return "\n\n".join(b for b in clean if b), chosen
+    return "\n\n".join(b for b in clean if b), paths.name(chosen)
 
 
 def host_of(url: Column) -> Column:
@@ -225,8 +274,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """Per row: key, url, text, n_chars (code points), path.
 
     A null html is empty and gives an empty text; rows with a null url vote as one host of their own; null or repeated
-    keys pass through row by row. Only three columns are read, so other columns never clash.
+    keys pass through row by row. Only three columns are read, so other columns never clash. Very long and very deep pages take
+    time and memory in proportion to their length; paths of equal weight win in their order as text. An empty table gives no rows.
     """
+    pages = text_rows(pages)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,6 +298,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     ranked = votes.withColumn("share", F.col("weight") / F.sum("weight").over(by_host)).withColumn("place", F.row_number().over(by_host.orderBy(F.desc("weight"), "path")))
     ranked = ranked.where(F.col("place") <= WINNERS).where((F.col("share") >= LEAST_SHARE) | (F.col("place") == 1))
     winners = ranked.groupBy("host").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    winners = stage(winners, "winners")
+    size = winners.agg(F.sum(F.length("host") + F.length(F.array_join("paths", " ")))).first()[0] or 0
+    if size <= BROADCAST_CHARS:  # whole pages need not move then
+        winners = F.broadcast(winners)
     joined = hosted.join(winners, "host", "left").select(key, url, "html", "paths")
     kinds = f"`{key}` {pages.schema[key].dataType.simpleString()}, `{url}` {pages.schema[url].dataType.simpleString()}, text string, path string"
     return joined.mapInArrow(read, kinds).select(key, url, "text", F.length("text").cast("long").alias("n_chars"), "path")

@@ -225,3 +225,28 @@ def test_hidden_is_an_attribute_not_a_word():
 
 def test_places_of_a_long_text():
     assert list(licenses._places(b" " + b"cc by " * 200_000, b" cc by ")) == list(range(0, 400_000 - 1, 2))
+
+
+@pytest.mark.parametrize("tail", ["", "</b>" * 100_000, "</div>" * 100_000])
+def test_very_deep_pages(tail):
+    page = "<body>" + "<div class='a'>" * 100_000 + "<p>deep story" + tail
+    text, path = extract.extract(page, ["#/body/main", "#/body/div.a"])
+    assert (text, path) == ("deep story", "#/body/div.a")
+    assert extract.extract(page, [])[0] == "deep story"
+
+
+def test_classes_with_slashes_are_one_step():
+    page = "<body><div class='w-1/2'><p>some story</p></div><div class='w-1/2'><p>the rest</p></div></body>"
+    best = extract.proposal(page)[0]
+    assert best == "#/body/div.w-#_#"
+    assert extract.extract(page, [best]) == ("some story\n\nthe rest", best)
+
+
+def test_main_text_broadcasts_or_joins_alike(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 2}.org/{k}", f"<body><nav>menu</nav><div class='c{k}'><p>{'story ' * (k + 3)}</p></div></body>") for k in range(8)] * 2
+    pages = spark.createDataFrame([*rows, (None, None, None), (9, "", "")], "page_id long, url string, html string").withColumn("host", F.lit(1))
+    small = sorted(map(str, extract.main_text(pages).collect()))
+    assert len(small) == 18
+    monkeypatch.setattr(extract, "BROADCAST_CHARS", -1)
+    assert sorted(map(str, extract.main_text(pages).collect())) == small
+    assert extract.main_text(pages.limit(0)).count() == 0
