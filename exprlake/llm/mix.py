@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from exprlake.llm.common import WORD, stage
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-#: Documents to a block on average, and output shards.
-BLOCK_DOCS, SHARDS = 256, 16
+#: Documents to a block on average, fewest output shards, and documents of the input to a shard where there are more.
+BLOCK_DOCS, SHARDS, SHARD_DOCS = 256, 16, 1 << 24
+#: Bits of an order's hash that cut a source's blocks into runs.
+RUN_BITS = 10
 
 
 def words_in(text: str | Column) -> Column:
@@ -94,17 +96,32 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("g").alias("place"), "v")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", row: bool = False, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+def _before(rows: DataFrame, value: str, order: Column, *ties: str) -> DataFrame:
+    """rows with before: the sum of value over the rows of the same place that come earlier by order, a hash, then ties.
+
+    The hash's leading bits cut each place into runs, which are summed first: no window holds all blocks of a source."""
+    rows = rows.withColumn("run", F.shiftright(order, 64 - RUN_BITS))
+    ahead = Window.partitionBy("place").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("place", "run").agg(F.sum(value).alias("held"))
+    runs = runs.select("place", "run", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("place", "run").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(runs, ["place", "run"])
+    return rows.withColumn("before", F.col("ahead") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("run", "ahead")
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", row: bool = False, shards: int | None = None, seed: int = 7) -> DataFrame:
     """Per row of docs: key, size, source_size, target, draws (array of pass, shard, words), order_key; with row, the whole row as a struct.
 
     A null text counts as empty, a null source is a source of its own that sorts last. Rows with a null or repeated key take
     part one by one; equal rows are interchangeable. Sources without words have target 0. Without row only
-    three columns are read, so other columns never clash. An empty table gives no rows.
+    three columns are read, so other columns never clash. A very long text is one row and is only counted. An empty table gives
+    no rows. Unless given, shards are SHARDS, or one for SHARD_DOCS rows if that is more.
     """
     base = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words_in(text).alias("size"), F.xxhash64(F.lit(seed), key, text).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []))
     if not row:
         base = stage(base, "sizes")
     per_source = stage(targets(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))), "targets")
+    shards = shards or max(SHARDS, -(-int(per_source.agg(F.sum("docs")).first()[0] or 0) // SHARD_DOCS))
     quota = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("int")
     per_source = per_source.withColumn("passes", passes).withColumn("rest", quota - F.col("passes") * F.col("source_size"))
@@ -114,15 +131,15 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     placed = base.join(per_source, same(base, per_source)).drop(per_source["source"]).withColumn("block", F.pmod("h", "blocks"))
     blocks = stage(placed.groupBy("place", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest")), "blocks")
-    prefix = Window.partitionBy("place").orderBy(F.xxhash64(F.lit(seed), F.lit("part"), "place", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("room", F.col("rest") - F.coalesce(F.sum("words").over(prefix), F.lit(0)))
+    blocks = _before(blocks, "words", F.xxhash64(F.lit(seed), F.lit("part"), "place", "block"), "block")
+    blocks = stage(blocks.withColumn("room", F.col("rest") - F.col("before")).drop("before"), "rooms")
     tokens = F.concat(F.expr("sequence(0, passes)"), F.array())
     tokens = blocks.withColumn("pass", F.explode(tokens)).where("pass < passes or room > 0")
     quotas = per_source.select("place").join(tokens.groupBy("place").agg(F.count("*").alias("q")), "place", "left").select("place", F.coalesce("q", F.lit(0)).alias("q"))
     split = split_tree(stage(quotas, "quotas"), shards, seed)
     ends = F.expr("transform(sequence(0, size(v) - 1), i -> aggregate(slice(v, 1, i + 1), 0L, (s, x) -> s + x))")
-    turn = F.row_number().over(Window.partitionBy("place").orderBy(F.xxhash64(F.lit(seed), F.lit("deal"), "place", "block", "pass"), "block", "pass"))
-    dealt = tokens.withColumn("turn", turn).join(split.withColumn("ends", ends), "place")
+    turns = _before(tokens.withColumn("one", F.lit(1)), "one", F.xxhash64(F.lit(seed), F.lit("deal"), "place", "block", "pass"), "block", "pass")
+    dealt = turns.withColumn("turn", F.col("before") + 1).join(split.withColumn("ends", ends), "place")
     dealt = dealt.withColumn("shard", F.expr("size(filter(ends, e -> e < turn))"))
     held = dealt.groupBy("place", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("tokens"))
     held = stage(blocks.join(held, ["place", "block"], "left").select("place", "block", "room", F.col("words").alias("block_words"), "tokens"), "dealt")

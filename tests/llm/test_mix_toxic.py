@@ -144,3 +144,18 @@ def test_mixed_rows_with_clashing_names_and_local_shuffle(spark, tmp_path):
     plain = docs.select("doc_id", "text", "source")
     mix.write_mix(plain, f"{tmp_path}/mix", shards=3)
     assert spark.read.parquet(f"{tmp_path}/mix").count() == mix.mixed_rows(plain, shards=3).count()
+
+
+def test_sums_before_a_row_equal_one_window(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(1).alias("place"), (F.col("id") % 500).alias("block"), F.col("id").alias("pass"), (F.col("id") % 7).alias("words"))
+    order = F.xxhash64("place", "block")
+    plain = F.coalesce(F.sum("words").over(mix.Window.partitionBy("place").orderBy(order, "block", "pass").rowsBetween(mix.Window.unboundedPreceding, -1)), F.lit(0))
+    found = mix._before(rows.withColumn("plain", plain), "words", order, "block", "pass")
+    assert found.count() == 3000 and found.where("before <> plain").count() == 0
+
+
+def test_shards_grow_with_the_input(spark, monkeypatch):
+    monkeypatch.setattr(mix, "SHARD_DOCS", 10)
+    rows = spark.createDataFrame([(k, f"s{k % 2}", "word " * (k % 5 + 1)) for k in range(400)], "doc_id long, source string, text string")
+    found = mix.mix(rows).select(F.explode("draws.shard").alias("shard")).agg(F.max("shard"), F.count_distinct("shard")).first()
+    assert found[0] < 40 and found[1] <= 40
