@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, cells, extract, jaccard, licenses, mix, toxic, urls, vptree, warc
+from exprlake.llm import bpe, cells, extract, jaccard, licenses, mix, runs, toxic, urls, vptree, warc
 from exprlake.llm.common import table
 
 
@@ -129,6 +129,39 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one in ten of the texts (by the CRC of the doc_id) repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # through one-item arrays, so that the words are split once
+    drawn = F.transform(F.array(F.struct(words.alias("w"), F.expr("h div 10").alias("g"))), lambda x: F.struct(x["w"].alias("w"), x["g"].alias("g"), F.size(x["w"]).alias("n")))
+    drawn = F.filter(drawn, lambda x: x["n"] > 0)
+    drawn = F.transform(drawn, lambda x: F.struct(x["w"].alias("w"), x["n"].alias("n"), (x["g"] % x["n"]).alias("a"), x["g"].alias("g")))
+    placed = "transform(sequence(0, x.n - 1), i -> x.w[cast(if(i < x.a, i, x.a + (i - x.a) % (1 + (x.n - x.a) div (3 + x.g % 8))) as int)])"
+    made = F.expr(f"array_join(transform(drawn, x -> {placed})[0], ' ')")
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("drawn", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), drawn))
+    return rows.select("doc_id", F.coalesce(made, "text").alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of at least twelve words in every document, of which every tenth has some planted."""
+    found = runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_warc_fixity": op2_warc_fixity,
@@ -140,5 +173,6 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
+    "op13_runs": op13_runs,
 }
 ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_ngram_jaccard": OP4_SQL}
