@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, cells, extract, jaccard, licenses, mix, runs, toxic, urls, vptree, warc
+from exprlake.llm import bpe, cells, chat, extract, jaccard, licenses, mix, runs, toxic, urls, vptree, warc
 from exprlake.llm.common import table
 
 
@@ -129,6 +129,15 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its formatted windows, and of one more that says the template's own control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    # two rows for the smallest input as for the largest
+    more = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.digests(chat.windows(turns.unionByName(more), vocabulary()))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text, where one in ten of the texts (by the CRC of the doc_id) repeats a stretch of its words up to its end."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -173,6 +182,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
+    "op12_chat": op12_chat,
     "op13_runs": op13_runs,
 }
 ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_ngram_jaccard": OP4_SQL}
