@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exprlake.llm import bpe, cells, chat, extract, jaccard, licenses, mix, runs, toxic, urls, vptree, warc
+from exprlake.llm import bpe, cells, chat, extract, jaccard, licenses, mix, negatives, runs, toxic, urls, vptree, warc
 from exprlake.llm.common import table
 
 
@@ -129,6 +129,34 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, by whole inner products; every seventh label is moved by one."""
+    rows = table(spark, sf_dir, "embeddings").where(negatives.complete("embedding"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", moved.alias("label"), negatives.whole("embedding", 256).alias("embedding"))
+    return negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+
+
+OP11_SQL = """
+WITH rows_ AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM rows_ a JOIN rows_ c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 50 = 0
+), positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER w)::INTEGER AS rank, s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positive p JOIN scored s USING (anchor_id)
+WHERE NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its formatted windows, and of one more that says the template's own control strings."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -182,7 +210,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
     "op12_chat": op12_chat,
     "op13_runs": op13_runs,
 }
-ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_ngram_jaccard": OP4_SQL}
+ORACLE: dict[str, str] = {"op2_warc_fixity": OP2_SQL, "op4_ngram_jaccard": OP4_SQL, "op11_negatives": OP11_SQL}
