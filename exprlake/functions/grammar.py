@@ -31,34 +31,20 @@ def target_depth(i: str) -> str:
 
 #: Codes of the labels, as integer columns hold them; 0 is an empty place.
 CODES = {"x": 1, "y": 2, "1": 3, "Add": 4, "Mul": 5, "exp": 6, "log": 7}
-NAMES = {v: k for k, v in CODES.items()}
 
 
-def draws(i: str, p: int) -> dict[str, str]:
-    """SQL of the draws of place p: a is the draw of a leaf, b that of an operator, v that of a variable; a and b are percent numbers."""
-    every = {"v": f"cast({mixed(i, str(p), 3)} % 3 + 1 as int)", "a": f"cast({mixed(i, str(p), 1)} % 100 as int)", "b": f"cast({mixed(i, str(p), 2)} % 100 as int)"}
-    return {k: every[k] for k in ("v" if level_of(p) == MAX_DEPTH else "vab")}
 
+def codes_sql(i: str) -> str:
+    """SQL of the array of codes by place of key i: a fold from the root on, which keeps the flag of the positive grammar as an eighth beside each code.
 
-def level_of(p: int) -> int:
-    return p.bit_length() - 1
-
-
-def code_of_place(p: int, target: str) -> str:
-    """SQL of the code of place p, from its draws and from the code k<parent> above it."""
-    up, level = p // 2, level_of(p)
-    if level == MAX_DEPTH:
-        code = f"v{p}"
-    else:
-        full = cases(f"b{p}", [(CODES[t], c) for t, c in FULL_CUTS[:-1]], CODES[FULL_CUTS[-1][0]])
-        below = cases(f"b{p}", [(f"v{p}" if t == "leaf" else CODES[t], c) for t, c in POSITIVE_CUTS[:-1]], CODES[POSITIVE_CUTS[-1][0]])
-        code = f"CASE WHEN {level} >= {target} OR a{p} < {LEAF_PERCENT} THEN v{p} WHEN g{p} THEN {below} ELSE {full} END"
-    if p == 1:
-        return code
-    here = f"k{up} IN (4, 5)" + ("" if p % 2 else f" OR k{up} IN (6, 7)")
-    return f"CASE WHEN {here} THEN {code} ELSE 0 END"
-
-
-def below_logarithm(p: int) -> str:
-    """SQL of the flag of place p: the positive grammar holds from a logarithm down to the next exponential."""
-    return "false" if p == 1 else f"CASE k{p // 2} WHEN 7 THEN true WHEN 6 THEN false ELSE g{p // 2} END"
+    A place has a code if its parent is a binary operator, or a unary one and the place even. From the last level on, below the target depth, and by
+    chance, it is a variable or one. The positive grammar holds from a logarithm down to the next exponential."""
+    full = cases("q.b", [(CODES[t], c) for t, c in FULL_CUTS[:-1]], str(CODES[FULL_CUTS[-1][0]]))
+    below = cases("q.b", [("q.v" if t == "leaf" else CODES[t], c) for t, c in POSITIVE_CUTS[:-1]], str(CODES[POSITIVE_CUTS[-1][0]]))
+    level = "length(bin(p)) - 1"
+    parent = "filter(array(coalesce(get(acc, cast(p div 2 - 1 as int)), 0)), u -> p = 1 OR u % 8 IN (4, 5) OR (p % 2 = 0 AND u % 8 IN (6, 7)))"
+    drawn = f"transform({parent}, u -> named_struct('g', CASE u % 8 WHEN 7 THEN true WHEN 6 THEN false ELSE u >= 8 END, 'v', cast({mixed(i, 'p', 3)} % 3 + 1 as int), 'a', {mixed(i, 'p', 1)} % 100, 'b', {mixed(i, 'p', 2)} % 100))"
+    code = f"CASE WHEN {level} >= t OR q.a < {LEAF_PERCENT} THEN q.v WHEN q.g THEN {below} ELSE {full} END"
+    step = f"coalesce(get(transform({drawn}, q -> cast({code} + if(q.g, 8, 0) as int)), 0), 0)"
+    fold = f"aggregate(sequence(1L, {PLACES}L), cast(array() as array<int>), (acc, p) -> concat(acc, array({step})))"
+    return f"transform(transform(array({target_depth(i)}), t -> {fold})[0], k -> k % 8)"

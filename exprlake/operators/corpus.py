@@ -1,104 +1,76 @@
-"""The corpus as DataFrames: one wide row an expression, and the long node and edge tables.
+"""The corpus as DataFrames: one row an expression, and the long node and edge tables.
 
-A place of the heap is an integer column (its label's code), so that labels, flags, depths, canonical strings and values are
-plain projections, level by level, which Spark compiles; queries read the columns that they need and the rest is pruned.
-Nothing here shuffles or joins.
+A row holds the codes of its heap's places as one array; labels, canonical strings, depths, values and normal forms are folds over it, from
+the last place to the first, so that a plan has one expression for each of them whatever the depth; queries read the
+columns that they need and the rest is pruned. Nothing here shuffles or joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exprlake.functions import eml, grammar, measures, normal
 
-PLACES = range(1, grammar.PLACES + 1)
-INNER = range(1, (grammar.PLACES + 1) // 2)
 #: Values of the variables in the numeric probe.
 X, Y = 1.3, 2.1
 
 
-Step = Callable[[str, str | None, str | None], str]
-
-
-def up(**steps: Step) -> list[list[str]]:
-    """By level, from the last one on, SQL of columns name1, name2, ...: a step gives a place's SQL from its code and its children's columns (None on the last level)."""
-    levels = []
-    for level in range(grammar.MAX_DEPTH, -1, -1):
-        last = level == grammar.MAX_DEPTH
-        levels.append([f"{step(f'k{p}', None if last else f'{name}{2 * p}', None if last else f'{name}{2 * p + 1}')} AS {name}{p}" for name, step in steps.items() for p in range(1 << level, 2 << level)])
-    return levels
-
-
-def down() -> list[list[str]]:
-    """By level, from the first one on, SQL of the places' draws and flags, and then of their codes."""
-    levels = []
-    for level in range(grammar.MAX_DEPTH + 1):
-        at = range(1 << level, 2 << level)
-        drawn = [f"{sql} AS {name}{p}" for p in at for name, sql in grammar.draws("expr_id", p).items()]
-        flags = [f"{grammar.below_logarithm(p)} AS g{p}" for p in at if level < grammar.MAX_DEPTH]
-        levels += [drawn + flags, [f"{grammar.code_of_place(p, 'target_depth')} AS k{p}" for p in at]]
-    return levels
+def climb(step: str, kind: str) -> Column:
+    """By place, what step makes of q.k, the place's code, and of q.a and q.b, its children's results (null where there is none)."""
+    return F.expr(climb_sql(step, kind))
 
 
-def nested(rows: DataFrame, layers: list[list[str]]) -> DataFrame:
-    """rows with the columns of every layer, each of which may use those before it: one query, so that it is analysed once."""
-    text = "{rows}"
-    for layer in layers:
-        text = f"(SELECT *, {', '.join(layer)} FROM {text})"
-    return rows.sparkSession.sql(f"SELECT * FROM {text}", rows=rows)
+def climb_sql(step: str, kind: str) -> str:
+    item = f"transform(array(named_struct('k', codes[p - 1], 'a', get(acc, p - 1), 'b', get(acc, p))), q -> cast({step} as {kind}))[0]"
+    return f"aggregate(sequence({grammar.PLACES}, 1), cast(array() as array<{kind}>), (acc, p) -> concat(array({item}), acc))"
 
 
-def total(test: Callable[[int], str], places=PLACES) -> Column:
-    """How many places pass the test."""
-    return F.expr("cast(" + " + ".join(f"if({test(p)}, 1, 0)" for p in places) + " as bigint)")
+def total(test: str) -> Column:
+    """How many places pass the test on k, the place's code, and on l and r, its children's codes (0 where there is none)."""
+    test = test.replace("{l}", "coalesce(get(codes, 2 * i + 1), 0)").replace("{r}", "coalesce(get(codes, 2 * i + 2), 0)")
+    return F.expr(f"cast(size(filter(codes, (k, i) -> {test})) as bigint)")
 
 
 def settled(rows: DataFrame, *names: str) -> DataFrame:
-    """The named columns of facts(), to be filtered.
+    """The named columns of facts(), each made once a row.
 
-    A filter right above facts() would be pushed through its layers, and each copy of a column there doubles what it is made of;
-    a generator's output stays where it is."""
+    What stands above facts() is merged into it otherwise: a filter would be copied into its folds, and a fold that a lambda reads would run once for each
+    of the lambda's items. A generator's output stays where it is."""
     return rows.select(F.inline(F.array(F.struct(*names))))
 
 
 def facts(keys: DataFrame, key: str = "event_id") -> DataFrame:
-    """Every column of an expression that the studies read. Filter them behind settled() only."""
+    """Every column of an expression that the studies read. Filter them, and read their arrays in lambdas, behind settled() only."""
     rows = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("expr_id"))
-    constant = lambda k, a, b: f"{k} = 3" if a is None else f"CASE WHEN {k} IN (4, 5) THEN {a} AND {b} WHEN {k} IN (6, 7) THEN {a} ELSE {k} = 3 END"
-    forms = {f"{mode}_": lambda k, a, b, mode=mode: normal.step(mode, k, a, b) for mode in normal.MODES}
-    climbs = up(s=measures.string_step, d=measures.depth_step, c=constant, e=lambda k, a, b: measures.value_step(k, a, b, X, Y), **forms)
-    rows = nested(rows, [[f"{grammar.target_depth('expr_id')} AS target_depth"], *down(), *climbs])
-    every = lambda name: F.array(*(F.col(f"{name}{p}") for p in PLACES))
-    names = F.array(*(F.expr("CASE k%d " % p + " ".join(f"WHEN {c} THEN '{n}'" for n, c in grammar.CODES.items()) + " END") for p in PLACES))
-    count = {f"n_{f.lower()}": total(lambda p, c=grammar.CODES[f]: f"k{p} = {c}", INNER) for f in measures.FAMILIES}
-    left, right = (lambda p: f"k{2 * p}"), (lambda p: f"k{2 * p + 1}")
+    rows = settled(rows.select("expr_id", F.expr(grammar.codes_sql("expr_id")).alias("codes")), "expr_id", "codes")
+    constant = "CASE WHEN q.k IN (4, 5) THEN q.a AND q.b WHEN q.k IN (6, 7) THEN q.a ELSE q.k = 3 END"
+    names = F.expr("transform(codes, k -> CASE k " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in grammar.CODES.items()) + " END)")
+    count = {f"n_{f.lower()}": total(f"k = {grammar.CODES[f]}") for f in measures.FAMILIES}
+    first = lambda step, kind: climb(step, kind)[0]
     rows = rows.select(
         "*",
         names.alias("labels"),
-        every("s").alias("subtrees"),
-        every("d").alias("depths"),
-        every("k").alias("codes"),
-        F.col("s1").alias("expression"),
-        F.col("d1").alias("eml_depth"),
-        F.col("e1").alias("value"),
+        climb(measures.string_step("q.k", "q.a", "q.b"), "string").alias("subtrees"),
+        climb(measures.depth_step("q.k", "q.a", "q.b"), "int").alias("depths"),
+        first(measures.string_step("q.k", "q.a", "q.b"), "string").alias("expression"),
+        first(measures.depth_step("q.k", "q.a", "q.b"), "int").alias("eml_depth"),
+        first(measures.value_step("q.k", "q.a", "q.b", X, Y), "double").alias("value"),
         *(c.alias(n) for n, c in count.items()),
-        total(lambda p: f"k{p} IN (1, 2)").alias("n_symbols"),
-        total(lambda p: f"k{p} = 3").alias("n_constants"),
-        F.expr("CASE " + " ".join(f"WHEN {' + '.join(f'k{p}' for p in range(1 << v, 2 << v))} > 0 THEN {v}" for v in range(grammar.MAX_DEPTH, 0, -1)) + " ELSE 0 END").alias("ast_depth"),
-        total(lambda p: f"k{p} = 5 AND ({left(p)} = 3 OR {right(p)} = 3)", INNER).alias("mul_by_one"),
-        total(lambda p: f"k{p} IN (4, 5) AND c{2 * p} AND c{2 * p + 1}", INNER).alias("constant_only"),
-        total(lambda p: f"k{p} = 7 AND {left(p)} = 3", INNER).alias("log_one"),
-        total(lambda p: f"k{p} = 6 AND {left(p)} = 7", INNER).alias("exp_log"),
-        total(lambda p: f"k{p} = 7 AND {left(p)} = 6", INNER).alias("log_exp"),
-        total(lambda p: f"k{p} IN (4, 5) AND {left(p)} = 3 AND {right(p)} = 3", INNER).alias("number_only"),
-        *(F.col(f"{mode}_1").alias(f"form_{mode}") for mode in normal.MODES),
+        total("k IN (1, 2)").alias("n_symbols"),
+        total("k = 3").alias("n_constants"),
+        F.expr("length(bin(array_max(transform(codes, (k, i) -> if(k > 0, i + 1, 1))))) - 1").alias("ast_depth"),
+        total("k = 5 AND ({l} = 3 OR {r} = 3)").alias("mul_by_one"),
+        F.expr(f"transform(array({climb_sql(constant, 'boolean')}), c -> cast(size(filter(codes, (k, i) -> k IN (4, 5) AND get(c, 2 * i + 1) AND get(c, 2 * i + 2))) as bigint))[0]").alias("constant_only"),
+        total("k = 7 AND {l} = 3").alias("log_one"),
+        total("k = 6 AND {l} = 7").alias("exp_log"),
+        total("k = 7 AND {l} = 6").alias("log_exp"),
+        total("k IN (4, 5) AND {l} = 3 AND {r} = 3").alias("number_only"),
+        *(first(normal.step(mode, "q.k", "q.a", "q.b"), "string").alias(f"form_{mode}") for mode in normal.MODES),
     )
     rows = rows.select("*", F.expr("n_symbols + n_constants").alias("n_leaves"), F.expr("n_symbols + n_constants + n_add + n_mul + n_exp + n_log").alias("ast_nodes"))
-    distinct = F.array_distinct(F.array_compact("subtrees"))
-    rows = rows.select("*", F.size(distinct).cast("long").alias("ast_dag_nodes"), measures.weighed(measures.EML_WEIGHT).alias("eml_nodes"), measures.weighed(measures.COST_WEIGHT).alias("estimated_cost"), eml.dag_nodes("codes").alias("eml_dag_nodes"))
+    shared = F.size(F.array_distinct(F.array_compact("subtrees"))).cast("long")
+    rows = rows.select("*", shared.alias("ast_dag_nodes"), measures.weighed(measures.EML_WEIGHT).alias("eml_nodes"), measures.weighed(measures.COST_WEIGHT).alias("estimated_cost"), eml.dag_nodes("codes").alias("eml_dag_nodes"))
     return categories(trivial(rows))
 
 
@@ -141,6 +113,7 @@ def split_of(key: str, seed: int = 0) -> Column:
 
 def nodes(rows: DataFrame) -> DataFrame:
     """expr_id, node, level, label, subtree, eml_depth: one row a node."""
+    rows = settled(rows, "expr_id", "labels", "subtrees", "depths")
     items = F.explode(F.expr("filter(transform(labels, (l, k) -> named_struct('node', k + 1L, 'label', l, 'subtree', subtrees[k], 'eml_depth', depths[k])), x -> x.label is not null)"))
     out = rows.select("expr_id", items.alias("x")).select("expr_id", "x.*")
     return out.select("expr_id", "node", (F.length(F.bin("node")) - 1).cast("int").alias("level"), "label", "subtree", "eml_depth")
@@ -148,6 +121,7 @@ def nodes(rows: DataFrame) -> DataFrame:
 
 def edges(rows: DataFrame) -> DataFrame:
     """expr_id, parent, child, slot, parent_label, child_label: from each row's own arrays, without a join."""
+    rows = settled(rows, "expr_id", "labels")
     items = F.explode(F.expr("filter(transform(labels, (l, k) -> named_struct('parent', (k + 1L) div 2, 'child', k + 1L, 'parent_label', get(labels, cast((k + 1) div 2 - 1 as int)), 'child_label', l)), x -> x.child_label is not null and x.parent > 0)"))
     out = rows.select("expr_id", items.alias("x")).select("expr_id", "x.*")
     return out.select("expr_id", "parent", "child", slot("parent_label", "child").alias("slot"), "parent_label", "child_label")

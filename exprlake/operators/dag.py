@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from exprlake.functions.measures import threshold
 from exprlake.functions.stats import distribution, median, percent, rounded, upper_rank
+from exprlake.operators.corpus import settled
 from exprlake.operators.studies import top
 
 METRICS = ("tree_alpha", "dag_alpha", "dag_alpha_vs_dag", "dag_compression")
@@ -82,6 +83,7 @@ def safe_regimes(rows: DataFrame) -> DataFrame:
 
 def macro_sizes(rows: DataFrame) -> DataFrame:
     """Nodes, references and depth of the macro graph, its alpha and what it saves against the DAG of the pure form."""
+    rows = settled(rows, "expr_id", "labels", "subtrees", "ast_depth", "ast_nodes", "ast_dag_nodes", "eml_dag_nodes")
     kept = F.expr("array_distinct(filter(transform(labels, (l, k) -> named_struct('l', l, 's', subtrees[k])), x -> x.l is not null))")
     refs = F.aggregate(kept, F.lit(0).cast("long"), lambda t, x: t + F.when(x["l"].isin("exp", "log"), 1).when(x["l"].isin("Add", "Mul"), 2).otherwise(0))
     return rows.select(

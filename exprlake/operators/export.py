@@ -15,6 +15,7 @@ LEVELS = ("ast_tree", "ast_dag", "macro_graph", "eml_dag", "eml_tree")
 
 def graph_nodes(rows: DataFrame) -> DataFrame:
     """representation_mode, node_id, expr_id, label, kind: nodes of the tree, of the shared expression and of its macro graph."""
+    rows = settled(rows, "expr_id", "labels", "subtrees")
     tree = "filter(transform(labels, (l, k) -> named_struct('id', cast(k + 1 as string), 'label', l)), x -> x.label is not null)"
     shared = "array_distinct(filter(transform(labels, (l, k) -> named_struct('id', subtrees[k], 'label', l)), x -> x.label is not null))"
     macro = f"transform({shared}, x -> named_struct('id', x.id, 'label', if(x.label in {FAMILIES}, concat('eml_', lower(x.label)), x.label)))"
@@ -26,6 +27,7 @@ def graph_nodes(rows: DataFrame) -> DataFrame:
 
 def graph_edges(rows: DataFrame) -> DataFrame:
     """representation_mode, expr_id, source, target, edge_type: references from parents to children, by slot."""
+    rows = settled(rows, "expr_id", "labels", "subtrees")
     slot = "CASE WHEN labels[p] IN ('exp', 'log') THEN 'arg0' WHEN k % 2 = 1 THEN 'left' ELSE 'right' END"
     places = "filter(sequence(1, size(labels) - 1), k -> labels[k] is not null)"
     tree = f"transform(transform({places}, k -> named_struct('k', k, 'p', (k - 1) div 2)), z -> named_struct('s', cast(z.p + 1 as string), 't', cast(z.k + 1 as string), 'slot', {slot.replace('[p]', '[int(z.p)]').replace('k %', 'z.k %')}))"
@@ -50,6 +52,7 @@ def summary(rows: DataFrame) -> DataFrame:
 
 def integrity(rows: DataFrame) -> DataFrame:
     """Per expression: a tree has one edge fewer than nodes, and no node has two parents."""
+    rows = settled(rows, "expr_id", "labels", "ast_nodes")
     edges = F.expr("filter(transform(labels, (l, k) -> named_struct('parent', get(labels, cast((k + 1) div 2 - 1 as int)), 'child', k, 'label', l)), x -> x.label is not null and x.parent is not null and x.child > 0)")
     rows = rows.select("expr_id", F.col("ast_nodes").alias("n_nodes"), edges.alias("e"))
     n, distinct = F.size("e").cast("long"), F.size(F.expr("array_distinct(transform(e, x -> x.child))"))

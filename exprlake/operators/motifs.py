@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from exprlake.functions.measures import FAMILIES
 from exprlake.functions.stats import rounded
+from exprlake.operators.corpus import settled
 from exprlake.operators.studies import top
 
 #: Weights of the selection grid: coverage, nontrivial coverage, vocabulary and expansion penalties.
@@ -19,6 +20,7 @@ GRID = {"coverage": (0.0, 1.0), "nontrivial": (0.0, 0.5), "vocabulary": (0.0, 1.
 
 def occurrences(rows: DataFrame) -> DataFrame:
     """expr_id, split, feature_subset, signature, node_count, c: how often each motif stands in an expression, counted inside its row."""
+    rows = settled(rows, "expr_id", "split", "feature_subset", "labels", "subtrees")
     places = "filter(transform(labels, (l, k) -> named_struct('l', l, 's', subtrees[k], 'a', get(labels, 2 * k + 1), 'b', get(labels, 2 * k + 2), 'sa', get(subtrees, 2 * k + 1), 'sb', get(subtrees, 2 * k + 2))), x -> x.a is not null)"
     left = f"""CASE WHEN x.a IN {FAMILIES} THEN CASE WHEN x.l IN ('exp', 'log') THEN concat(x.l, '[arg0:', x.a, ']') WHEN x.sa = x.sb THEN concat(x.l, '[left:', x.a, ',right:', x.b, ']') ELSE concat(x.l, '[left:', x.a, ']') END END"""
     right = f"CASE WHEN x.b IN {FAMILIES} AND x.sa <> x.sb THEN concat(x.l, '[right:', x.b, ']') END"

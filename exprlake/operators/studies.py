@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from exprlake.functions import measures
 from exprlake.functions.stats import distribution, group_summary, median, percent, rounded, summary_columns, upper_rank
+from exprlake.operators.corpus import settled
 
 #: (k, variables) of the threshold scenarios.
 SCENARIOS = ((4, 3), (2, 2), (8, 4))
@@ -120,6 +121,7 @@ def shared_subtrees(rows: DataFrame, n: int = 50) -> DataFrame:
 
 def own_subtrees(rows: DataFrame) -> DataFrame:
     """expr_id, subtree, label, copies: the distinct compound subtrees of every expression."""
+    rows = settled(rows, "expr_id", "labels", "subtrees")
     compound = F.expr(f"filter(transform(labels, (l, k) -> named_struct('label', l, 'subtree', subtrees[k])), x -> x.label in {measures.FAMILIES})")
     rows = rows.select("expr_id", compound.alias("c"))
     rows = rows.select("expr_id", F.explode(F.expr("transform(array_distinct(c), x -> named_struct('label', x.label, 'subtree', x.subtree, 'copies', cast(size(filter(c, y -> y = x)) as bigint)))")).alias("x"))
@@ -128,6 +130,7 @@ def own_subtrees(rows: DataFrame) -> DataFrame:
 
 def shared_in_expression(rows: DataFrame, n: int = 3) -> DataFrame:
     """The subtrees that each expression repeats most: an array is sorted and cut inside its row."""
+    rows = settled(rows, "expr_id", "labels", "subtrees")
     repeated = own_subtrees_array()
     best = F.slice(F.array_sort(repeated), 1, n)
     rows = rows.select("expr_id", F.posexplode(best).alias("at", "x"))

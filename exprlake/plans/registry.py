@@ -72,6 +72,7 @@ def on_order_forms(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 def log_arg_classes(rows: DataFrame) -> DataFrame:
     """What stands below logarithms: arguments are listed inside the row, and counted by label."""
+    rows = corpus.settled(rows, "labels")
     below = F.explode(F.expr("filter(transform(labels, (l, k) -> if(l = 'log', labels[2 * k + 1], null)), x -> x is not null)"))
     name = F.when(F.col("x") == "1", "one").when(F.col("x").isin("x", "y"), "symbol").otherwise(F.lower("x"))
     return rows.select(below.alias("x")).groupBy(name.alias("class")).agg(F.count("*").alias("n"))
