@@ -1,7 +1,6 @@
 """The corpus as DataFrames: one row an expression, and the long node and edge tables.
 
-A row holds the codes of its heap's places as one array; labels, canonical strings, depths, values and normal forms are folds over it, from
-the last place to the first, so that a plan has one expression for each of them whatever the depth; queries read the
+A row holds the codes of its heap's places as one array; labels, canonical strings, depths, values and normal forms are made from it level by level, so that a plan has one expression for each of them; queries read the
 columns that they need and the rest is pruned. Nothing here shuffles or joins.
 """
 
@@ -16,16 +15,6 @@ from exprlake.functions import eml, grammar, measures, normal
 X, Y = 1.3, 2.1
 
 
-def climb(step: str, kind: str) -> Column:
-    """By place, what step makes of q.k, the place's code, and of q.a and q.b, its children's results (null where there is none)."""
-    return F.expr(climb_sql(step, kind))
-
-
-def climb_sql(step: str, kind: str) -> str:
-    item = f"transform(array(named_struct('k', codes[p - 1], 'a', get(acc, p - 1), 'b', get(acc, p))), q -> cast({step} as {kind}))[0]"
-    return f"aggregate(sequence({grammar.PLACES}, 1), cast(array() as array<{kind}>), (acc, p) -> concat(array({item}), acc))"
-
-
 def total(test: str) -> Column:
     """How many places pass the test on k, the place's code, and on l and r, its children's codes (0 where there is none)."""
     test = test.replace("{l}", "coalesce(get(codes, 2 * i + 1), 0)").replace("{r}", "coalesce(get(codes, 2 * i + 2), 0)")
@@ -35,7 +24,7 @@ def total(test: str) -> Column:
 def settled(rows: DataFrame, *names: str) -> DataFrame:
     """The named columns of facts(), each made once a row.
 
-    What stands above facts() is merged into it otherwise: a filter would be copied into its folds, and a fold that a lambda reads would run once for each
+    What stands above facts() is merged into it otherwise: a filter would be copied into its steps, and a column that a lambda reads would be made once for each
     of the lambda's items. A generator's output stays where it is."""
     return rows.select(F.inline(F.array(F.struct(*names))))
 
@@ -43,30 +32,33 @@ def settled(rows: DataFrame, *names: str) -> DataFrame:
 def facts(keys: DataFrame, key: str = "event_id") -> DataFrame:
     """Every column of an expression that the studies read. Filter them, and read their arrays in lambdas, behind settled() only."""
     rows = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("expr_id"))
-    rows = settled(rows.select("expr_id", F.expr(grammar.codes_sql("expr_id")).alias("codes")), "expr_id", "codes")
-    constant = "CASE WHEN q.k IN (4, 5) THEN q.a AND q.b WHEN q.k IN (6, 7) THEN q.a ELSE q.k = 3 END"
+    drawn = grammar.drawn_sql("expr_id")
+    rows = settled(rows.select("expr_id", *(F.expr(sql).alias(name) for name, sql in drawn.items())), "expr_id", *drawn)
+    rows = settled(rows.select("expr_id", F.expr(grammar.codes_sql()).alias("codes")), "expr_id", "codes")
+    constant = lambda k, a, b: f"{k} = 3" if a is None else f"CASE WHEN {k} IN (4, 5) THEN {a} AND {b} WHEN {k} IN (6, 7) THEN {a} ELSE {k} = 3 END"
+    every = lambda step, kind: F.expr(grammar.climb_sql(step, kind))
+    first = lambda step, kind: F.expr(grammar.climb_sql(step, kind, root=True))
     names = F.expr("transform(codes, k -> CASE k " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in grammar.CODES.items()) + " END)")
     count = {f"n_{f.lower()}": total(f"k = {grammar.CODES[f]}") for f in measures.FAMILIES}
-    first = lambda step, kind: climb(step, kind)[0]
     rows = rows.select(
         "*",
         names.alias("labels"),
-        climb(measures.string_step("q.k", "q.a", "q.b"), "string").alias("subtrees"),
-        climb(measures.depth_step("q.k", "q.a", "q.b"), "int").alias("depths"),
-        first(measures.string_step("q.k", "q.a", "q.b"), "string").alias("expression"),
-        first(measures.depth_step("q.k", "q.a", "q.b"), "int").alias("eml_depth"),
-        first(measures.value_step("q.k", "q.a", "q.b", X, Y), "double").alias("value"),
+        every(measures.string_step, "string").alias("subtrees"),
+        every(measures.depth_step, "int").alias("depths"),
+        first(measures.string_step, "string").alias("expression"),
+        first(measures.depth_step, "int").alias("eml_depth"),
+        first(lambda k, a, b: measures.value_step(k, a, b, X, Y), "double").alias("value"),
         *(c.alias(n) for n, c in count.items()),
         total("k IN (1, 2)").alias("n_symbols"),
         total("k = 3").alias("n_constants"),
         F.expr("length(bin(array_max(transform(codes, (k, i) -> if(k > 0, i + 1, 1))))) - 1").alias("ast_depth"),
         total("k = 5 AND ({l} = 3 OR {r} = 3)").alias("mul_by_one"),
-        F.expr(f"transform(array({climb_sql(constant, 'boolean')}), c -> cast(size(filter(codes, (k, i) -> k IN (4, 5) AND get(c, 2 * i + 1) AND get(c, 2 * i + 2))) as bigint))[0]").alias("constant_only"),
+        F.expr(f"transform(array({grammar.climb_sql(constant, 'boolean')}), c -> cast(size(filter(codes, (k, i) -> k IN (4, 5) AND get(c, 2 * i + 1) AND get(c, 2 * i + 2))) as bigint))[0]").alias("constant_only"),
         total("k = 7 AND {l} = 3").alias("log_one"),
         total("k = 6 AND {l} = 7").alias("exp_log"),
         total("k = 7 AND {l} = 6").alias("log_exp"),
         total("k IN (4, 5) AND {l} = 3 AND {r} = 3").alias("number_only"),
-        *(first(normal.step(mode, "q.k", "q.a", "q.b"), "string").alias(f"form_{mode}") for mode in normal.MODES),
+        *(first(lambda k, a, b, mode=mode: normal.step(mode, k, a, b), "string").alias(f"form_{mode}") for mode in normal.MODES),
     )
     rows = rows.select("*", F.expr("n_symbols + n_constants").alias("n_leaves"), F.expr("n_symbols + n_constants + n_add + n_mul + n_exp + n_log").alias("ast_nodes"))
     shared = F.size(F.array_distinct(F.array_compact("subtrees"))).cast("long")
