@@ -265,11 +265,11 @@ def _signature_rows(docs: DataFrame, key: str, text: str, n: int, percent: int)
                 sets, names = [], []
                 for t in texts:
                     h = shingles(t, n)
-                    f = _fingerprint(h)[0]
+                    f = _fingerprint(h)
                     if len(h) and f not in seen:
                         seen.add(f)
                         sets.append(h)
-                        names.append(f)
+                        names.append(f[0])
                 if sets:
                     sig, owner = signatures(sets, percent, table)
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.array(names, np.int64)[owner])], ["sig", "f"])
