@@ -46,11 +46,65 @@ def _mul(a: str, b: str) -> list[str]:
     return [*_log(a), *_log(b), *total, _exp(total[-1])]
 
 
+def _neg(z: str) -> list[str]:
+    zero = _log(ONE)
+    return [*zero, *_sub(zero[-1], z)]
+
+
+def _inv(z: str) -> list[str]:
+    minus = _neg(_log(z)[-1])
+    return [*_log(z), *minus, _exp(minus[-1])]
+
+
+def _div(a: str, b: str) -> list[str]:
+    inverse = _inv(b)
+    return [*inverse, *_mul(a, inverse[-1])]
+
+
+def _pow(a: str, b: str) -> list[str]:
+    product = _mul(b, _log(a)[-1])
+    return [*_log(a), *product, _exp(product[-1])]
+
+
 def terms(a: str, b: str) -> dict[int, list[str]]:
     """By code of a label, SQL of the names of the terms that its macro adds over the operands a and b, the result last."""
     return {4: _add(a, b), 5: _mul(a, b), 6: [_exp(a)], 7: _log(a)}
 
 
+def kinds(a: str, b: str) -> dict[str, list[str]]:
+    """The same of every kind of macro, by name; unary ones use a only."""
+    return {"Add": _add(a, b), "Mul": _mul(a, b), "exp": [_exp(a)], "log": _log(a), "sub": _sub(a, b), "neg": _neg(a), "inv": _inv(a), "div": _div(a, b), "pow": _pow(a, b)}
+
+
+def cut(term: str) -> tuple[str, str]:
+    """The operands of a pair's SQL."""
+    inner, depth = term.removeprefix("xxhash64(").removesuffix(")"), 0
+    for at, c in enumerate(inner):
+        depth += (c in "([") - (c in ")]")
+        if c == "," and depth == 0:
+            return inner[:at], inner[at + 2 :]
+    raise ValueError(term)
+
+
+def pairs(a: str, b: str) -> dict[int, list[str]]:
+    """By code of a label, SQL of the pairs (id, a, b) that its macro adds over the operands a and b, inner ones first."""
+    return {code: ["named_struct('id', {}, 'a', {}, 'b', {})".format(t, *cut(t)) for t in found] for code, found in terms(a, b).items()}
+
+
+#: Operands in a template.
+FIRST, SECOND, UNIT = -1, -2, -3
+
+
+def templates() -> dict[str, list[tuple[int, int]]]:
+    """By kind of macro, its pairs as data: each side is FIRST, SECOND, UNIT or the number of an earlier pair of the same template."""
+    out = {}
+    for kind, found in kinds("FIRST", "SECOND").items():
+        steps = list(dict.fromkeys(found))
+        at = {"FIRST": FIRST, "SECOND": SECOND, ONE: UNIT} | {t: k for k, t in enumerate(steps)}
+        out[kind] = [tuple(at[side] for side in cut(t)) for t in steps]
+    return out
+
+
 def dag_nodes(codes: str) -> Column:
     """Distinct nodes of the EML form of an array of codes by place."""
     leaves = " ".join(f"WHEN {c} THEN {n}" for c, n in LEAVES.items())

@@ -9,8 +9,6 @@ from exprlake.functions.measures import FAMILIES
 from exprlake.operators.corpus import settled
 
 MODES = ("ast_tree", "ast_dag", "macro_graph")
-#: Levels of the hierarchical graph, from the expression to its pure form.
-LEVELS = ("ast_tree", "ast_dag", "macro_graph", "eml_dag", "eml_tree")
 
 
 def graph_nodes(rows: DataFrame) -> DataFrame:
@@ -59,12 +57,30 @@ def integrity(rows: DataFrame) -> DataFrame:
     return rows.select("expr_id", "n_nodes", n.alias("n_edges"), ((n == F.col("n_nodes") - 1) & (n == distinct)).alias("valid"))
 
 
-def hierarchical_links(rows: DataFrame) -> DataFrame:
-    """Edges between the roots of neighbouring levels of every expression's hierarchical graph."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("level_from"), F.lit(b).alias("level_to")) for a, b in zip(LEVELS, LEVELS[1:], strict=False))))
-    rows = rows.select("expr_id", pairs.alias("x")).select("expr_id", "x.*")
-    root = lambda level: F.concat_ws(":", "expr_id", level, F.lit("root"))
-    return rows.select("expr_id", "level_from", "level_to", root("level_from").alias("source"), root("level_to").alias("target"))
+def hierarchical_links(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """level_from, level_to, source, target: from every node to the node that it becomes on the next level.
+
+    Levels are the tree, the shared expression, its macro graph and the motif-compressed graph of kept (patterns.replaced()), where a replaced node becomes its motif's. Node ids
+    are those of graph_nodes(), and expr:motif_graph:place on the last level."""
+    rows = settled(rows, "expr_id", "labels", "subtrees")
+    there = "filter(transform(subtrees, (s, k) -> named_struct('p', cast(k + 1 as string), 's', s)), x -> x.s is not null)"
+    link = lambda a, b, source, target: f"named_struct('level_from', '{a}', 'level_to', '{b}', 'source', {source}, 'target', {target})"
+    up = f"transform({there}, x -> {link('ast_tree', 'ast_dag', 'x.p', 'x.s')})"
+    across = f"transform(array_distinct(filter(subtrees, s -> s is not null)), s -> {link('ast_dag', 'macro_graph', 's', 's')})"
+    out = rows.select("expr_id", F.explode(F.expr(f"concat({up}, {across})")).alias("x"))
+    names = settled(kept.join(rows.select("expr_id", "subtrees"), "expr_id"), "expr_id", "nodes", "kept", "subtrees")
+    owner = "concat('motif_graph:', coalesce(get(filter(kept, k -> array_contains(k.nodes, n.id)), 0).root, n.id))"
+    last = f"transform(nodes, n -> {link('macro_graph', 'motif_graph', 'subtrees[cast(n.id as int) - 1]', owner)})"
+    out = out.unionByName(names.select("expr_id", F.explode(F.expr(last)).alias("x")))
+    return out.select("x.level_from", "x.level_to", F.concat_ws(":", "expr_id", "x.source").alias("source"), F.concat_ws(":", "expr_id", "x.target").alias("target"))
+
+
+def dangling(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links with an end that nodes (level, node_id) doesn't have."""
+    ids = nodes.select("level", "node_id")
+    a = ids.select(F.col("level").alias("level_from"), F.col("node_id").alias("source"), F.lit(1).alias("a"))
+    b = ids.select(F.col("level").alias("level_to"), F.col("node_id").alias("target"), F.lit(1).alias("b"))
+    return links.join(a, ["level_from", "source"], "left").join(b, ["level_to", "target"], "left").where("a is null or b is null").drop("a", "b")
 
 
 def records(rows: DataFrame) -> DataFrame:

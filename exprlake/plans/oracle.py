@@ -286,7 +286,6 @@ ORACLE = {
     "graph_export_edges": q(SHARED + MODES + " SELECT * FROM g1"),
     "export_summary": q(SHARED + MODES + " SELECT * FROM (SELECT representation_mode, count(*) AS nodes, count(DISTINCT expr_id) AS graphs FROM g0 GROUP BY ALL) JOIN (SELECT representation_mode, count(*) AS edges FROM g1 GROUP BY ALL) USING (representation_mode)"),
     "export_integrity": q("SELECT expr_id, ast_nodes AS n_nodes, count(child) AS n_edges, count(child) = ast_nodes - 1 AND count(DISTINCT child) = count(child) AS valid FROM m LEFT JOIN e ON e.i = m.expr_id GROUP BY expr_id, ast_nodes"),
-    "hierarchical_links": q("SELECT expr_id, level_from, level_to, expr_id || ':' || level_from || ':root' AS source, expr_id || ':' || level_to || ':root' AS target FROM m, (VALUES ('ast_tree', 'ast_dag'), ('ast_dag', 'macro_graph'), ('macro_graph', 'eml_dag'), ('eml_dag', 'eml_tree')) z(level_from, level_to)"),
     "comparison_table": q("SELECT mode, count(*) AS n, round(median(v), 6) AS median_nodes, round(avg(v / ast_nodes), 6) AS mean_alpha FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS mode, {b} AS v, ast_nodes FROM m" for a, b in (("ast_tree", "ast_nodes"), ("ast_dag", "ast_dag_nodes"), ("eml_tree", "eml_nodes"), ("eml_dag", "eml_dag_nodes"), ("estimated", "estimated_cost"))) + ") GROUP BY ALL"),
     # rewriting
     "rewrite_rows": study("SELECT expr_id, rule_mode, normal_form, new_ast_nodes, new_eml_nodes, round(gain, 9) AS gain, outcome, crossed FROM y"),

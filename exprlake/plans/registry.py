@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from exprlake.functions.measures import threshold
 from exprlake.functions.stats import group_summary, median, percent, rounded
-from exprlake.operators import corpus, dag, export, given, motifs, rewriting, studies
-from exprlake.plans.oracle import ORACLE as ORACLE
+from exprlake.operators import corpus, dag, export, generation, given, graphs, motifs, patterns, rewriting, studies
+from exprlake.operators.stages import stage
+from exprlake.plans.graph_oracle import GRAPH_ORACLE
+from exprlake.plans.oracle import ORACLE as BASE_ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 FINISHED = "o_orderstatus = 'F'"
@@ -96,6 +98,33 @@ def probe(rows: DataFrame) -> DataFrame:
     return rows.select("expr_id", kind.alias("kind"), F.when(~F.isnan(v) & (F.abs(v) < 1e6), F.round(v, 6)).alias("value"))
 
 
+def greedy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Macro graphs with the occurrences that greedy replacement takes, and the vocabulary, both written once."""
+    found = patterns.occurrences(graphs.macro_graphs(rows), 3)
+    vocabulary = stage(patterns.vocabulary(found), "vocabulary")
+    return stage(patterns.replaced(found, vocabulary), "replaced"), vocabulary
+
+
+def vocabulary_quota(rows: DataFrame) -> DataFrame:
+    macro = patterns.vocabulary(patterns.occurrences(graphs.macro_graphs(rows), 3))
+    pure = patterns.vocabulary(patterns.occurrences(graphs.pure_graphs(rows), 2), prefix="pure_eml_dag")
+    return patterns.quota(stage(pure, "pure"), stage(macro, "macro"))
+
+
+def motif_graph(rows: DataFrame) -> DataFrame:
+    """Nodes and references of the compressed graphs, by label and by slot."""
+    nodes, refs, _ = patterns.compressed(greedy(rows)[0])
+    kinds = nodes.select(F.regexp_replace("label", "^motif:.*", "motif").alias("item"))
+    slots = refs.select(F.regexp_replace("slot", "_.*", "").alias("item"))
+    return kinds.unionByName(slots).groupBy("item").agg(F.count("*").alias("n"))
+
+
+def dag_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and references of the shared DAG, written once."""
+    nodes, refs = graphs.dag_tables(rows)
+    return stage(nodes, "nodes"), stage(refs, "refs")
+
+
 QUERIES: dict[str, Query] = {
     "corpus_nodes": on(lambda m: corpus.nodes(m).select("expr_id", "node", "level", "label")),
     "corpus_edges": on(corpus.edges),
@@ -175,7 +204,21 @@ QUERIES: dict[str, Query] = {
     "graph_export_edges": on(export.graph_edges),
     "export_summary": on(export.summary),
     "export_integrity": on(export.integrity),
-    "hierarchical_links": on(export.hierarchical_links),
+    "hierarchical_links": on(lambda m: export.hierarchical_links(m, greedy(m)[0])),
+    "motifs_size3": on(lambda m: patterns.counted(patterns.occurrences(graphs.macro_graphs(m), 3))),
+    "motifs_pure": on(lambda m: patterns.counted(patterns.occurrences(graphs.pure_graphs(m), 2), "feature_subset")),
+    "motif_vocabulary_size3": on(lambda m: patterns.vocabulary(patterns.occurrences(graphs.macro_graphs(m), 3))),
+    "vocabulary_quota": on(vocabulary_quota),
+    "greedy_compression": on(lambda m: patterns.compression(greedy(m)[0])),
+    "motif_graph": on(motif_graph),
+    "motif_reconstruction": on(lambda m: patterns.reconstruction(*greedy(m))),
+    "graph_classes": on(graphs.classes),
+    "eml_dag_nodes": on(lambda m: graphs.dag_tables(m)[0].drop("id")),
+    "eml_dag_edges": on(lambda m: graphs.named_refs(*dag_tables(m))),
+    "dag_audit": on(lambda m: graphs.audit(*dag_tables(m))),
+    "macro_expansion": on(graphs.expansion),
+    "generation_rounds": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.4)[0],
+    "generation_attempts": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.4)[1],
     "comparison_table": on(studies.comparison_table),
     "rewrite_rows": on_study(lambda w: w.selectExpr("expr_id", "rule_mode", "normal_form", "new_ast_nodes", "new_eml_nodes", shown("gain"), "outcome", "crossed")),
     "rewrite_summary": on_study(lambda w: rewriting.summary(w, "rule_mode")),
@@ -195,3 +238,6 @@ QUERIES: dict[str, Query] = {
     "rewrite_top_families": on_study(rewriting.top_families),
     "given_measures": lambda spark, sf_dir: given.measured(given.order_texts(table(spark, sf_dir, "orders"))).select("expr_id", "ast_nodes", F.col("ast_depth").cast("int").alias("ast_depth"), "eml_nodes"),
 }
+
+#: DuckDB SQL of every query.
+ORACLE = BASE_ORACLE | GRAPH_ORACLE

@@ -43,10 +43,15 @@ def test_closed_forms_of_all_kinds():
     assert size("Float('0.5')") == size("Rational(1, 2)")
 
 
+#: Texts of known constructors that make no expression.
+BROKEN = ["Rational(1, 0)", "Symbol()", "Add()", "Pow(Symbol('x'))", "Integer('a')", "exp()", "Rational(1)", "Integer([1])", "Symbol(x)"]
+
+
 def test_given_texts(spark):
-    rows = spark.createDataFrame([(1, "Symbol('x')", None), (2, None, "exp(Symbol('y'))"), (3, "sin(Symbol('x'))", None), (4, None, None), (5, "__import__('os')", None)], "index long, srepr string, expression string")
+    rows = spark.createDataFrame([(1, "Symbol('x')", None), (2, None, "exp(Symbol('y'))"), (3, "sin(Symbol('x'))", None), (4, None, None), (5, "__import__('os')", None), *((k, t, None) for k, t in enumerate(BROKEN, 6))], "index long, srepr string, expression string")
     found = {r["expr_id"]: r for r in given_rows.measured(rows).collect()}
     assert [found[k]["supported"] for k in range(1, 6)] == [True, True, False, False, False]
+    assert not any(found[k]["supported"] for k in range(6, 6 + len(BROKEN)))
     assert (found[1]["eml_nodes"], found[2]["eml_nodes"], found[2]["source"], found[3]["eml_nodes"]) == (1, 3, "expression", None)
 
 
