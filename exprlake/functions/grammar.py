@@ -18,8 +18,9 @@ LEAF_PERCENT = 15
 
 
 def mixed(i: str, p: str, k: int) -> str:
-    """A hash of key i, place p and purpose k below 2 ** 31."""
-    return f"((((({i} * 1000003 + {p} * 8191 + {k} * 7919 + 12345) % 2147483647) * 48271) % 2147483647) * 69621 % 2147483647)"
+    """A hash of key i, place p and purpose k below 2 ** 31. The product of its two halves breaks the linear step, or else all draws would follow from a single one."""
+    z = f"((({i} * 1000003 + {p} * 8191 + {k} * 7919 + 12345) % 2147483647) * 48271 % 2147483647)"
+    return f"((({z} % 46337) * ({z} div 46337 + 1009) + {z}) * 69621 % 2147483647)"
 
 
 def cases(value: str, cuts, last: str) -> str:

@@ -94,10 +94,10 @@ EXPANSION = f""", tops AS (SELECT a.i, a.g ga, coalesce(b.g, a.g) gb, a.i % 9 k
 ids AS (SELECT i, unnest(CASE k {' '.join(f'WHEN {k} THEN [{", ".join(dict.fromkeys(v))}]' for k, v in enumerate(_KINDS))} END) id FROM tops
  UNION SELECT i, id FROM pp UNION SELECT i, g FROM gn WHERE sa IS NULL UNION SELECT i, {_one} FROM tops)"""
 
-# six rounds of candidates: enough for two fifths of the keys
+# six rounds of candidates: enough for nine tenths of the keys
 ROUNDS = BASE.replace("FROM events WHERE", "FROM (SELECT event_id + r * 1000000007 AS event_id FROM events, (SELECT unnest(range(6)) r)) WHERE") + """, cd AS (SELECT i, s, i // 1000000007 turn, l IS NULL trivial FROM t WHERE p = 1),
 fr AS (SELECT s, min(i) i, min(i) // 1000000007 turn FROM cd WHERE NOT trivial GROUP BY s),
-wa AS (SELECT floor(count(*) * 0.4)::BIGINT w FROM events),
+wa AS (SELECT floor(count(*) * 0.9)::BIGINT w FROM events),
 od AS (SELECT *, row_number() OVER (ORDER BY i) n FROM fr),
 kp AS (SELECT od.* FROM od, wa WHERE n <= w)"""
 

@@ -11,18 +11,24 @@ LIMIT = repr(1 + math.log(4) / math.log(12))
 OPS = "('Add', 'Mul', 'exp', 'log')"
 
 
-def H(i: str, p: str, k: int) -> str:
-    return f"((((({i}*1000003 + {p}*8191 + {k}*7919 + 12345) % 2147483647) * 48271) % 2147483647) * 69621 % 2147483647)"
+def _line(i: str, p: str, k: int) -> str:
+    return f"(({i}*1000003 + {p}*8191 + {k}*7919 + 12345) % 2147483647) * 48271 % 2147483647"
 
 
-_LEAF = "CASE H3 % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE '1' END"
-_LABEL = f"""CASE WHEN level >= target OR H1 % 100 < 15 THEN {_LEAF}
- WHEN positive THEN CASE WHEN H2 % 100 < 30 THEN {_LEAF} WHEN H2 % 100 < 60 THEN 'Add' WHEN H2 % 100 < 85 THEN 'Mul' ELSE 'exp' END
- WHEN H2 % 100 < 30 THEN 'Add' WHEN H2 % 100 < 60 THEN 'Mul' WHEN H2 % 100 < 80 THEN 'exp' ELSE 'log' END"""
+def _mix(z: str) -> str:
+    return f"(({z} % 46337) * ({z} // 46337 + 1009) + {z}) * 69621 % 2147483647"
 
 
-def _label(i: str, p: str) -> str:
-    return _LABEL.replace("H1", H(i, p, 1)).replace("H2", H(i, p, 2)).replace("H3", H(i, p, 3))
+_LEAF = "CASE h3 % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE '1' END"
+_LABEL = f"""CASE WHEN level >= target OR h1 % 100 < 15 THEN {_LEAF}
+ WHEN positive THEN CASE WHEN h2 % 100 < 30 THEN {_LEAF} WHEN h2 % 100 < 60 THEN 'Add' WHEN h2 % 100 < 85 THEN 'Mul' ELSE 'exp' END
+ WHEN h2 % 100 < 30 THEN 'Add' WHEN h2 % 100 < 60 THEN 'Mul' WHEN h2 % 100 < 80 THEN 'exp' ELSE 'log' END"""
+
+
+def _drawn(source: str) -> str:
+    """source, which has i and p, with the draws h1, h2 and h3."""
+    lines = ", ".join(f"{_line('i', 'p', k)} z{k}" for k in (1, 2, 3))
+    return f"(SELECT *, {_mix('z1')} h1, {_mix('z2')} h2, {_mix('z3')} h3 FROM (SELECT *, {lines} FROM {source}))"
 
 
 def _e(a: str, b: str) -> str:
@@ -78,12 +84,13 @@ def _levels() -> str:
     return ",\n".join(out)
 
 
+_KEYS = f"(SELECT event_id i, 1::BIGINT p, 0 AS level, false AS positive, {_line('event_id', '0', 9)} z FROM events WHERE event_id IS NOT NULL)"
+_TOPS = f"(SELECT *, CASE WHEN h < 3 THEN 0 WHEN h < 15 THEN 1 WHEN h < 37 THEN 2 WHEN h < 65 THEN 3 ELSE 4 END target FROM (SELECT i, p, level, positive, {_mix('z')} % 100 h FROM {_KEYS}))"
+_NEXT = "(SELECT i, 2 * p + k p, level + 1 AS level, target, CASE label WHEN 'log' THEN true WHEN 'exp' THEN false ELSE positive END positive FROM n0, (VALUES (0), (1)) z(k) WHERE label IN ('Add', 'Mul') OR (k = 0 AND label IN ('exp', 'log')))"
 BASE = f"""WITH RECURSIVE n0 AS (
- SELECT event_id i, 1::BIGINT p, 0 AS level, target, false AS positive, {_label("event_id", "1").replace("level >=", "0 >=").replace("WHEN positive", "WHEN false")} label
- FROM (SELECT event_id, CASE WHEN h < 3 THEN 0 WHEN h < 15 THEN 1 WHEN h < 37 THEN 2 WHEN h < 65 THEN 3 ELSE 4 END target FROM (SELECT event_id, {H("event_id", "0", 9)} % 100 h FROM events WHERE event_id IS NOT NULL))
+ SELECT i, p, level, target, positive, {_LABEL} label FROM {_drawn(_TOPS)}
  UNION ALL
- SELECT i, p, level, target, positive, {_label("i", "p")} FROM
- (SELECT i, 2 * p + k p, level + 1 AS level, target, CASE label WHEN 'log' THEN true WHEN 'exp' THEN false ELSE positive END positive FROM n0, (VALUES (0), (1)) z(k) WHERE label IN ('Add', 'Mul') OR (k = 0 AND label IN ('exp', 'log')))
+ SELECT i, p, level, target, positive, {_LABEL} label FROM {_drawn(_NEXT)}
 ), n AS MATERIALIZED (SELECT * FROM n0),
 {_levels()},
 t AS MATERIALIZED (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4),

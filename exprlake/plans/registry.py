@@ -217,8 +217,8 @@ QUERIES: dict[str, Query] = {
     "eml_dag_edges": on(lambda m: graphs.named_refs(*dag_tables(m))),
     "dag_audit": on(lambda m: graphs.audit(*dag_tables(m))),
     "macro_expansion": on(graphs.expansion),
-    "generation_rounds": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.4)[0],
-    "generation_attempts": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.4)[1],
+    "generation_rounds": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[0],
+    "generation_attempts": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[1],
     "comparison_table": on(studies.comparison_table),
     "rewrite_rows": on_study(lambda w: w.selectExpr("expr_id", "rule_mode", "normal_form", "new_ast_nodes", "new_eml_nodes", shown("gain"), "outcome", "crossed")),
     "rewrite_summary": on_study(lambda w: rewriting.summary(w, "rule_mode")),

@@ -165,12 +165,49 @@ def test_files_round_trip(spark, tmp_path):
 
 
 def test_stream_resumes(spark, tmp_path):
-    spark.range(0, 20).select("id").withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/in")
+    spark.range(0, 20).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/in")
     resume.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")
-    spark.range(10, 30).withColumnRenamed("id", "event_id").write.mode("append").parquet(f"{tmp_path}/in")
+    more = spark.range(10, 30).selectExpr("id AS event_id").unionByName(spark.createDataFrame([(None,), (29,), (1 << 20,)], "event_id long"))
+    more.write.mode("append").parquet(f"{tmp_path}/in")
     resume.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")
-    found = spark.read.parquet(f"{tmp_path}/out")
-    assert found.count() == 30 and found.select("expr_id").distinct().count() == 30
+    found = resume.rows(spark, f"{tmp_path}/out")
+    assert found.count() == 31 and found.select("expr_id").distinct().count() == 31
+    resume.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")
+    assert resume.rows(spark, f"{tmp_path}/out").count() == 31
+
+
+@pytest.mark.parametrize("killed", ["before", "after"])
+def test_a_killed_batch_counts_once(spark, tmp_path, monkeypatch, killed):
+    """The second batch dies before or after its rows' summary is there; the restarted run has the figures of one run over all keys."""
+    run = lambda: resume.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")
+    spark.range(0, 40).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/in")
+    run()
+    spark.range(30, 90).selectExpr("id AS event_id").write.mode("append").parquet(f"{tmp_path}/in")
+    plain = resume.summarise
+
+    def dying(rows):
+        if killed == "after":
+            plain(rows).write.mode("overwrite").parquet(f"{tmp_path}/out/summary/batch=1")
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(resume, "summarise", dying)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    monkeypatch.setattr(resume, "summarise", plain)
+    run()
+    whole = export.summary(corpus.facts(spark.range(0, 90), "id"))
+    assert sorted(map(tuple, resume.summary(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, whole.collect()))
+    assert resume.rows(spark, f"{tmp_path}/out").groupBy("expr_id").count().where("count > 1").count() == 0
+
+
+def test_a_batch_reads_its_key_ranges_only(spark, tmp_path):
+    spark.range(0, 10).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/in")
+    resume.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")
+    done = spark.read.schema("expr_id long, batch long, key_range long").parquet(f"{tmp_path}/out/rows")
+    batch = spark.createDataFrame([(5,), (11,)], "event_id long")
+    found = resume.measured(batch, "event_id", done)
+    assert [r["expr_id"] for r in found.collect()] == [11]
+    assert "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString().lower() or "key_range" in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_entry(spark):
