@@ -1,5 +1,9 @@
 """Url filters, main text, WARC audit and license scans on small fixtures."""
 
+import collections
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +44,87 @@ def test_templates_learn_from_labelled_urls(spark):
     assert {r["template"]: r["v"] for r in found} == {"/bad/{n}": ["block"], "/good/{n}": ["allow"]}
 
 
+def plain_templates(urls_):
+    """Purity of every (host, segments) of [(host, segments, blocked)], one host and one node after the other."""
+    urls_ = [(h, tuple(s), b) for h, s, b in urls_]
+    labels = [b for *_, b in urls_ if b is not None]
+    overall = (sum(labels) + 0.5) / (len(labels) + 2.0)
+    out = {}
+
+    def count(rows):
+        mine = [b for _, b in rows if b is not None]
+        return len(mine), sum(mine)
+
+    def grow(host, rows, level, purity):
+        l, h = count(rows)
+        if l == 0 or len({s for s, _ in rows}) < 2:
+            out.update({(host, s): purity for s, _ in rows})
+            return
+        step = lambda s: s[level] if level < len(s) else ""
+        own = collections.Counter(step(s) for s, _ in rows)
+        once = sum(n == 1 for n in own.values())
+        keep = {t for t, n in own.items() if t == "" or t.startswith("{n}") or (n >= urls.KEEP_SHARE * len(rows) and (n > 1 or once < urls.VARIABLE))}
+        parts = collections.defaultdict(list)
+        for s, b in rows:
+            parts[step(s) if step(s) in keep else "*"].append((s, b))
+        for t, part in parts.items():
+            cl, ch = count(part)
+            alike = cl == 0
+            if cl and l > cl:
+                p = h / l
+                alike = abs(ch / cl - (h - ch) / (l - cl)) <= urls.CRITICAL * math.sqrt(p * (1 - p) * (1 / cl + 1 / (l - cl)))
+            share = purity if alike else (ch + urls.PRIOR * purity) / (cl + urls.PRIOR)
+            if t == "":
+                out.update({(host, s): share for s, _ in part})
+            else:
+                grow(host, part, level + 1, share)
+
+    for host in {h for h, *_ in urls_}:
+        rows = [(s, b) for h, s, b in urls_ if h == host]
+        l, h = count(rows)
+        grow(host, rows, 0, (h + urls.PRIOR * overall) / (l + urls.PRIOR))
+    return out
+
+
+def held_against_plain(pages):
+    seen = pages.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    seen = seen.withColumn("fit", urls.rule_of(queries.URL_RULES, F.col("host"), F.col("path"))).select("host", urls._segments(F.col("path")).alias("segments"), (F.col("fit.verdict") == "block").alias("blocked"))
+    expected = plain_templates([tuple(r) for r in seen.collect()])
+    found = {(r["host"], tuple(r["segments"])): r["purity"] for r in urls.templates(seen).select("host", "segments", "purity").collect()}
+    assert found.keys() == expected.keys() and all(math.isclose(found[k], expected[k], rel_tol=1e-9) for k in found)
+    return len(found)
+
+
+def test_templates_equal_a_plain_walk(spark):
+    assert held_against_plain(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")) > 100
+
+
+def test_templates_of_odd_trees_equal_a_plain_walk(spark):
+    draw = random.Random(11)
+    hosts = ["a.org", "example.org", "b.com", "c.com", "d.net"]
+    made = []
+    for _ in range(1_500):
+        depth = draw.choice([0, 1, 2, 3, 5, 9])
+        made.append((f"http://{draw.choice(hosts)}/" + "/".join(draw.choice(["fr", "de", "es", "x", "y", str(draw.randint(0, 99)), f"p{draw.randint(0, 60)}"]) for _ in range(depth)),))
+    assert held_against_plain(spark.createDataFrame([*made, (None,), ("no address",), ("http://a.org/" + "long/" * 40 + "q" * 5_000,)], "url string")) > 500
+
+
+def test_deep_paths_are_told_apart(spark):
+    """What tells blocked from allowed pages stands on the fifth step."""
+    rules = [("block", "deep.net", "/a/b/c/bad/1"), ("allow", "deep.net", "/a/b/c/good/1")]
+    pages = [(n, f"http://deep.net/a/b/c/{kind}/{n}") for n in range(10, 49) for kind in ("bad", "good")]
+    found = {r["path"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).where("rule is null").collect()}
+    assert len(found) == 58 and all(v == ("block" if "/bad/" in p else "allow") for p, v in found.items())
+
+
+def test_few_siblings_are_no_variable_segment(spark):
+    """Four languages that stand once or twice keep their own labels."""
+    rules = [("block", "small.com", "/de/"), ("allow", "small.com", "/fr/")]
+    pages = [(1, "http://small.com/de/1"), (2, "http://small.com/de/2"), (3, "http://small.com/fr/1"), (4, "http://small.com/en/210"), (5, "http://small.com/es/254")]
+    found = {r["page_id"]: r["template"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules).collect()}
+    assert not any(t.startswith("/*") for t in found.values())
+
+
 def test_urls_empty_and_repeated(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")] * 3 + [(None, "http://a.net/y")], "page_id long, url string")
     assert urls.judge(pages, RULES).count() == 4 and urls.judge(pages.limit(0), RULES).count() == 0
