@@ -94,13 +94,14 @@ def classes(rows: DataFrame) -> DataFrame:
     return groups.groupBy("shape").agg(F.sum("c").alias("n"), F.count("*").alias("n_expressions"), F.min("first_expr").alias("first_expr"))
 
 
+def _steps(listed: list[tuple[int, int]]) -> str:
+    """SQL of a template's steps."""
+    return "array(" + ", ".join(f"named_struct('l', {a}, 'r', {b})" for a, b in listed) + ")"
+
+
 def _template_map() -> str:
     """SQL of a map from the kind of a macro to its template's steps."""
-    entries = []
-    for kind, steps in eml.templates().items():
-        listed = ", ".join(f"named_struct('l', {a}, 'r', {b})" for a, b in steps)
-        entries.append(f"'{kind}', array({listed})")
-    return f"map({', '.join(entries)})"
+    return "map(" + ", ".join(f"'{kind}', {_steps(listed)}" for kind, listed in eml.templates().items()) + ")"
 
 
 #: The kind of macro that expansion() puts on top of an expression, by its id.
@@ -139,6 +140,39 @@ def expansion(rows: DataFrame) -> DataFrame:
     return both.select("expr_id", "kind", (F.size("nodes") + 1).cast("long").alias("macro_nodes"), F.size(F.expr(used)).cast("long").alias("eml_nodes"), (F.expr("element_at(done.results, -1).result") == F.expr(compiled)).alias("valid"))
 
 
+def dag_values(rows: DataFrame, x: float = 1.3, y: float = 2.1) -> DataFrame:
+    """name, value: what every node of the shared EML DAG is at x and y, over the extended reals; each node is made once, by the macro that gives it its name.
+
+    A pair of a and b is exp(a) - ln(b); ln 0 is minus infinity, and the logarithm of a negative number is not a number. Distinct subtrees are evaluated by height: a level joins the
+    results of those below and runs through its templates' steps; each level is written, so that there are as many rounds as operators on top of each other. A leaf's name
+    is its label."""
+    rows = settled(rows, "codes", "subtrees")
+    height = grammar.climb_sql(lambda k, a, b: "0" if a is None else f"CASE WHEN {k} IN (4, 5) THEN 1 + greatest({a}, {b}) WHEN {k} IN (6, 7) THEN 1 + {a} ELSE 0 END", "int")
+    rows = settled(rows.select("codes", "subtrees", F.expr(height).alias("heights")), "codes", "subtrees", "heights")
+    item = "named_struct('subtree', subtrees[i], 'code', k, 'height', heights[i], 'left', get(subtrees, 2 * i + 1), 'right', get(subtrees, 2 * i + 2))"
+    found = rows.select(F.explode(F.expr(f"array_distinct(filter(transform(codes, (k, i) -> {item}), x -> x.code > 0))")).alias("x")).select("x.*").distinct()
+    found = stage(found, "subtrees")
+    names = {v: k for k, v in grammar.CODES.items()}
+    steps = "map(" + ", ".join(f"{grammar.CODES[kind]}, {_steps(listed)}" for kind, listed in eml.templates().items() if kind in grammar.CODES) + ")"
+    leaf = {"x": x, "y": y, "1": 1.0}
+    known = found.where("height = 0").select("subtree", F.coalesce(*(F.when(F.col("code") == c, F.lit(leaf[n])) for c, n in names.items() if n in leaf)).alias("value"))
+    known = stage(known, "values")
+    out = [known.select(F.col("subtree").alias("name"), "value")]
+    side = f"CASE t.{{0}} WHEN {eml.FIRST} THEN a WHEN {eml.SECOND} THEN b WHEN {eml.UNIT} THEN 1D ELSE v[t.{{0}}] END"
+    pair = "exp(z.l) - CASE WHEN z.r = 0 THEN double('-Infinity') WHEN z.r < 0 THEN double('NaN') ELSE ln(z.r) END"
+    made = f"aggregate(steps[code], cast(array() as array<double>), (v, t) -> concat(v, transform(array(named_struct('l', {side.format('l')}, 'r', {side.format('r')})), z -> {pair})))"
+    for level in range(1, grammar.MAX_DEPTH + 1):
+        a, b = (known.select(F.col("subtree").alias(side_), F.col("value").alias(name)) for side_, name in (("left", "a"), ("right", "b")))
+        here = found.where(F.col("height") == level).join(a, "left").join(b, "right", "left").withColumn("steps", F.expr(steps))
+        here = stage(settled(here, "subtree", "code", "a", "b", "steps").select("subtree", F.expr(made).alias("v")), "level")
+        known = known.unionByName(here.select("subtree", F.element_at("v", -1).alias("value")))
+        out.append(here.select("subtree", F.posexplode("v").alias("at", "value")).select(F.concat_ws("#", "subtree", "at").alias("name"), "value"))
+    values = out[0]
+    for part in out[1:]:
+        values = values.unionByName(part)
+    return values
+
+
 #: How many references a label has.
 ARITY = {"eml": 2, "x": 0, "y": 0, "1": 0}
 

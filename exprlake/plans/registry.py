@@ -125,6 +125,14 @@ def dag_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stage(nodes, "nodes"), stage(refs, "refs")
 
 
+def dag_values(rows: DataFrame) -> DataFrame:
+    """Every named node of the shared DAG with its value at the probe point, where it is finite and of readable size."""
+    values = graphs.dag_values(rows, corpus.X, corpus.Y).join(graphs.dag_tables(rows)[0].select("name"), "name")
+    v = F.col("value")
+    kind = F.when(F.isnan(v), "undefined").when(F.abs(v) == float("inf"), "infinite").otherwise("finite")
+    return values.select("name", kind.alias("kind"), F.when(~F.isnan(v) & (F.abs(v) < 1e4), F.round(v, 4) + 0.0).alias("value"))
+
+
 QUERIES: dict[str, Query] = {
     "corpus_nodes": on(lambda m: corpus.nodes(m).select("expr_id", "node", "level", "label")),
     "corpus_edges": on(corpus.edges),
@@ -217,6 +225,7 @@ QUERIES: dict[str, Query] = {
     "eml_dag_edges": on(lambda m: graphs.named_refs(*dag_tables(m))),
     "dag_audit": on(lambda m: graphs.audit(*dag_tables(m))),
     "macro_expansion": on(graphs.expansion),
+    "dag_values": on(dag_values),
     "generation_rounds": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[0],
     "generation_attempts": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[1],
     "comparison_table": on(studies.comparison_table),

@@ -108,8 +108,12 @@ def test_query_equals_oracle(spark, duck, once, name):
     assert len(ours) > 0 and canonical(ours) == canonical(theirs)
 
 
+#: Queries whose result is held against plain Python instead.
+NO_SQL = {"dag_values"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) - NO_SQL == set(registry.ORACLE)
 
 
 def test_shared_size_never_exceeds_tree(spark):

@@ -1,5 +1,6 @@
 """Graphs of expressions: motifs and their replacement against plain Python, reconstruction, and the audit of the shared DAG."""
 
+import math
 from itertools import combinations
 
 import pytest
@@ -149,6 +150,33 @@ def test_shared_dag_holds_every_pure_graph(spark, shared):
     assert arcs.exceptAll(shared[1]).count() == 0 and arcs.count() == shared[1].count()
 
 
+def test_values_equal_a_plain_evaluation(spark, shared):
+    """Every node against its own references, leaves given; and each expression's root against its value, where both are finite."""
+    rows = registry.facts_of(spark, SF)
+    found = {r["name"]: r["value"] for r in graphs.dag_values(rows).collect()}
+    nodes = {r["id"]: r["name"] for r in shared[0].collect()}
+    assert set(nodes.values()) <= set(found)
+    sides = {}
+    for r in shared[1].collect():
+        sides.setdefault(nodes[r["parent"]], {})[r["at"]] = found[nodes[r["child"]]]
+    close = lambda a, b: (a != a and b != b) or a == b or math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
+
+    def exp(v):
+        return math.inf if v > 709.782 else math.exp(v)
+
+    for name, pair in sides.items():
+        ln = -math.inf if pair[1] == 0 else math.nan if not pair[1] >= 0 else math.log(pair[1])
+        assert close(found[name], exp(pair[0]) - ln), name
+    assert {n: found[n] for n in ("x", "y", "1")} == {"x": 1.3, "y": 2.1, "1": 1.0}
+    roots = {r["id"]: r["root"] for r in graphs.pure_graphs(rows).select(F.col("expr_id").alias("id"), "root").collect()}
+    same = 0
+    for r in rows.select("expr_id", "value").collect():
+        pure = found[nodes[roots[r["expr_id"]]]]
+        if math.isfinite(pure) and math.isfinite(r["value"]) and abs(r["value"]) < 1e3:
+            same += math.isclose(pure, r["value"], rel_tol=1e-6, abs_tol=1e-6)
+    assert same > 300
+
+
 def test_audit_reports_damage(spark, shared):
     nodes, refs = shared
     clean = graphs.audit(nodes, refs).first().asDict()
