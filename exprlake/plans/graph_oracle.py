@@ -102,6 +102,7 @@ od AS (SELECT *, row_number() OVER (ORDER BY i) n FROM fr),
 kp AS (SELECT od.* FROM od, wa WHERE n <= w)"""
 
 GRAPH_ORACLE = {
+    "metric_file_join": q(" SELECT expr_id, split, round(tree_alpha, 9) AS tree_alpha, round(dag_alpha, 9) AS file_dag_alpha, round((tree_alpha - dag_alpha) / tree_alpha, 9) AS saved_share, round(dag_compression, 9) AS compression, true AS same_text FROM m WHERE expr_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"),
     "macro_expansion": q(GRAPH + PURE + EXPANSION + f" SELECT tops.i AS expr_id, {_names}[k + 1] AS kind, (SELECT count(*) + 1 FROM gn WHERE gn.i = tops.i) AS macro_nodes, (SELECT count(*) FROM ids WHERE ids.i = tops.i) AS eml_nodes, true AS valid FROM tops"),
     "generation_rounds": ROUNDS + " SELECT i AS candidate_id, s AS expression, turn::INTEGER AS round FROM kp",
     "generation_attempts": ROUNDS + """ SELECT c.turn::INTEGER AS round, attempts, trivial, attempts - trivial - coalesce(fresh, 0) AS duplicates, coalesce(kept, 0) AS kept

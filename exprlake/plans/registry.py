@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from exprlake.functions.measures import threshold
 from exprlake.functions.stats import group_summary, median, percent, rounded
-from exprlake.operators import corpus, dag, export, generation, given, graphs, motifs, patterns, rewriting, studies
-from exprlake.operators.stages import stage
+from exprlake.operators import baselines, corpus, dag, export, generation, given, graphs, motifs, patterns, rewriting, studies
+from exprlake.operators.stages import shared_folder, stage
 from exprlake.plans.graph_oracle import GRAPH_ORACLE
 from exprlake.plans.oracle import ORACLE as BASE_ORACLE
+from exprlake.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 FINISHED = "o_orderstatus = 'F'"
@@ -133,6 +135,13 @@ def dag_values(rows: DataFrame) -> DataFrame:
     return values.select("name", kind.alias("kind"), F.when(~F.isnan(v) & (F.abs(v) < 1e4), F.round(v, 4) + 0.0).alias("value"))
 
 
+def metric_file_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' corpus against a metric file that a run over the finished orders writes first."""
+    path = f"{shared_folder(spark)}/exprlake-metrics-{uuid.uuid4().hex}"
+    files.write_csv(baselines.dag_metrics(facts_of(spark, sf_dir, "orders", "o_orderkey", FINISHED)), path)
+    return baselines.against(facts_of(spark, sf_dir), files.read_metrics(spark, path, "dag"))
+
+
 QUERIES: dict[str, Query] = {
     "corpus_nodes": on(lambda m: corpus.nodes(m).select("expr_id", "node", "level", "label")),
     "corpus_edges": on(corpus.edges),
@@ -226,6 +235,7 @@ QUERIES: dict[str, Query] = {
     "dag_audit": on(lambda m: graphs.audit(*dag_tables(m))),
     "macro_expansion": on(graphs.expansion),
     "dag_values": on(dag_values),
+    "metric_file_join": metric_file_join,
     "generation_rounds": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[0],
     "generation_attempts": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[1],
     "comparison_table": on(studies.comparison_table),

@@ -38,10 +38,26 @@ def read_expressions(spark: SparkSession, path: str, count: int | None = None) -
     return rows
 
 
-def read_metrics(spark: SparkSession, path: str, kind: str = "expansion") -> DataFrame:
-    """CSV of metrics of one of METRIC_KINDS, with a header; rows that are not supported are left out where the kind marks them."""
-    rows = spark.read.schema(METRIC_KINDS[kind]).option("header", True).option("mode", "FAILFAST").csv(path)
-    return rows.where("supported") if "supported" in rows.columns else rows
+def read_metrics(spark: SparkSession, path: str, kind: str = "expansion", bad: str = "fail") -> DataFrame:
+    """CSV of metrics of one of METRIC_KINDS, with a header, columns in any order; rows that are not supported are left out where the kind marks them.
+
+    A column that the kind has and the file lacks is a ValueError; columns beyond the kind's are left out. Empty fields are null. A value that its column's type
+    does not take makes a row bad: fail ends the job with the column's name, drop leaves the row out, and report keeps it, null there, with the column's name in bad."""
+    if bad not in ("fail", "drop", "report"):
+        raise ValueError(f"unknown way with bad rows: {bad}")
+    fields = T.StructType.fromDDL(METRIC_KINDS[kind]).fields
+    raw = spark.read.option("header", True).csv(path)
+    if missing := [f.name for f in fields if f.name not in raw.columns]:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    typed = lambda f: F.col(f"`{f.name}`").try_cast(f.dataType)
+    wrong = F.array_compact(F.array(*(F.when(F.col(f"`{f.name}`").isNotNull() & typed(f).isNull(), F.lit(f.name)) for f in fields)))
+    rows = raw.select(*(typed(f).alias(f.name) for f in fields), wrong.alias("bad"))
+    if bad == "fail":
+        rows = rows.withColumn("bad", F.when(F.size("bad") > 0, F.raise_error(F.concat(F.lit("bad value in "), F.array_join("bad", ", ")))).otherwise(F.col("bad"))).where("size(bad) = 0")
+    elif bad == "drop":
+        rows = rows.where("size(bad) = 0")
+    rows = rows if bad == "report" else rows.drop("bad")
+    return rows.where("supported") if any(f.name == "supported" for f in fields) and bad != "report" else rows
 
 
 def write_summary(rows: DataFrame, path: str) -> None:

@@ -168,6 +168,38 @@ def test_files_round_trip(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/c").count() == 1000
 
 
+def test_metric_files_with_nulls_bad_rows_and_missing_columns(spark, tmp_path):
+    names = [f.name for f in files.T.StructType.fromDDL(files.METRIC_KINDS["motif"]).fields]
+    lines = [
+        ",".join(["more", *reversed(names)]),
+        "z,all_v1,train,true,1.5,4,true,Symbol('x'),x,1",
+        "z,,,,,,true,,,2",
+        "z,all_v1,train,true,much,4,true,y,y,3",
+        "z,all_v1,train,true,1.5,4,false,y,y,4",
+    ]
+    (tmp_path / "motif.csv").write_text("\n".join(lines))
+    path = str(tmp_path / "motif.csv")
+    dropped = {r["index"]: r for r in files.read_metrics(spark, path, "motif", bad="drop").collect()}
+    assert sorted(dropped) == [1, 2] and dropped[1]["compression_gain"] == 1.5 and dropped[2]["split"] is None
+    told = {r["index"]: r["bad"] for r in files.read_metrics(spark, path, "motif", bad="report").collect()}
+    assert told == {1: [], 2: [], 3: ["compression_gain"], 4: []}
+    with pytest.raises(Exception, match="bad value in compression_gain"):
+        files.read_metrics(spark, path, "motif").collect()
+    with pytest.raises(ValueError, match="macro_graph_nodes"):
+        files.read_metrics(spark, path, "macro")
+    with pytest.raises(ValueError):
+        files.read_metrics(spark, path, "motif", bad="ignore")
+
+
+@pytest.mark.parametrize("kind", sorted(files.METRIC_KINDS))
+def test_filled_metric_files_come_back(spark, tmp_path, kind):
+    fields = files.T.StructType.fromDDL(files.METRIC_KINDS[kind])
+    value = {"bigint": 7, "int": 3, "double": 0.1 + 0.2, "string": "a, \"b\"", "boolean": True}
+    rows = [tuple(value[f.dataType.simpleString()] for f in fields), tuple(value[f.dataType.simpleString()] if f.name in ("supported", "index", "expr_id") else None for f in fields)]
+    files.write_csv(spark.createDataFrame(rows, fields), f"{tmp_path}/x")
+    assert sorted(map(str, files.read_metrics(spark, f"{tmp_path}/x", kind).collect())) == sorted(map(str, spark.createDataFrame(rows, fields).collect()))
+
+
 def test_stream_resumes(spark, tmp_path):
     spark.range(0, 20).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/in")
     resume.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/mark")
