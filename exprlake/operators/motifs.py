@@ -72,9 +72,9 @@ def selection(features: DataFrame, size: int = 5) -> DataFrame:
     return both.groupBy("trial").agg(F.count("*").alias("n"), rounded(F.sum("train")).alias("train_score"), rounded(F.sum(F.coalesce("validation", F.lit(0.0)))).alias("validation_score"))
 
 
-def best_trial(features: DataFrame) -> DataFrame:
+def best_trial(features: DataFrame, size: int = 5) -> DataFrame:
     """The trial whose motifs score best on validation rows, then on training rows."""
-    return selection(features).orderBy(F.desc("validation_score"), F.desc("train_score"), "trial").limit(1)
+    return selection(features, size).orderBy(F.desc("validation_score"), F.desc("train_score"), "trial").limit(1)
 
 
 def train_vs_full(rows: DataFrame, min_support: int = 50) -> DataFrame:

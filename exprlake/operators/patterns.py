@@ -83,16 +83,23 @@ def quota(pure: DataFrame, macro: DataFrame, size: int = 30) -> DataFrame:
 def replaced(found: DataFrame, motifs: DataFrame) -> DataFrame:
     """found with kept: the occurrences that greedy replacement takes, with motif_id.
 
-    Candidates have a motif of two or more nodes and are safe; they are taken by score, size and root, where no node is taken yet. motifs is a vocabulary: a
-    bounded number of rows, which reach every task as one map."""
+    Candidates have a motif of two or more nodes and are safe; they are taken by score, size and the root's place among the nodes, where no node is taken yet. motifs is a
+    vocabulary: a bounded number of rows, which reach every task as one map."""
+    return taken(found, motifs).select(*ROW, "kept")
+
+
+def taken(found: DataFrame, motifs: DataFrame, name: str = "kept", *carried: str) -> DataFrame:
+    """replaced() under another column's name, with found and the carried columns beside it, so that one row can hold what several vocabularies take."""
     known = F.map_from_entries(F.collect_list(F.struct("signature", F.struct("motif_id", "score"))))
     one = motifs.where("node_count > 1").agg(known.alias("known")).withColumn("one", F.lit(1))
     rows = found.withColumn("one", F.lit(1)).join(F.broadcast(one), "one")  # a single row, bounded by the vocabulary's size
-    candidate = "named_struct('first', -known[o.signature].score, 'second', -size(o.nodes), 'root', o.root, 'motif_id', known[o.signature].motif_id, 'nodes', o.nodes, 'labels', o.labels, 'inner', o.inner, 'outer', o.outer)"
+    at = "array_position(transform(nodes, n -> n.id), o.root)"
+    candidate = f"named_struct('first', -known[o.signature].score, 'second', -size(o.nodes), 'at', {at}, 'root', o.root, 'motif_id', known[o.signature].motif_id, 'nodes', o.nodes, 'labels', o.labels, 'inner', o.inner, 'outer', o.outer)"
     some = f"array_sort(transform(filter(found, o -> o.safe AND map_contains_key(known, o.signature)), o -> {candidate}))"
-    rows = settled(rows.select(*ROW, F.expr(some).alias("some")), *ROW, "some")
+    rest = (*ROW, "found", *carried)
+    rows = settled(rows.select(*rest, F.expr(some).alias("some")), *rest, "some")
     fold = "aggregate(some, slice(some, 1, 0), (acc, c) -> if(exists(acc, k -> arrays_overlap(k.nodes, c.nodes)), acc, concat(acc, array(c))))"
-    return settled(rows.select(*ROW, F.expr(fold).alias("kept")), *ROW, "kept")
+    return settled(rows.select(*rest, F.expr(fold).alias(name)), *rest, name)
 
 
 def compression(kept: DataFrame) -> DataFrame:

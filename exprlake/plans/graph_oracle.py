@@ -5,7 +5,7 @@ Joins over node and reference tables; nothing here is shared with the Spark side
 
 from __future__ import annotations
 
-from exprlake.plans.oracle import _TERMS, BASE, _e, _ln, _minus, _one, _plus, _times, q
+from exprlake.plans.oracle import _TERMS, BASE, SCORES, _e, _ln, _minus, _one, _plus, _times, q
 
 
 def _cut(term: str) -> str:
@@ -101,7 +101,67 @@ wa AS (SELECT floor(count(*) * 0.9)::BIGINT w FROM events),
 od AS (SELECT *, row_number() OVER (ORDER BY i) n FROM fr),
 kp AS (SELECT od.* FROM od, wa WHERE n <= w)"""
 
+# candidates of both graph types; a pair's place is where it first stands in root, pair 1 and its sides, pair 2 and its sides, ...
+_leaves = "(hash('leaf', 'x', ''), hash('leaf', 'y', ''), hash('leaf', '1', ''))"
+LEARNED = (
+    GRAPH
+    + SETS
+    + f""", px AS (SELECT i, place, unnest(x, recursive := true), unnest(range(len(x))) AS pos FROM (SELECT n.i, n.id place, CASE n.label {_pairs} END x FROM (SELECT n.i, n.id, n.label, a.g ga, b.g gb FROM gn n JOIN gn a ON a.i = n.i AND a.s = n.sa LEFT JOIN gn b ON b.i = n.i AND b.s = n.sb) n)),
+pz AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY i ORDER BY o) nth FROM (SELECT i, id, any_value(a) a, any_value(b) b, min(place * 1000 + pos) o FROM px GROUP BY i, id)),
+pa AS (SELECT i, v, min(w) AS spot FROM (SELECT i, id v, 3 * nth w FROM pz UNION ALL SELECT i, a, 3 * nth + 1 FROM pz UNION ALL SELECT i, b, 3 * nth + 2 FROM pz UNION ALL SELECT i, g, -1 FROM t WHERE p = 1) GROUP BY i, v),
+pp AS (SELECT i, v, count(*) parents FROM (SELECT i, a v, id FROM pz UNION SELECT i, b, id FROM pz) GROUP BY i, v),
+cf AS MATERIALIZED (SELECT 'macro_graph' typ, i, root::UBIGINT root, z::UBIGINT[] z, k, n_inner, sig AS shape, root AS spot, safe FROM oc WHERE k > 1
+ UNION ALL SELECT 'pure_eml_dag', z.i, z.id, [z.id, c], 2, CASE WHEN a = b THEN 2 ELSE 1 END, 'eml,' || CASE c WHEN hash('leaf', 'x', '') THEN 'x' WHEN hash('leaf', 'y', '') THEN 'y' WHEN hash('leaf', '1', '') THEN '1' ELSE 'eml' END
+  || CASE WHEN a = b THEN '|0.0>1,0.1>1|' WHEN c = a THEN '|0.0>1|0.1' ELSE '|0.1>1|0.0' END || CASE WHEN c IN {_leaves} THEN '' WHEN a = b THEN '1.0,1.1' ELSE ',1.0,1.1' END, pa.spot, parents = 1
+ FROM (SELECT *, a AS c FROM pz UNION SELECT *, b FROM pz) z JOIN pa ON pa.i = z.i AND pa.v = z.id JOIN pp ON pp.i = z.i AND pp.v = c),
+fe AS MATERIALIZED (SELECT typ, shape AS signature, k::BIGINT node_count, split, count(*) support, count(*) * k coverage, count(*) FILTER (feature_subset = 'nontrivial_v1') * k nontrivial_coverage FROM cf JOIN m ON expr_id = i GROUP BY typ, shape, k, split),
+po AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY typ ORDER BY score DESC, support DESC, node_count DESC, signature) pr FROM (SELECT typ, signature, node_count, support, support * (node_count - 1) score FROM fe WHERE split = 'train' AND support >= 50)) WHERE pr <= 30),
+f2 AS (SELECT fe.* FROM fe SEMI JOIN po USING (typ, signature)),
+sx AS MATERIALIZED ({SCORES.replace(chr(10) + " FROM f,", ", typ FROM f2,")}),
+bx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY typ, trial ORDER BY score DESC, signature) r FROM sx WHERE split = 'train') WHERE r <= 10),
+cx AS (SELECT bx.typ, bx.trial, round(sum(bx.score), 6) a, round(sum(coalesce(x.score, 0)), 6) v FROM bx LEFT JOIN (SELECT * FROM sx WHERE split = 'validation') x USING (typ, trial, signature) GROUP BY ALL),
+bt AS (SELECT typ, trial FROM (SELECT *, row_number() OVER (PARTITION BY typ ORDER BY v DESC, a DESC, trial) r FROM cx) WHERE r = 1),
+vp AS (SELECT po.*, z.score selection_score FROM po LEFT JOIN (SELECT sx.* FROM sx JOIN bt USING (typ, trial) WHERE split = 'train') z USING (typ, signature)),
+vs AS MATERIALIZED (SELECT *, printf('%s_%s_%04d', vocabulary, typ, rank - 1) motif_id FROM (SELECT 'frequent' vocabulary, * REPLACE (NULL::DOUBLE AS selection_score), pr AS rank FROM vp
+ UNION ALL SELECT 'learned', *, row_number() OVER (PARTITION BY typ ORDER BY selection_score DESC NULLS LAST, signature) FROM vp
+ UNION ALL SELECT 'random', * REPLACE (NULL::DOUBLE AS selection_score), row_number() OVER (PARTITION BY typ ORDER BY sha256('0/' || signature)) FROM vp) WHERE rank <= 10)"""
+)
+TAKEN = """, ca AS MATERIALIZED (SELECT vocabulary, cf.*, row_number() OVER (PARTITION BY vocabulary, cf.typ, i ORDER BY score DESC, k DESC, spot, rank) n FROM cf JOIN vs ON vs.typ = cf.typ AND signature = shape WHERE safe),
+go AS (SELECT DISTINCT vocabulary, typ, i, 0::BIGINT n, []::UBIGINT[] used, false took FROM ca
+ UNION ALL SELECT go.vocabulary, go.typ, go.i, ca.n, CASE WHEN list_has_any(used, z) THEN used ELSE list_concat(used, z) END, NOT list_has_any(used, z) FROM go JOIN ca ON ca.vocabulary = go.vocabulary AND ca.typ = go.typ AND ca.i = go.i AND ca.n = go.n + 1),
+kn AS MATERIALIZED (SELECT ca.vocabulary, ca.typ, ca.i, count(*) c, sum(k)::BIGINT covered, sum(n_inner)::BIGINT inside FROM go JOIN ca ON ca.vocabulary = go.vocabulary AND ca.typ = go.typ AND ca.i = go.i AND ca.n = go.n WHERE took GROUP BY ALL),
+nn AS (SELECT i, count(*) n FROM gn GROUP BY i), rr AS (SELECT i, count(*) n FROM gr GROUP BY i),
+kw AS (SELECT i, """ + ", ".join(
+    f"coalesce(sum({what}) FILTER (vocabulary = '{name}' AND typ = '{kind}'), 0)::BIGINT AS {letter}{short}_{name}"
+    for name in ("frequent", "learned", "random")
+    for short, kind in (("m", "macro_graph"), ("p", "pure_eml_dag"))
+    for letter, what in (("s", "covered - c"), ("c", "covered"), ("i", "inside"))
+) + """ FROM kn GROUP BY i),
+lr AS (SELECT expr_id, split, feature_subset, eml_dag_nodes p_n, nn.n m_n, """ + ", ".join(
+    f"{n} - coalesce(s{short}_{name}, 0) AS {short}_{name}" for name in ("frequent", "learned", "random") for short, n in (("m", "nn.n"), ("p", "eml_dag_nodes"))
+) + """, coalesce(cm_learned, 0) cm, coalesce(cp_learned, 0) cp FROM m JOIN nn ON nn.i = expr_id LEFT JOIN kw ON kw.i = expr_id),
+ls AS MATERIALIZED (SELECT *, least(m_frequent, p_frequent) frequent_nodes, least(m_learned, p_learned) learned_nodes, least(m_random, p_random) random_nodes FROM lr),
+lm AS MATERIALIZED (SELECT expr_id, split, feature_subset, p_n AS pure_nodes, m_n AS macro_nodes, frequent_nodes, learned_nodes, random_nodes, CASE WHEN m_learned <= p_learned THEN 'macro_graph' ELSE 'pure_eml_dag' END AS graph_type,
+ round(100.0::DOUBLE * CASE WHEN m_learned <= p_learned THEN cm / m_n ELSE cp / p_n END, 6) AS coverage_percent, round(p_n / frequent_nodes, 9) AS frequent_gain, round(p_n / learned_nodes, 9) AS learned_gain, round(p_n / random_nodes, 9) AS random_gain,
+ round(frequent_nodes / learned_nodes, 9) AS gain_vs_frequent, round(m_n / learned_nodes, 9) AS gain_vs_macro, round(random_nodes / learned_nodes, 9) AS gain_vs_random, true AS valid FROM ls),
+lg AS (SELECT 'split' AS "grouping", split AS name, * FROM lm UNION ALL SELECT 'subset', feature_subset, * FROM lm UNION ALL SELECT 'subset', 'all_v1', * FROM lm)"""
+
+
+def _spread(*columns: str) -> str:
+    """SQL of the summary of columns by group."""
+    each = ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, round(quantile_cont({c}::DOUBLE, 0.9), 6) AS {c}_p90" for c in columns)
+    return q(LEARNED + TAKEN + f' SELECT "grouping", name, count(*) AS n, count(*) AS n_valid, 0::BIGINT AS failures, {each} FROM lg GROUP BY ALL')
+
+
 GRAPH_ORACLE = {
+    "learned_vocabulary": q(LEARNED + " SELECT vocabulary, motif_id, typ AS motif_type, signature, node_count, support, score, selection_score, rank FROM vs"),
+    "learned_metric_rows": q(LEARNED + TAKEN + " SELECT * FROM lm"),
+    "learned_summary": _spread("learned_nodes", "random_nodes", "learned_gain", "random_gain", "gain_vs_frequent", "gain_vs_macro", "gain_vs_random", "coverage_percent"),
+    "frequent_summary": _spread("pure_nodes", "macro_nodes", "frequent_nodes", "frequent_gain"),
+    "hierarchical_graph": q(LEARNED + TAKEN + """, pe AS (SELECT i, count(*) n FROM pz GROUP BY i)
+ SELECT expr_id, ast_nodes, nn.n AS macro_nodes, eml_dag_nodes AS pure_eml_dag_nodes, nn.n - coalesce(sm_frequent, 0) AS motif_nodes, nn.n - coalesce(sm_learned, 0) AS learned_motif_nodes,
+ ast_nodes - 1 + 3 * coalesce(rr.n, 0) + 2 * coalesce(pe.n, 0) - coalesce(im_frequent, 0) - coalesce(im_learned, 0) AS edges, ast_nodes + 3 * nn.n AS links, 0::BIGINT AS dangling, 0::BIGINT AS bare, true AS reconstructs
+ FROM m JOIN nn ON nn.i = expr_id LEFT JOIN rr ON rr.i = expr_id LEFT JOIN pe ON pe.i = expr_id LEFT JOIN kw ON kw.i = expr_id"""),
     "metric_file_join": q(" SELECT expr_id, split, round(tree_alpha, 9) AS tree_alpha, round(dag_alpha, 9) AS file_dag_alpha, round((tree_alpha - dag_alpha) / tree_alpha, 9) AS saved_share, round(dag_compression, 9) AS compression, true AS same_text FROM m WHERE expr_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"),
     "macro_expansion": q(GRAPH + PURE + EXPANSION + f" SELECT tops.i AS expr_id, {_names}[k + 1] AS kind, (SELECT count(*) + 1 FROM gn WHERE gn.i = tops.i) AS macro_nodes, (SELECT count(*) FROM ids WHERE ids.i = tops.i) AS eml_nodes, true AS valid FROM tops"),
     "generation_rounds": ROUNDS + " SELECT i AS candidate_id, s AS expression, turn::INTEGER AS round FROM kp",

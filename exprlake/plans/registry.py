@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from exprlake.functions.measures import threshold
 from exprlake.functions.stats import group_summary, median, percent, rounded
-from exprlake.operators import baselines, corpus, dag, export, generation, given, graphs, motifs, patterns, rewriting, studies
+from exprlake.operators import baselines, corpus, dag, export, generation, given, graphs, hierarchy, learned, motifs, patterns, rewriting, studies
 from exprlake.operators.stages import shared_folder, stage
 from exprlake.plans.graph_oracle import GRAPH_ORACLE
 from exprlake.plans.oracle import ORACLE as BASE_ORACLE
@@ -142,6 +142,17 @@ def metric_file_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baselines.against(facts_of(spark, sf_dir), files.read_metrics(spark, path, "dag"))
 
 
+def learned_summary(rows: DataFrame) -> DataFrame:
+    shown = ("learned_nodes", "random_nodes", "learned_gain", "random_gain", "gain_vs_frequent", "gain_vs_macro", "gain_vs_random", "coverage_percent")
+    return learned.summary(learned.study(rows), *shown)
+
+
+def hierarchical(rows: DataFrame) -> DataFrame:
+    """The five levels of every expression, written once."""
+    found, chosen = learned.choice(rows)
+    return stage(hierarchy.merged(rows, learned.replacements({"macro_graph": found["macro_graph"]}, chosen)["macro_graph"]), "hierarchy")
+
+
 QUERIES: dict[str, Query] = {
     "corpus_nodes": on(lambda m: corpus.nodes(m).select("expr_id", "node", "level", "label")),
     "corpus_edges": on(corpus.edges),
@@ -236,6 +247,12 @@ QUERIES: dict[str, Query] = {
     "macro_expansion": on(graphs.expansion),
     "dag_values": on(dag_values),
     "metric_file_join": metric_file_join,
+    "learned_vocabulary": on(lambda m: learned.choice(m)[1]),
+    "learned_metric_rows": on(learned.study),
+    "learned_summary": on(learned_summary),
+    "frequent_summary": on(lambda m: learned.summary(learned.study(m), "pure_nodes", "macro_nodes", "frequent_nodes", "frequent_gain")),
+    "hierarchical_graph": on(lambda m: hierarchy.audit(hierarchical(m))),
+    "hierarchical_edges": on(lambda m: hierarchy.edges_of(hierarchical(m)).groupBy("level", "slot").agg(F.count("*").alias("n"))),
     "generation_rounds": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[0],
     "generation_attempts": lambda spark, sf_dir: generation.rounds(table(spark, sf_dir, "events"), "event_id", 0.9)[1],
     "comparison_table": on(studies.comparison_table),
