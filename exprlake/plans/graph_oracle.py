@@ -163,6 +163,11 @@ GRAPH_ORACLE = {
  ast_nodes - 1 + 3 * coalesce(rr.n, 0) + 2 * coalesce(pe.n, 0) - coalesce(im_frequent, 0) - coalesce(im_learned, 0) AS edges, ast_nodes + 3 * nn.n AS links, 0::BIGINT AS dangling, 0::BIGINT AS bare, true AS reconstructs
  FROM m JOIN nn ON nn.i = expr_id LEFT JOIN rr ON rr.i = expr_id LEFT JOIN pe ON pe.i = expr_id LEFT JOIN kw ON kw.i = expr_id"""),
     "metric_file_join": q(" SELECT expr_id, split, round(tree_alpha, 9) AS tree_alpha, round(dag_alpha, 9) AS file_dag_alpha, round((tree_alpha - dag_alpha) / tree_alpha, 9) AS saved_share, round(dag_compression, 9) AS compression, true AS same_text FROM m WHERE expr_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"),
+    "hierarchical_edges": q(LEARNED + TAKEN + """, ke AS MATERIALIZED (SELECT CASE ca.vocabulary WHEN 'frequent' THEN 3 ELSE 4 END lv, ca.i, ca.z, ca.n_inner FROM go JOIN ca ON ca.vocabulary = go.vocabulary AND ca.typ = go.typ AND ca.i = go.i AND ca.n = go.n WHERE took AND ca.typ = 'macro_graph' AND ca.vocabulary <> 'random'),
+un AS (SELECT lv, i, unnest(z) v FROM ke), w AS (SELECT unnest([3, 4]) lv)
+ SELECT "level", slot, count(*) AS n FROM (SELECT 0 AS "level", (p % 2)::VARCHAR AS slot FROM t WHERE p > 1 UNION ALL SELECT 1, sx::VARCHAR FROM gr UNION ALL SELECT 2, unnest(['0', '1']) FROM pz
+ UNION ALL SELECT w.lv, sx::VARCHAR FROM gr CROSS JOIN w LEFT JOIN un ON un.lv = w.lv AND un.i = gr.i AND un.v = gr.parent WHERE un.v IS NULL
+ UNION ALL SELECT lv, 'boundary_' || unnest(range(c)) FROM (SELECT ke.lv, ke.i, ke.z, count(*) - any_value(n_inner) c FROM ke JOIN gr ON gr.i = ke.i AND list_contains(ke.z, gr.parent::UBIGINT) GROUP BY ALL)) GROUP BY ALL"""),
     "macro_expansion": q(GRAPH + PURE + EXPANSION + f" SELECT tops.i AS expr_id, {_names}[k + 1] AS kind, (SELECT count(*) + 1 FROM gn WHERE gn.i = tops.i) AS macro_nodes, (SELECT count(*) FROM ids WHERE ids.i = tops.i) AS eml_nodes, true AS valid FROM tops"),
     "generation_rounds": ROUNDS + " SELECT i AS candidate_id, s AS expression, turn::INTEGER AS round FROM kp",
     "generation_attempts": ROUNDS + """ SELECT c.turn::INTEGER AS round, attempts, trivial, attempts - trivial - coalesce(fresh, 0) AS duplicates, coalesce(kept, 0) AS kept
