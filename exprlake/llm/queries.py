@@ -175,7 +175,7 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     drawn = F.filter(drawn, lambda x: x["n"] > 0)
     drawn = F.transform(drawn, lambda x: F.struct(x["w"].alias("w"), x["n"].alias("n"), (x["g"] % x["n"]).alias("a"), x["g"].alias("g")))
     placed = "transform(sequence(0, x.n - 1), i -> x.w[cast(if(i < x.a, i, x.a + (i - x.a) % (1 + (x.n - x.a) div (3 + x.g % 8))) as int)])"
-    made = F.expr(f"array_join(transform(drawn, x -> {placed})[0], ' ')")
+    made = F.expr(f"array_join(get(transform(drawn, x -> {placed}), 0), ' ')")  # a text without words has none
     rows = docs.select("doc_id", "text", h.alias("h")).withColumn("drawn", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), drawn))
     return rows.select("doc_id", F.coalesce(made, "text").alias("text"))
 
