@@ -1,17 +1,15 @@
-"""Sizes of the shared DAG of the pure EML form, as one column expression over the places' codes.
+"""The pure EML form: the compiler's macros as terms over one binary function, and the size of the shared DAG as a column.
 
-The compiler's macros are terms over one binary function; a term's name is a hash of its children's names, so equal subtrees
-have one name. A fold names the subtree of every place, a second step lists the names of all terms that each place's macro
-adds, and the distinct names are counted.
+A term's name is a hash of its children's names, so equal subtrees have one name. The size is counted over matrices of codes (batches), since
+names made by a lambda for each row took most of a query's time.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from exprlake.functions.grammar import PLACES
-
 #: Names of the variables and of one.
 LEAVES = {1: "101L", 2: "102L", 3: "103L"}
 ONE = LEAVES[3]
@@ -106,11 +104,11 @@ def templates() -> dict[str, list[tuple[int, int]]]:
 
 
 def dag_nodes(codes: str) -> Column:
-    """Distinct nodes of the EML form of an array of codes by place."""
-    leaves = " ".join(f"WHEN {c} THEN {n}" for c, n in LEAVES.items())
-    names = " ".join(f"WHEN {c} THEN {t[-1]}" for c, t in terms("q.a", "q.b").items())
-    step = f"transform(array(named_struct('k', {codes}[p - 1], 'a', get(acc, p - 1), 'b', get(acc, p))), q -> CASE q.k {leaves} {names} END)"
-    fold = f"aggregate(sequence({PLACES}, 1), cast(array() as array<bigint>), (acc, p) -> concat({step}, acc))"
-    lists = " ".join(f"WHEN {c} THEN array({', '.join(dict.fromkeys([ONE, *t]))})" for c, t in terms("get(n, 2 * i + 1)", "get(n, 2 * i + 2)").items())
-    each = f"transform({codes}, (k, i) -> CASE k {' '.join(f'WHEN {c} THEN array({x})' for c, x in LEAVES.items())} {lists} ELSE cast(array() as array<bigint>) END)"
-    return F.expr(f"cast(transform(array({fold}), n -> size(array_distinct(flatten({each}))))[0] as bigint)")
+    """Distinct nodes of the EML form of an array of codes by place, a batch of rows at a time."""
+    from exprlake.functions import batches
+
+    @F.arrow_udf("long")
+    def count(column: pa.Array) -> pa.Array:
+        return pa.array(batches.dag_nodes(batches.matrix(column)))
+
+    return count(codes)

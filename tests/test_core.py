@@ -249,3 +249,33 @@ def test_a_batch_reads_its_key_ranges_only(spark, tmp_path):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_shared_sizes_equal_a_walk_of_the_terms(spark):
+    """Matrices of codes against the terms written out, over more rows than are worked on at once, and tasks of bounded size."""
+    from exprlake.functions import batches, eml
+
+    rows = [r["codes"] for r in registry.facts_of(spark, "/root/testdata/sf0.001").select("codes").collect()]
+
+    def nodes(codes):
+        name, seen = {}, set()
+        for p in reversed(range(len(codes))):
+            if codes[p] in eml.LEAVES:
+                name[p] = (codes[p],)
+                seen.add(name[p])
+            elif codes[p]:
+                sides, kind = {eml.FIRST: name[2 * p + 1], eml.SECOND: name.get(2 * p + 2), eml.UNIT: (3,)}, {4: "Add", 5: "Mul", 6: "exp", 7: "log"}[codes[p]]
+                for k, (a, b) in enumerate(eml.templates()[kind]):
+                    sides[k] = ids.setdefault((sides[a], sides[b]), (4, len(ids)))
+                    seen |= {sides[a], sides[b], sides[k]}
+                name[p] = sides[k]
+        return len(seen)
+
+    import numpy as np
+
+    ids = {}
+    plain = [nodes(c) for c in rows]
+    assert batches.dag_nodes(np.array(rows * 6)).tolist() == plain * 6 and 6 * len(rows) > batches.ROWS
+    assert batches.dag_nodes(np.zeros((0, 31), np.int32)).tolist() == []
+    keys = spark.range(0, 5 * registry.TASK_KEYS + 1, 1, 1)
+    assert registry.spread(keys).rdd.getNumPartitions() == 6 and registry.spread(keys.limit(1)).rdd.getNumPartitions() == 4
