@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exprlake.functions import eml, grammar
-from exprlake.operators.corpus import settled
+from exprlake.operators.corpus import distinct, settled
 from exprlake.operators.stages import stage
 
 GRAPH = ("expr_id", "split", "feature_subset")
@@ -62,15 +62,15 @@ def dag_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every distinct subtree is expanded once, whatever the number of expressions that hold it. A node's id is the hash of its form, its name the smallest
     subtree#position of a macro that makes it (a leaf's is its label); n_made counts these, n_roots the expressions whose root it is."""
-    rows = settled(rows, "codes", "subtrees")
-    rows = settled(rows.select("codes", "subtrees", F.expr(_names()).alias("names")), "codes", "subtrees", "names")
+    rows = settled(distinct(rows)[0], "codes", "subtrees", "copies")
+    rows = settled(rows.select("codes", "subtrees", "copies", F.expr(_names()).alias("names")), "codes", "subtrees", "names", "copies")
     item = "named_struct('subtree', subtrees[i], 'code', k, 'a', get(names, 2 * i + 1), 'b', get(names, 2 * i + 2))"
     macros = rows.select(F.explode(F.expr(f"array_distinct(filter(transform(codes, (k, i) -> {item}), x -> x.code > 3))")).alias("x")).select("x.*").distinct()
     listed = " ".join(f"WHEN {c} THEN array({', '.join(t)})" for c, t in eml.pairs("a", "b").items())
     made = macros.select("subtree", F.posexplode(F.expr(f"CASE code {listed} END")).alias("at", "x"))
     made = made.groupBy("x.id").agg(F.min("x.a").alias("a"), F.min("x.b").alias("b"), F.min(F.struct("subtree", "at")).alias("first"), F.count("*").alias("n_made"))
     leaf = F.explode(F.array(*(F.struct(F.expr(eml.LEAVES[c]).alias("id"), F.lit(name).alias("label")) for name, c in grammar.CODES.items() if c in eml.LEAVES)))
-    roots = rows.groupBy(F.col("names")[0].alias("id")).agg(F.count("*").alias("n_roots"))
+    roots = rows.groupBy(F.col("names")[0].alias("id")).agg(F.sum(F.expr("copies[0] + copies[1] + copies[2]")).alias("n_roots"))
     used = made.select(F.explode(F.array("a", "b")).alias("id")).unionByName(roots.select("id")).distinct()
     leaves = rows.sparkSession.range(1).select(leaf.alias("x")).select("x.*").join(used, "id", "left_semi")
     nodes = made.select("id", F.concat_ws("#", "first.subtree", "first.at").alias("name"), F.lit("eml").alias("label"), "n_made")
@@ -149,7 +149,7 @@ def dag_values(rows: DataFrame, x: float = 1.3, y: float = 2.1) -> DataFrame:
     A pair of a and b is exp(a) - ln(b); ln 0 is minus infinity, and the logarithm of a negative number is not a number. Distinct subtrees are evaluated by height: a level joins the
     results of those below and runs through its templates' steps; each level is written, so that there are as many rounds as operators on top of each other. A leaf's name
     is its label."""
-    rows = settled(rows, "codes", "subtrees")
+    rows = settled(distinct(rows)[0], "codes", "subtrees")
     height = grammar.climb_sql(lambda k, a, b: "0" if a is None else f"CASE WHEN {k} IN (4, 5) THEN 1 + greatest({a}, {b}) WHEN {k} IN (6, 7) THEN 1 + {a} ELSE 0 END", "int")
     rows = settled(rows.select("codes", "subtrees", F.expr(height).alias("heights")), "codes", "subtrees", "heights")
     item = "named_struct('subtree', subtrees[i], 'code', k, 'height', heights[i], 'left', get(subtrees, 2 * i + 1), 'right', get(subtrees, 2 * i + 2))"
