@@ -112,3 +112,25 @@ def dag_nodes(codes: str) -> Column:
         return pa.array(batches.dag_nodes(batches.matrix(column)))
 
     return count(codes)
+
+
+def codes(key: str) -> Column:
+    """The array of codes by place that a key's expression has, a batch of keys at a time."""
+    from exprlake.functions import batches
+
+    @F.arrow_udf("array<int>")
+    def draw(column: pa.Array) -> pa.Array:
+        return batches.lists(batches.codes(column.to_numpy(zero_copy_only=False)))
+
+    return draw(key)
+
+
+def pure_graph(codes: str) -> Column:
+    """names, nodes and refs of the pure EML DAG of an array of codes by place, a batch of rows at a time."""
+    from exprlake.functions import batches
+
+    @F.arrow_udf("names array<bigint>, nodes array<struct<id:bigint,label:string>>, refs array<struct<parent:bigint,child:bigint,at:int>>")
+    def graph(column: pa.Array) -> pa.Array:
+        return batches.pure_graphs(batches.matrix(column))
+
+    return graph(codes)

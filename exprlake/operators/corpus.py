@@ -33,9 +33,7 @@ def settled(rows: DataFrame, *names: str) -> DataFrame:
 def facts(keys: DataFrame, key: str = "event_id", *carried: str) -> DataFrame:
     """Every column of an expression that the studies read, with the carried ones of keys. Filter them, and read their arrays in lambdas, behind settled() only."""
     rows = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("expr_id"), *carried)
-    drawn = grammar.drawn_sql("expr_id")
-    rows = settled(rows.select("expr_id", *carried, *(F.expr(sql).alias(name) for name, sql in drawn.items())), "expr_id", *carried, *drawn)
-    rows = settled(rows.select("expr_id", *carried, F.expr(grammar.codes_sql()).alias("codes")), "expr_id", *carried, "codes")
+    rows = settled(rows.select("expr_id", *carried, eml.codes("expr_id").alias("codes")), "expr_id", *carried, "codes")
     constant = lambda k, a, b: f"{k} = 3" if a is None else f"CASE WHEN {k} IN (4, 5) THEN {a} AND {b} WHEN {k} IN (6, 7) THEN {a} ELSE {k} = 3 END"
     every = lambda step, kind: F.expr(grammar.climb_sql(step, kind))
     first = lambda step, kind: F.expr(grammar.climb_sql(step, kind, root=True))

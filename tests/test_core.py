@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from exprlake.functions import measures
@@ -279,3 +280,29 @@ def test_shared_sizes_equal_a_walk_of_the_terms(spark):
     assert batches.dag_nodes(np.zeros((0, 31), np.int32)).tolist() == []
     keys = spark.range(0, 5 * registry.TASK_KEYS + 1, 1, 1)
     assert registry.spread(keys).rdd.getNumPartitions() == 6 and registry.spread(keys.limit(1)).rdd.getNumPartitions() == 4
+
+
+def test_draws_and_names_in_numpy_equal_sql(spark):
+    """Codes of keys of both signs against the grammar's SQL, pairs against Spark's hash, and a key whose draws do not fit 64 bits."""
+    import numpy as np
+
+    from exprlake.functions import batches, eml, grammar
+
+    most = batches.MOST_KEY
+    keys = spark.range(-500, 3000).union(spark.range(10**12, 10**12 + 500)).union(spark.range(most - 1, most + 1)).selectExpr("id AS expr_id")
+    drawn = grammar.drawn_sql("expr_id")
+    rows = corpus.settled(keys.select("expr_id", *(F.expr(sql).alias(name) for name, sql in drawn.items())), "expr_id", *drawn)
+    rows = corpus.settled(rows.select("expr_id", F.expr(grammar.codes_sql()).alias("codes")), "expr_id", "codes").collect()
+    assert batches.codes(np.array([r["expr_id"] for r in rows])).tolist() == [r["codes"] for r in rows] and len(rows) == 4002
+    with pytest.raises(OverflowError):
+        batches.codes(np.array([most + 1]))
+    assert batches.codes(np.zeros(0, np.int64)).shape == (0, 31)
+    a, b = np.array([101, 103, -5, 2**62]), np.array([103, 103, 7, -(2**63)])
+    found = [r[0] for r in spark.createDataFrame([*zip(a.tolist(), b.tolist(), strict=True)], "a long, b long").selectExpr(eml.pair("a", "b")).collect()]
+    assert batches.pair(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist() == found
+
+
+def test_columns_read_no_drawn_arrays(spark):
+    """A key's codes are drawn a batch at a time: no plan holds the SQL of the draws, which took most of a query's time."""
+    plan = registry.QUERIES["alpha_scatter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "48271" not in plan
