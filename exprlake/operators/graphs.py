@@ -45,16 +45,10 @@ def pure_graphs(rows: DataFrame, *carried: str) -> DataFrame:
 
     With carried columns of rows these stay, and so does names, the ids of all places' pure forms."""
     rows = settled(rows, *GRAPH, "codes", *carried)
-    rows = settled(rows.select(*GRAPH, "codes", *carried, F.expr(_names()).alias("names")), *GRAPH, "codes", "names", *carried)
-    listed = " ".join(f"WHEN {c} THEN array({', '.join(dict.fromkeys(t))})" for c, t in eml.pairs("names[2 * i + 1]", "names[2 * i + 2]").items())
-    made = f"array_distinct(flatten(transform(codes, (k, i) -> CASE k {listed} ELSE array() END)))"
-    rows = settled(rows.select(*GRAPH, "names", *carried, F.expr(made).alias("pairs")), *GRAPH, "names", "pairs", *carried)
-    used = "array_distinct(concat(array(names[0]), flatten(transform(pairs, x -> array(x.id, x.a, x.b)))))"
-    label = "CASE n " + " ".join(f"WHEN {eml.LEAVES[c]} THEN '{name}'" for name, c in grammar.CODES.items() if c in eml.LEAVES) + " ELSE 'eml' END"
-    nodes = f"transform({used}, n -> named_struct('id', n, 'label', {label}))"
-    refs = "flatten(transform(pairs, x -> array(named_struct('parent', x.id, 'child', x.a, 'at', 0), named_struct('parent', x.id, 'child', x.b, 'at', 1))))"
+    rows = settled(rows.select(*GRAPH, *carried, eml.pure_graph("codes").alias("pure")), *GRAPH, *carried, "pure")
     kept = ("names", *carried) if carried else ()
-    return settled(rows.select(*GRAPH, *kept, F.expr(nodes).alias("nodes"), F.expr(refs).alias("refs"), F.col("names")[0].alias("root")), *GRAPH, "nodes", "refs", "root", *kept)
+    rows = rows.select(*GRAPH, *carried, "pure.*").select("*", F.col("names")[0].alias("root"))
+    return settled(rows, *GRAPH, "nodes", "refs", "root", *kept)
 
 
 def dag_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
