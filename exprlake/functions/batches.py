@@ -10,7 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from exprlake.functions import eml
+from exprlake.functions import eml, sets
 from exprlake.functions.grammar import CODES, DEPTH_CUTS, FULL_CUTS, LEAF_PERCENT, MAX_DEPTH, PLACES, POSITIVE_CUTS
 
 #: Rows that are worked on at once.
@@ -173,3 +173,44 @@ def pure_graphs(codes: np.ndarray) -> pa.StructArray:
     refs = pa.StructArray.from_arrays([pa.array(x) for x in ends], ["parent", "child", "at"])
     names = pa.ListArray.from_arrays(lists(codes).offsets, pa.array(found.names.ravel().view(np.int64), mask=codes.ravel() == 0))
     return pa.StructArray.from_arrays([names, pa.ListArray.from_arrays(sizes(of), nodes), pa.ListArray.from_arrays(sizes(row, 2), refs)], ["names", "nodes", "refs"])
+
+
+def expanded(nodes: pa.ListArray, refs: pa.ListArray, second: np.ndarray, kind: pa.Array) -> pa.StructArray:
+    """result and eml_nodes of graphs.expansion(): every node of the macro graphs by its label's template, as soon as its children have names, then the kind's over the root and second."""
+    graph = sets.Graphs(nodes, refs)
+    child = np.full((len(graph.ids), 2), -1)
+    child[np.repeat(np.arange(len(graph.ids)), np.diff(graph.start)), graph.at] = graph.child
+    label = np.array(graph.names, object)[graph.label]
+    name, done = np.zeros(len(label) + 1, np.uint64), np.zeros(len(label) + 1, bool)
+    for spelt, c in CODES.items():
+        if c in LEAVES:
+            name[:-1][label == spelt], done[:-1][label == spelt] = LEAVES[c], True
+    parts = [(np.arange(graph.rows), np.full(graph.rows, ONE)), (graph.row[done[:-1]], name[:-1][done[:-1]])]  # every macro uses one
+    done[-1] = True  # no child
+
+    def grown(steps, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sides = {eml.FIRST: a, eml.SECOND: b, eml.UNIT: np.full(len(row), ONE)}
+        for k, (l, r) in enumerate(steps):
+            sides[k] = pair(sides[l], sides[r])
+            parts.append((row, sides[k]))
+        return sides[len(steps) - 1]
+
+    templates = eml.templates()
+    while not done.all():
+        ready = ~done[:-1] & done[child].all(axis=1)
+        if not ready.any():
+            raise ValueError("a macro graph with a cycle")
+        for spelt in set(label[ready]):
+            at = np.flatnonzero(ready & (label == spelt))
+            name[at] = grown(templates[spelt], graph.row[at], name[child[at, 0]], name[child[at, 1]])
+            done[at] = True
+    ends = np.full((2, graph.rows), -1)
+    for k, mine in enumerate((graph.ids == 1, graph.ids == second[graph.row])):
+        ends[k, graph.row[mine]] = np.flatnonzero(mine)
+    top, kind = np.zeros(graph.rows, np.uint64), np.array(kind.to_pylist(), object)
+    for spelt in set(kind):
+        at = np.flatnonzero(kind == spelt)
+        top[at] = grown(templates[spelt], at, name[ends[0, at]], name[ends[1, at]])
+    row, made = map(np.concatenate, zip(*parts, strict=True))
+    n = np.bincount(row[once(row, made)], minlength=graph.rows)
+    return pa.StructArray.from_arrays([pa.array(top.view(np.int64)), pa.array(n.astype(np.int64))], ["result", "eml_nodes"])

@@ -134,3 +134,14 @@ def pure_graph(codes: str) -> Column:
         return batches.pure_graphs(batches.matrix(column))
 
     return graph(codes)
+
+
+def expanded(nodes: str, refs: str, second: str, kind: str) -> Column:
+    """result and eml_nodes of macro graphs with one more macro on top, expanded by templates a batch of rows at a time."""
+    from exprlake.functions import batches
+
+    @F.arrow_udf("result bigint, eml_nodes bigint")
+    def expand(nodes: pa.Array, refs: pa.Array, second: pa.Array, kind: pa.Array) -> pa.Array:
+        return batches.expanded(nodes, refs, second.to_numpy(zero_copy_only=False), kind)
+
+    return expand(nodes, refs, second, kind)

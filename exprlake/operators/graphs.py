@@ -96,11 +96,6 @@ def _steps(listed: list[tuple[int, int]]) -> str:
     return "array(" + ", ".join(f"named_struct('l', {a}, 'r', {b})" for a, b in listed) + ")"
 
 
-def _template_map() -> str:
-    """SQL of a map from the kind of a macro to its template's steps."""
-    return "map(" + ", ".join(f"'{kind}', {_steps(listed)}" for kind, listed in eml.templates().items()) + ")"
-
-
 #: The kind of macro that expansion() puts on top of an expression, by its id.
 KINDS = ("exp", "log", "sub", "neg", "Add", "inv", "Mul", "div", "pow")
 
@@ -109,32 +104,15 @@ def expansion(rows: DataFrame) -> DataFrame:
     """Per expression: kind, macro_nodes, eml_nodes (distinct ones) and whether its macro graph, expanded by templates, is what the compiler makes of it.
 
     On top of every macro graph stands one more macro, of each of the nine kinds in turn, over the root and its first child (the root again, if it is a
-    leaf). Nodes are expanded from the smallest subtree on, each once, by the steps of its kind's template: the map from nodes to their results and
-    the set of all pairs grow together. The compiler's name comes from the macros' SQL, level by level over the heap."""
-    size = "transform(subtrees, s -> length(s))"
-    made = macro_graphs(rows).select("expr_id", "nodes", "refs")
-    others = settled(rows, "expr_id", "codes", "subtrees")
-    others = settled(others.select("expr_id", F.expr(_names()).alias("names"), F.expr(size).alias("size"), F.expr("array_position(subtrees, coalesce(subtrees[1], subtrees[0]))").alias("second")), "expr_id", "names", "size", "second")
-    both = made.join(others, "expr_id")
+    leaf). A batch of macro graphs is expanded at a time, a node by the steps of its kind's template as soon as its children are. The compiler's name comes
+    from the macros' SQL, level by level over the heap."""
+    both = macro_graphs(rows, "codes")
     kind = "array(" + ", ".join(f"'{k}'" for k in KINDS) + f")[cast(pmod(expr_id, {len(KINDS)}) as int)]"
-    both = both.withColumns({"kind": F.expr(kind), "templates": F.expr(_template_map())})
-    ordered = "transform(array_sort(transform(nodes, n -> named_struct('size', size[cast(n.id as int) - 1], 'id', n.id, 'label', n.label))), n -> named_struct('id', n.id, 'label', n.label))"
-    both = both.withColumn("todo", F.expr(f"concat({ordered}, array(named_struct('id', 0L, 'label', kind)))"))
-    both = both.withColumn("refs", F.expr("concat(refs, array(named_struct('parent', 0L, 'child', 1L, 'at', 0), named_struct('parent', 0L, 'child', second, 'at', 1)))"))
-    both = settled(both, "expr_id", "kind", "nodes", "refs", "templates", "todo", "names", "second")
-    leaf = "CASE n.label " + " ".join(f"WHEN '{name}' THEN {eml.LEAVES[c]}" for name, c in grammar.CODES.items() if c in eml.LEAVES) + " END"
-    operand = "coalesce(get(filter(acc.results, x -> x.id = filter(refs, r -> r.parent = n.id AND r.at = {0})[0].child), 0).result, 0L)"
-    side = f"CASE t.{{0}} WHEN {eml.FIRST} THEN o.a WHEN {eml.SECOND} THEN o.b WHEN {eml.UNIT} THEN {eml.ONE} ELSE s[t.{{0}}] END"
-    steps = f"aggregate(templates[n.label], cast(array() as array<bigint>), (s, t) -> concat(s, array(xxhash64({side.format('l')}, {side.format('r')}))))"
-    second = f"if(exists(refs, r -> r.parent = n.id AND r.at = 1), {operand.format(1)}, 0L)"
-    terms = f"if({leaf} IS NOT NULL, array({leaf}), transform(array(named_struct('a', {operand.format(0)}, 'b', {second})), o -> {steps})[0])"
-    start = "named_struct('results', cast(array() as array<struct<id:bigint,result:bigint>>), 'pairs', cast(array() as array<bigint>))"
-    grow = "named_struct('results', concat(acc.results, array(named_struct('id', n.id, 'result', element_at(z, -1)))), 'pairs', array_union(acc.pairs, z))"
-    fold = f"aggregate(todo, {start}, (acc, n) -> transform(array({terms}), z -> {grow})[0])"
-    both = settled(both.select("expr_id", "kind", "nodes", "names", "second", F.expr(fold).alias("done")), "expr_id", "kind", "nodes", "names", "second", "done")
+    both = both.select("expr_id", "nodes", "refs", F.expr(kind).alias("kind"), F.expr("coalesce(get(filter(refs, r -> r.parent = 1 AND r.at = 0), 0).child, 1L)").alias("second"), F.expr(_names()).alias("names"))
+    both = settled(both, "expr_id", "nodes", "refs", "kind", "second", "names")
     compiled = "CASE kind " + " ".join(f"WHEN '{k}' THEN {t[-1]}" for k, t in eml.kinds("names[0]", "names[cast(second as int) - 1]").items()) + " END"
-    used = f"array_union(done.pairs, array({eml.ONE}))"  # every macro uses one
-    return both.select("expr_id", "kind", (F.size("nodes") + 1).cast("long").alias("macro_nodes"), F.size(F.expr(used)).cast("long").alias("eml_nodes"), (F.expr("element_at(done.results, -1).result") == F.expr(compiled)).alias("valid"))
+    both = both.select("expr_id", "kind", F.size("nodes").alias("size"), F.expr(compiled).alias("compiled"), eml.expanded("nodes", "refs", "second", "kind").alias("done"))
+    return both.select("expr_id", "kind", (F.col("size") + 1).cast("long").alias("macro_nodes"), "done.eml_nodes", (F.col("done.result") == F.col("compiled")).alias("valid"))
 
 
 def dag_values(rows: DataFrame, x: float = 1.3, y: float = 2.1) -> DataFrame:

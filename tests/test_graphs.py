@@ -232,3 +232,19 @@ def test_signatures_of_wide_labels_and_many_arcs(spark):
     plain = plain_motifs([(n["id"], n["label"]) for n in nodes], [(r["parent"], r["child"], r["at"]) for r in refs], 3)
     assert found[0] == found[2] == [] and len(found[1]) == len(plain)
     assert sorted((o["root"], sorted(o["nodes"]), o["safe"], len(o["inner"])) for o in found[1]) == sorted((m[1], sorted(m[2]), m[4], m[3]) for m in plain)
+
+
+def test_expansion_needs_no_join_and_sees_damage(spark):
+    """Macro graphs and names of one row stay together; a graph with a wrong label is not what the compiler makes of the codes."""
+    from exprlake.functions import batches, eml
+
+    rows = registry.facts_of(spark, SF)
+    assert "Join" not in graphs.expansion(rows)._jdf.queryExecution().executedPlan().toString()
+    made = graphs.macro_graphs(rows).where("expr_id < 50 and size(nodes) > 3").select("nodes", "refs", F.lit(1).cast("long").alias("second"), F.lit("exp").alias("kind"))
+    damaged = made.withColumn("nodes", F.expr("transform(nodes, n -> named_struct('id', n.id, 'label', if(n.label = 'x', 'y', if(n.label = 'y', 'x', n.label))))"))
+    told = lambda t: t.withColumn("d", eml.expanded("nodes", "refs", "second", "kind")).select("d.*", F.exists("nodes", lambda n: n.label.isin("x", "y")).alias("variable")).collect()
+    pairs = [*zip(told(made), told(damaged), strict=True)]
+    assert len(pairs) > 10 and all(a["eml_nodes"] == b["eml_nodes"] and (a["result"] != b["result"]) == a["variable"] for a, b in pairs)
+    cycle = spark.createDataFrame([([(1, "exp")], [(1, 1, 0)], 1, "exp")], made.schema).toArrow().combine_chunks().to_batches()[0]
+    with pytest.raises(ValueError, match="cycle"):
+        batches.expanded(cycle.column(0), cycle.column(1), cycle.column(2).to_numpy(), cycle.column(3))
