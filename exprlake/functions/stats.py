@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprlake.functions.measures import threshold
@@ -17,9 +17,21 @@ def upper_rank(value: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
 
 
-def median(value: str) -> Column:
-    """The middle value, or the mean of the two middle ones."""
-    return F.percentile(F.expr(value), 0.5)
+def ranked(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """rows, each standing n times, with upto, how many of its group are not above its value, and of, how many there are. A group should be a bounded number of rows."""
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("*", F.sum("n").over(upto).alias("upto"), F.sum("n").over(group).alias("of"))
+
+
+def at_rank(value: str, q: float) -> Column:
+    """upper_rank() of ranked() rows."""
+    return F.min(F.when(F.col("upto") >= F.ceil(q * F.col("of")), F.col(value)))
+
+
+def median(value: str, times: str | None = None) -> Column:
+    """The middle value, or the mean of the two middle ones, each standing times times."""
+    return F.percentile(F.expr(value), 0.5, F.lit(1) if times is None else F.col(times))
 
 
 def percent(test: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exprlake.functions.measures import threshold
-from exprlake.functions.stats import distribution, median, percent, rounded, upper_rank
+from exprlake.functions.stats import at_rank, distribution, median, percent, ranked, rounded, upper_rank
 from exprlake.operators.corpus import settled
 from exprlake.operators.studies import top
 
@@ -27,22 +27,44 @@ def columns() -> list[Column]:
     ]
 
 
+#: What the metrics are made of. All are bounded by the size of an expression, and so is the number of shapes.
+SIZES = ("ast_nodes", "eml_nodes", "ast_dag_nodes", "eml_dag_nodes")
+
+
+def shapes(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, SIZES, n (rows that have these sizes) and METRICS: one row for all rows with the same sizes, so that exact percentiles hold as many values, whatever the number of rows."""
+    ratio = lambda a, b: F.col(a) / F.col(b)
+    same = rows.groupBy(*keys, *SIZES).agg(F.count("*").alias("n"))
+    metrics = (("eml_nodes", "ast_nodes"), ("eml_dag_nodes", "ast_nodes"), ("eml_dag_nodes", "ast_dag_nodes"), ("eml_nodes", "eml_dag_nodes"))
+    return same.select("*", *(ratio(*pair).alias(name) for name, pair in zip(METRICS, metrics, strict=True)))
+
+
 def group_summary(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*columns())
+    """columns() of every group, from its shapes."""
+    same = ranked(shapes(rows, *keys), "dag_compression", *keys)
+    share = lambda c: rounded(100 * (F.sum(F.when(F.col(c) < threshold(), F.col("n")).otherwise(0)) / F.sum("n")))
+    return same.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        *(rounded(median(c, "n")).alias(f"median_{c}") for c in METRICS),
+        rounded(at_rank("dag_compression", 0.9)).alias("p90_dag_compression"),
+        share("dag_alpha").alias("percent_below_dag"),
+        share("dag_alpha_vs_dag").alias("percent_below_dag_vs_dag"),
+        rounded(median("tree_alpha - dag_alpha", "n")).alias("median_improvement"),
+    )
 
 
 def summary(rows: DataFrame) -> DataFrame:
     """Mean, median, upper ranks, maximum and percent below the threshold of every metric, as one row each."""
     items = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("v")) for c in METRICS)))
-    rows = rows.select(items.alias("x")).select("x.*")
-    return rows.groupBy("metric").agg(
-        F.count("*").alias("n"),
-        rounded(F.avg("v")).alias("mean"),
-        rounded(median("v")).alias("median"),
-        rounded(upper_rank("v", 0.9)).alias("p90"),
-        rounded(upper_rank("v", 0.95)).alias("p95"),
+    same = shapes(rows).select(items.alias("x"), "n").groupBy("x.metric", "x.v").agg(F.sum("n").alias("n"))
+    return ranked(same, "v", "metric").groupBy("metric").agg(
+        F.sum("n").alias("n"),
+        rounded(F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        rounded(median("v", "n")).alias("median"),
+        rounded(at_rank("v", 0.9)).alias("p90"),
+        rounded(at_rank("v", 0.95)).alias("p95"),
         rounded(F.max("v")).alias("max"),
-        percent(F.col("v") < threshold()).alias("percent_below"),
+        rounded(100 * (F.sum(F.when(F.col("v") < threshold(), F.col("n")).otherwise(0)) / F.sum("n"))).alias("percent_below"),
     )
 
 

@@ -158,25 +158,37 @@ def compression(kept: DataFrame, *carried: str) -> DataFrame:
     )
 
 
-def compressed(kept: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def compressed(kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The compressed graphs as three tables.
 
     nodes (expr_id, id, label): what is left, and a node for each replacement, with its root's id and the label motif:<motif_id>; refs (expr_id, parent, child, slot): slot is the
     child's place, or boundary_<n> below a replacement; bindings (expr_id, motif_id, root, local, id, outer): the original node of each local number, and on local
-    number 0 the outer children in order. The carried columns stand behind expr_id."""
+    number 0 the outer children in order."""
     taken = "flatten(transform(kept, k -> transform(k.nodes, v -> named_struct('id', v, 'root', k.root))))"
-    rows = settled(kept.select("expr_id", *carried, "nodes", "refs", "kept", F.expr(taken).alias("taken")), "expr_id", *carried, "nodes", "refs", "kept", "taken")
+    rows = settled(kept.select("expr_id", "nodes", "refs", "kept", F.expr(taken).alias("taken")), "expr_id", "nodes", "refs", "kept", "taken")
     left = "filter(nodes, n -> NOT exists(taken, t -> t.id = n.id))"
     made = "transform(kept, k -> named_struct('id', k.root, 'label', concat('motif:', k.motif_id)))"
-    nodes = rows.select("expr_id", *carried, F.explode(F.expr(f"concat({left}, {made})")).alias("n")).select("expr_id", *carried, "n.*")
+    nodes = rows.select("expr_id", F.explode(F.expr(f"concat({left}, {made})")).alias("n")).select("expr_id", "n.*")
     plain = "transform(filter(refs, r -> NOT exists(taken, t -> t.id = r.parent)), r -> named_struct('parent', r.parent, 'child', coalesce(get(filter(taken, t -> t.id = r.child), 0).root, r.child), 'slot', cast(r.at as string)))"
     below = "flatten(transform(kept, k -> transform(k.outer, (r, i) -> named_struct('parent', k.root, 'child', coalesce(get(filter(taken, t -> t.id = r.child), 0).root, r.child), 'slot', concat('boundary_', i)))))"
-    refs = rows.select("expr_id", *carried, F.explode(F.expr(f"concat({plain}, {below})")).alias("r")).select("expr_id", *carried, "r.*")
+    refs = rows.select("expr_id", F.explode(F.expr(f"concat({plain}, {below})")).alias("r")).select("expr_id", "r.*")
     bound = "flatten(transform(kept, k -> transform(k.nodes, (v, i) -> named_struct('motif_id', k.motif_id, 'root', k.root, 'local', i, 'id', v, 'outer', if(i = 0, transform(k.outer, r -> r.child), null)))))"
-    bindings = rows.select("expr_id", *carried, F.explode(F.expr(bound)).alias("b")).select("expr_id", *carried, "b.*")
+    bindings = rows.select("expr_id", F.explode(F.expr(bound)).alias("b")).select("expr_id", "b.*")
     return nodes, refs, bindings
 
 
+def items(kept: DataFrame, *carried: str) -> DataFrame:
+    """item and the carried columns: a row for each node and reference of the compressed graphs, its label (motif for every replacement's) or slot (boundary below a replacement), in one pass."""
+    rows = settled(kept.select(*carried, "nodes", "refs", "kept", F.expr("flatten(transform(kept, k -> k.nodes))").alias("taken")), *carried, "nodes", "refs", "kept", "taken")
+    parts = (
+        "transform(filter(nodes, n -> NOT array_contains(taken, n.id)), n -> n.label)",
+        "transform(kept, k -> 'motif')",
+        "transform(filter(refs, r -> NOT array_contains(taken, r.parent)), r -> cast(r.at as string))",
+        "flatten(transform(kept, k -> transform(k.outer, r -> 'boundary')))",
+    )
+    return rows.select(*carried, F.explode(F.expr(f"concat({', '.join(parts)})")).alias("item"))
+
+
 def templates(motifs: DataFrame) -> DataFrame:
     """motif_id, labels, inner, outer of every motif, read from its signature: a bounded number of rows."""
     part = F.split("signature", r"\|")

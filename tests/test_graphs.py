@@ -301,3 +301,21 @@ def test_results_of_distinct_expressions_meet_the_rows_once(spark, name):
     """What is made for distinct expressions is carried with their codes, or added up in the tasks: at most one join, with the rows themselves."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == (0 if name in ("motif_graph", "hierarchical_edges") else 1) and "Broadcast" not in plan
+
+
+def test_items_are_those_of_the_compressed_tables(greedy):
+    nodes, refs, _ = patterns.compressed(greedy[0])
+    plain = nodes.select(F.regexp_replace("label", "^motif:.*", "motif").alias("item")).unionByName(refs.select(F.regexp_replace("slot", "_.*", "").alias("item")))
+    told = sorted(map(tuple, patterns.items(greedy[0]).groupBy("item").count().collect()))
+    assert told == sorted(map(tuple, plain.groupBy("item").count().collect())) and len(told) > 8
+
+
+def test_groups_of_shapes_are_groups_of_rows(spark):
+    """Exact percentiles, ranks and shares over shapes with their numbers are those over rows; what percentiles read is one row a shape."""
+    from exprlake.operators import dag
+
+    rows = stage(registry.facts_of(spark, SF).select("operator_signature", "ast_nodes", "eml_nodes", "ast_dag_nodes", "eml_dag_nodes", *dag.METRICS), "rows")
+    few = dag.shapes(rows, "operator_signature")
+    assert few.agg(F.sum("n")).first()[0] == rows.count() > few.count()
+    plain = rows.groupBy("operator_signature").agg(*dag.columns()).collect()
+    assert sorted(map(tuple, dag.group_summary(rows, "operator_signature").collect())) == sorted(map(tuple, plain)) and len(plain) > 10
